@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
 from .kdtree_topk import top_k
+from .minhash_forest import near_duplicates
 from .prefix_tokens import count_tokens
+from .substring_dedup import repeat_digests
 from .url_filter import RULE_SCHEMA, judge_urls
 
 #: The rules of op8_url_filter.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
@@ -23,11 +29,15 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(table(spark, sf_dir, "documents"), length=50)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, RULE_SCHEMA))
 
 
-QUERIES = {"op2_topk": op2_topk, "op3_token_counts": op3_token_counts, "op8_url_filter": op8_url_filter}
+QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op2_topk": op2_topk, "op3_token_counts": op3_token_counts, "op5_substring_dedup": op5_substring_dedup, "op8_url_filter": op8_url_filter}
 
 ORACLES = {
     "op2_topk": """
