@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
+from . import html_extract, toxicity
 from .kdtree_topk import top_k
 from .minhash_forest import near_duplicates
 from .prefix_tokens import count_tokens
@@ -33,11 +34,20 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(table(spark, sf_dir, "documents"), length=50)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"), html_extract.trained())
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, RULE_SCHEMA))
 
 
-QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op2_topk": op2_topk, "op3_token_counts": op3_token_counts, "op5_substring_dedup": op5_substring_dedup, "op8_url_filter": op8_url_filter}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op2_topk": op2_topk, "op3_token_counts": op3_token_counts, "op5_substring_dedup": op5_substring_dedup, "op6_html_extraction": op6_html_extraction, "op8_url_filter": op8_url_filter, "op10_toxicity": op10_toxicity}
 
 ORACLES = {
     "op2_topk": """

@@ -76,15 +76,19 @@ def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES) -> Itera
 
 
 class WordHasher:
-    """Word hashes of texts; ``fold_case`` lower-cases A-Z first."""
+    """Word hashes of texts; ``fold_case`` lower-cases A-Z first, ``space`` says which bytes part words."""
 
-    def __init__(self, fold_case: bool = False):
+    def __init__(self, fold_case: bool = False, space: np.ndarray | None = None):
         self.table = byte_table(fold_case)
-        self.space = spaces()
+        self.space = spaces() if space is None else space
         self.up, self.down = powers(0xC2B2AE3D27D4EB4F, BLOCK + 1)
 
     def __call__(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words, and the offsets (n + 1) of each text's words.
+        """Hashes of all words, and the offsets (n + 1) of each text's words."""
+        return self.located(raw, at)[:2]
+
+    def located(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same, and where each word starts.
 
         Work goes block by block, cut at spaces and text ends, so one very long text needs no more
         scratch memory than many short ones.
@@ -100,8 +104,9 @@ class WordHasher:
             starts.append(s + cut)
             cut = stop
         if not hashes:
-            return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-        return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), at)
+            return np.zeros(0, np.uint64), np.zeros(len(at), np.int64), np.zeros(0, np.int64)
+        starts = np.concatenate(starts)
+        return np.concatenate(hashes), np.searchsorted(starts, at), starts
 
     def _cut(self, raw: np.ndarray, at: np.ndarray, low: int, high: int) -> int:
         """The last position in (low, high] where no word is split; past high for an endless word."""
