@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import html_extract, toxicity
+from . import decontaminate, html_extract, mixing, ordinal_quality, toxicity
 from .kdtree_topk import top_k
 from .minhash_forest import near_duplicates
 from .prefix_tokens import count_tokens
@@ -15,6 +15,9 @@ from .url_filter import RULE_SCHEMA, judge_urls
 #: The rules of op8_url_filter.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
+#: Production mix: at most so many passes over a source, towards this entropy (nats) of the sources.
+MAX_REPETITION, TARGET_ENTROPY = 4.0, 2.9
+
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
@@ -30,6 +33,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ordinal_quality.grade(docs, ordinal_quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(table(spark, sf_dir, "documents"), length=50)
 
@@ -38,16 +46,24 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"), html_extract.trained())
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), repetition=MAX_REPETITION, entropy=TARGET_ENTROPY)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, RULE_SCHEMA))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op2_topk": op2_topk, "op3_token_counts": op3_token_counts, "op5_substring_dedup": op5_substring_dedup, "op6_html_extraction": op6_html_extraction, "op8_url_filter": op8_url_filter, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op2_topk": op2_topk, "op3_token_counts": op3_token_counts, "op4_quality": op4_quality, "op5_substring_dedup": op5_substring_dedup, "op6_html_extraction": op6_html_extraction, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_decontamination": op9_decontamination, "op10_toxicity": op10_toxicity}
 
 ORACLES = {
     "op2_topk": """

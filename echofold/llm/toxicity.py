@@ -314,3 +314,16 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 
     out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double, predicted int")
     return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")
+
+
+def without_toxic(docs: DataFrame, net: Network) -> DataFrame:
+    """The documents, all columns, whose score is under one half; one pass, no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
+        for batch in batches:
+            for i, j in chunks(batch, "text", 2 << 20):
+                part = batch.slice(i, j - i)
+                yield part.filter(pa.array(text_logits(net, *utf8(part.column("text")), reader) < 0))
+
+    return docs.mapInArrow(run, docs.schema)
