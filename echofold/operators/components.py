@@ -37,9 +37,9 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
             break
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = stored(both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         least2 = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(least2.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = stored(small.unionByName(least2.select("u", F.col("m").alias("v"))).distinct(), "edges")
         state = _state(after)
         release(current, least, large, least2)
