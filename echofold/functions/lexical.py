@@ -18,6 +18,14 @@ assert del
 """.split()
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once: a lambda variable, not a copy of its expression.
+
+    Inside higher-order functions the optimiser would repeat the expression for every element.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
 
@@ -38,33 +46,42 @@ def normalized(stream: Column) -> Column:
 
 def renamed(stream: Column, most: int = 12) -> Column:
     """Identifiers numbered by first occurrence; those after the first ``most`` are all ID."""
-    names = F.array_distinct(F.filter(stream, lambda t: t.rlike("^[A-Za-z_]") & ~F.lower(t).isin(KEYWORDS)))
+    def is_name(t: Column) -> Column:
+        return t.rlike("^[A-Za-z_]") & ~F.lower(t).isin(KEYWORDS)
 
-    def one(t: Column) -> Column:
-        at = F.array_position(names, t)
+    def numbered(t: Column, first: Column) -> Column:
+        at = F.array_position(first, t)
         return (
             F.when(F.lower(t).isin(KEYWORDS), F.lower(t))
             .when(t.rlike("^[0-9\"']"), F.lit("LIT"))
-            .when((at > 0) & (at <= most), F.concat(F.lit("ID"), (at - 1).cast("string")))
-            .when(at > 0, F.lit("ID"))
-            .otherwise(t)
+            .when(~t.rlike("^[A-Za-z_]"), t)
+            .when(at > 0, F.concat(F.lit("ID"), (at - 1).cast("string")))
+            .otherwise(F.lit("ID"))
         )
 
-    return F.transform(stream, one)
+    def of(s: Column) -> Column:
+        return let(F.slice(F.array_distinct(F.filter(s, is_name)), 1, most), lambda first: F.transform(s, lambda t: numbered(t, first)))
+
+    return let(stream, of)
 
 
 def shingles(stream: Column, width: int = 4) -> Column:
     """Distinct runs of ``width`` tokens; a shorter stream is one shingle, an empty one none."""
-    n = F.size(stream)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1))), lambda i: F.array_join(F.slice(stream, i, width), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+    def of(s: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(s) - width + 1, F.lit(1))), lambda i: F.array_join(F.slice(s, i, width), " "))
+        return F.when(F.size(s) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+
+    return let(stream, of)
 
 
 def jaccard(left: Column, right: Column) -> Column:
     """Of two arrays without repeats; two empty ones are equal, an empty and another have nothing in common."""
-    common = F.size(F.array_intersect(left, right))
-    union = F.size(left) + F.size(right) - common
-    return F.when(union == 0, F.lit(1.0)).otherwise(common / union)
+    def of(both: Column) -> Column:
+        common = F.size(F.array_intersect(both["l"], both["r"]))
+        union = F.size(both["l"]) + F.size(both["r"]) - common
+        return F.when(union == 0, F.lit(1.0)).otherwise(common / union)
+
+    return let(F.struct(left.alias("l"), right.alias("r")), of)
 
 
 def textual_overlap(left: Column, right: Column) -> Column:

@@ -11,12 +11,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lexical import let
+
 PRIME = (1 << 61) - 1
 PERMUTATIONS, BANDS = 128, 32
 
@@ -57,8 +58,18 @@ def minima(values: np.ndarray, offsets: np.ndarray, pairs: list[tuple[int, int]]
     return out
 
 
+def blake2b(strings: list[str]) -> np.ndarray:
+    """64-bit BLAKE2b, little-endian, of each string; a distinct one is hashed once."""
+    known = {s: int.from_bytes(hashlib.blake2b(s.encode("utf-8"), digest_size=8).digest(), "little", signed=True) for s in set(strings)}
+    return np.fromiter((known[s] for s in strings), np.int64, len(strings))
+
+
 def with_signature(units: DataFrame, hashes: str = "hashes", permutations: int = PERMUTATIONS) -> DataFrame:
-    """Adds ``signature array<bigint>`` from a column of base hashes (array<bigint>, unsigned bits); drops it."""
+    """Adds ``signature array<bigint>`` from a column of base hashes (array<bigint>, unsigned bits); drops it.
+
+    A column of strings (shingles) is hashed with BLAKE2b in the same pass.
+    """
+    strings = "string" in units.schema[hashes].dataType.simpleString()
     pairs = coefficients(permutations)
     rest = [f for f in units.schema.fields if f.name != hashes]
 
@@ -67,7 +78,9 @@ def with_signature(units: DataFrame, hashes: str = "hashes", permutations: int =
             column = batch.column(hashes)
             sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-            table = minima(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), offsets, pairs)
+            flat = column.flatten()
+            base = blake2b(flat.to_pylist()) if strings else flat.to_numpy(zero_copy_only=False).astype(np.int64)
+            table = minima(base, offsets, pairs)
             flat = pa.array(table.reshape(-1))
             ends = pa.array(np.arange(0, table.size + 1, permutations, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.ListArray.from_arrays(ends, flat)], names=[*(f.name for f in rest), "signature"])
@@ -76,19 +89,6 @@ def with_signature(units: DataFrame, hashes: str = "hashes", permutations: int =
     return units.mapInArrow(run, schema)
 
 
-@F.pandas_udf("array<bigint>")
-def blake2b_hashes(shingles: pd.Series) -> pd.Series:
-    """64-bit BLAKE2b, little-endian, of each string; each distinct string of a batch is hashed once."""
-    known: dict[str, int] = {}
-
-    def one(s: str) -> int:
-        if s not in known:
-            known[s] = int.from_bytes(hashlib.blake2b(s.encode("utf-8"), digest_size=8).digest(), "little", signed=True)
-        return known[s]
-
-    return shingles.map(lambda xs: [one(x) for x in xs] if xs is not None else [])
-
-
 def md5_hashes(shingles: Column) -> Column:
     """60 bits of MD5: native, and the same in other engines."""
     return F.transform(shingles, lambda s: F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("bigint"))
@@ -105,4 +105,7 @@ def band_keys(signature: Column, permutations: int, bands: int = BANDS) -> Colum
     if permutations % bands:
         raise ValueError(f"{permutations} permutations do not divide into {bands} bands")
     rows = permutations // bands
-    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.array_join(F.transform(F.slice(signature, i * rows + 1, rows), lambda v: v.cast("string")), ",").alias("key")))
+    return let(
+        F.transform(signature, lambda v: v.cast("string")),
+        lambda s: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.array_join(F.slice(s, i * rows + 1, rows), ",").alias("key"))),
+    )

@@ -1,4 +1,592 @@
-"""All queries of the library's own operators, with their SQL."""
+"""All queries of the library's own operators, each over whole tables, with their SQL for DuckDB.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The tables hold prose, not code, so a document stands in for a unit: path = source, start line = doc_id,
+name = doc<doc_id>, lines = lines of its text; events stand in for a commit log (path = user) and labels for
+labelled pairs. Code-shaped operators run over the small literal relations below.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import lexical, scalars
+from ..operators import candidates, clusters, evaluate, graph, judge, sampling
+from ..operators.components import connected_components
+from ..operators.fingerprint import coefficients, estimated_jaccard, md5_hashes, with_signature
+from ..runtime import stored, table
+from ..sources import files as tree
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+K, K_BANDS = 16, 4  # the small signature that SQL can follow
+PAIR_FLOOR = 0.8
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- building blocks in SQL ------------------------------------------------------------------------------
+
+PATTERN = lexical.TOKEN_PATTERN.replace("'", "''")
+KEYWORD_LIST = ", ".join(f"'{k}'" for k in lexical.KEYWORDS)
+TOKENS = f"regexp_extract_all(text, '{PATTERN}')"
+NORMAL = f"""list_transform({TOKENS}, lambda t: CASE WHEN lower(t) IN ({KEYWORD_LIST}) THEN lower(t)
+    WHEN regexp_matches(t, '^[A-Za-z_]') THEN 'ID' WHEN regexp_matches(t, '^[0-9"'']') THEN 'LIT' ELSE t END)"""
+
+
+def shingle_rows(stream: str, width: int) -> str:
+    """doc_id, s: distinct shingles."""
+    return f"""SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) = 0 THEN []::VARCHAR[] WHEN len(t) < {width} THEN [array_to_string(t, ' ')]
+        ELSE list_transform(range(1, len(t) - {width} + 2), lambda i: array_to_string(t[i:i + {width - 1}], ' ')) END) AS s
+        FROM (SELECT doc_id, {stream} AS t FROM documents)"""
+
+
+EXACT_PAIRS = f"""
+    sh AS ({shingle_rows(TOKENS, 4)}),
+    n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+    both_sides AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    exact AS (SELECT l, r, CAST(k AS DOUBLE) / (x.n + y.n - k) AS j FROM both_sides JOIN n x ON x.doc_id = l JOIN n y ON y.doc_id = r)"""
+LINES = "len(string_split(text, chr(10)))"
+CLUSTERS = f"""
+    WITH RECURSIVE {EXACT_PAIRS.strip()},
+    e AS (SELECT l AS u, r AS v FROM exact WHERE j >= {PAIR_FLOOR}::DOUBLE UNION SELECT r, l FROM exact WHERE j >= {PAIR_FLOOR}::DOUBLE),
+    reach(node, other) AS (SELECT DISTINCT u, u FROM e UNION SELECT reach.node, e.v FROM reach JOIN e ON e.u = reach.other),
+    component AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
+    member AS (SELECT d.doc_id, d.source AS path, 'doc' || d.doc_id AS name, {LINES.replace("text", "d.text")} AS lines, c.component,
+               f.source || ':' || f.doc_id || ':doc' || f.doc_id AS cluster_id
+               FROM component c JOIN documents d ON d.doc_id = c.node JOIN documents f ON f.doc_id = c.component),
+    size_of AS (SELECT cluster_id, count(*) AS units, CAST(sum(lines) AS BIGINT) AS total_lines, CAST(sum(lines) - max(lines) AS BIGINT) AS removable_lines FROM member GROUP BY 1)"""
+
+
+def values(name: str, columns: str, rows: list[tuple]) -> str:
+    def one(v):
+        return "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+
+    return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)})"
+
+
+# --- lexical ---------------------------------------------------------------------------------------------
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as units; ids order as unit keys do within the stand-in (the doc_id)."""
+    return docs(spark, sf_dir).select(
+        F.col("doc_id").alias("id"), F.col("source").alias("path"), F.col("doc_id").alias("start_line"),
+        (F.col("doc_id") + scalars.lines_of(F.col("text")) - 1).alias("end_line"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), "lang", "text",
+    )
+
+
+@query(f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, {TOKENS} AS t FROM documents)")
+def tokenize_stats(spark, sf_dir):
+    t = lexical.tokens(F.col("text"))
+    return docs(spark, sf_dir).select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"))
+
+
+@query(f"SELECT token, count(*) AS n FROM (SELECT unnest({NORMAL}) AS token FROM documents) GROUP BY token")
+def normalized_token_freq(spark, sf_dir):
+    rows = docs(spark, sf_dir).select(F.explode(lexical.normalized(lexical.tokens(F.col("text")))).alias("token"))
+    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT doc_id, CAST(coalesce(a.n, 0) AS BIGINT) AS raw4, CAST(coalesce(b.n, 0) AS BIGINT) AS normal3 FROM documents
+    LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({shingle_rows(TOKENS, 4)}) GROUP BY 1) a USING (doc_id)
+    LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({shingle_rows(NORMAL, 3)}) GROUP BY 1) b USING (doc_id)""")
+def shingle_counts(spark, sf_dir):
+    t = docs(spark, sf_dir).select("doc_id", lexical.tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size(lexical.shingles(F.col("t"), 4)).cast("bigint").alias("raw4"), F.size(lexical.shingles(lexical.normalized(F.col("t")), 3)).cast("bigint").alias("normal3"))
+
+
+@query("SELECT 'sha256:' || sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
+def content_hash_groups(spark, sf_dir):
+    rows = docs(spark, sf_dir).select("doc_id", lexical.content_hash(F.col("text")).alias("content_hash"))
+    return rows.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+
+
+@query(f"SELECT 'ast1:' || sha256(array_to_string({NORMAL}, ' ')) AS structural_hash, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
+def structural_hash_groups(spark, sf_dir):
+    rows = docs(spark, sf_dir).select("doc_id", lexical.structural_hash(lexical.normalized(lexical.tokens(F.col("text")))).alias("structural_hash"))
+    return rows.groupBy("structural_hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest({TOKENS}) AS tok, generate_subscripts({TOKENS}, 1) AS pos FROM documents),
+    ident AS (SELECT doc_id, tok, min(pos) AS first_pos FROM t WHERE regexp_matches(tok, '^[A-Za-z_]') AND lower(tok) NOT IN ({KEYWORD_LIST}) GROUP BY 1, 2),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first_pos) AS k FROM ident),
+    r AS (SELECT t.doc_id, CASE WHEN lower(tok) IN ({KEYWORD_LIST}) THEN lower(tok) WHEN regexp_matches(tok, '^[0-9"'']') THEN 'LIT'
+          WHEN k <= 12 THEN 'ID' || (k - 1) WHEN k IS NOT NULL THEN 'ID' ELSE tok END AS token FROM t LEFT JOIN numbered USING (doc_id, tok))
+    SELECT token, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM r GROUP BY token""")
+def alpha_rename_tokens(spark, sf_dir):
+    rows = docs(spark, sf_dir).select("doc_id", F.explode(lexical.renamed(lexical.tokens(F.col("text")))).alias("token"))
+    return rows.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 8000 THEN substr(text, 1, 8000) || '[truncated]' ELSE text END AS clipped FROM documents")
+def clipped_texts(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", scalars.clipped(F.col("text"), 8000, "[truncated]").alias("clipped"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(b) > 1400 THEN substr(b, 1, 1400) || chr(10) || '…' ELSE b END AS snippet,
+    replace(replace(replace(replace(replace(substr(b, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped
+    FROM (SELECT doc_id, array_to_string(string_split(text, chr(10))[2:5], chr(10)) AS b FROM documents)""")
+def evidence_snippets(spark, sf_dir):
+    rows = docs(spark, sf_dir)
+    plain = scalars.snippet(F.col("text"), F.lit(2), F.lit(5), 1 << 30)
+    return rows.select("doc_id", scalars.snippet(F.col("text"), F.lit(2), F.lit(5)).alias("snippet"), scalars.escaped(F.substring(plain, 1, 200)).alias("escaped"))
+
+
+# --- fingerprints and candidates ----------------------------------------------------------------------------
+
+
+def small_signatures(spark, sf_dir) -> DataFrame:
+    sh = lexical.shingles(lexical.tokens(F.col("text")), 4)
+    return with_signature(docs(spark, sf_dir).select(F.col("doc_id").alias("id"), md5_hashes(sh).alias("hashes")), permutations=K)
+
+
+SIGNATURE = f"""sh AS ({shingle_rows(TOKENS, 4)}),
+    h AS (SELECT DISTINCT doc_id, CAST(('0x' || substr(md5(s), 1, 15)) AS BIGINT) AS h FROM sh),
+    {values("coefficient", "k, a, b", [(i, a, b) for i, (a, b) in enumerate(coefficients(K))])},
+    sig AS (SELECT doc_id, CAST(k AS INTEGER) AS k, CAST(min((CAST(a AS HUGEINT) * h + b) % {(1 << 61) - 1}) AS BIGINT) AS v FROM h CROSS JOIN coefficient GROUP BY 1, 2
+            UNION ALL SELECT doc_id, CAST(k AS INTEGER), {(1 << 61) - 1} FROM documents CROSS JOIN coefficient WHERE doc_id NOT IN (SELECT doc_id FROM sh)),
+    band AS (SELECT doc_id AS id, k // {K // K_BANDS} AS band, string_agg(CAST(v AS VARCHAR), ',' ORDER BY k) AS key FROM sig GROUP BY 1, 2),
+    bucket AS (SELECT band, key, count(*) AS n FROM band GROUP BY 1, 2),
+    pair AS (SELECT DISTINCT x.id AS l, y.id AS r FROM band x JOIN bucket USING (band, key) JOIN band y ON x.band = y.band AND x.key = y.key AND x.id < y.id WHERE n BETWEEN 2 AND 200)"""
+
+
+@query(f"WITH {SIGNATURE} SELECT doc_id, k, v FROM sig")
+def minhash_md5_signature(spark, sf_dir):
+    rows = small_signatures(spark, sf_dir).select(F.col("id").alias("doc_id"), F.posexplode("signature").alias("k", "v"))
+    return rows.select("doc_id", "k", "v")
+
+
+@query(f"WITH {SIGNATURE} SELECT CAST(band AS INTEGER) AS band, key, n FROM bucket WHERE n > 1")
+def lsh_band_buckets(spark, sf_dir):
+    return candidates.bucket_sizes(candidates.buckets(small_signatures(spark, sf_dir), K, K_BANDS)).where("n > 1")
+
+
+@query(f"WITH {SIGNATURE} SELECT n AS bucket_size, count(*) AS buckets FROM bucket GROUP BY n")
+def bucket_size_histogram(spark, sf_dir):
+    sizes = candidates.bucket_sizes(candidates.buckets(small_signatures(spark, sf_dir), K, K_BANDS))
+    return sizes.groupBy(F.col("n").alias("bucket_size")).agg(F.count(F.lit(1)).alias("buckets"))
+
+
+@query(f"WITH {SIGNATURE} SELECT l, r FROM pair")
+def lsh_candidates(spark, sf_dir):
+    return candidates.collided_pairs(candidates.buckets(small_signatures(spark, sf_dir), K, K_BANDS))
+
+
+@query(f"""WITH {SIGNATURE}, c AS (SELECT count(*) AS considered FROM pair)
+    SELECT considered, least(considered, 50) AS kept, considered - least(considered, 50) AS dropped, considered > 50 AS truncated,
+    (SELECT count(*) FROM bucket WHERE n > 200) AS oversized_buckets FROM c""")
+def candidate_budget_stats(spark, sf_dir):
+    found = candidates.generate(small_signatures(spark, sf_dir), K, K_BANDS, budget=50)
+    row = (found.considered, found.kept, found.dropped_to_budget, found.truncated, found.oversized_buckets)
+    return spark.createDataFrame([row], "considered bigint, kept bigint, dropped bigint, truncated boolean, oversized_buckets bigint")
+
+
+@query(f"WITH {SIGNATURE} SELECT l, r FROM pair ORDER BY l, r LIMIT 50")
+def candidate_budget_cut(spark, sf_dir):
+    return candidates.within_budget(candidates.collided_pairs(candidates.buckets(small_signatures(spark, sf_dir), K, K_BANDS)), 50)
+
+
+@query(f"""WITH {SIGNATURE}, est AS (SELECT l, r, CAST(count(*) FILTER (WHERE x.v = y.v) AS DOUBLE) / {K} AS estimated
+        FROM pair JOIN sig x ON x.doc_id = l JOIN sig y ON y.doc_id = r AND x.k = y.k GROUP BY 1, 2),
+    n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+    k AS (SELECT l, r, count(*) AS k FROM pair JOIN sh x ON x.doc_id = l JOIN sh y ON y.doc_id = r AND x.s = y.s GROUP BY 1, 2)
+    SELECT l, r, estimated, CASE WHEN x.n IS NULL AND y.n IS NULL THEN 1.0::DOUBLE ELSE round(CAST(coalesce(k, 0) AS DOUBLE) / (coalesce(x.n, 0) + coalesce(y.n, 0) - coalesce(k, 0)), 6) END AS actual
+    FROM est LEFT JOIN k USING (l, r) LEFT JOIN n x ON x.doc_id = l LEFT JOIN n y ON y.doc_id = r""")
+def estimated_vs_true_jaccard(spark, sf_dir):
+    signed = stored(small_signatures(spark, sf_dir), "signed")
+    pairs = candidates.collided_pairs(candidates.buckets(signed, K, K_BANDS))
+    sh = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), lexical.shingles(lexical.tokens(F.col("text")), 4).alias("sh")).join(signed, "id")
+    both = judge.paired(pairs, sh)
+    return both.select("l", "r", estimated_jaccard(F.col("left.signature"), F.col("right.signature")).alias("estimated"), F.round(lexical.jaccard(F.col("left.sh"), F.col("right.sh")), 6).alias("actual"))
+
+
+@query()
+def minhash_blake2b_signature(spark, sf_dir):
+    """No other engine at hand has BLAKE2b; tests hold it against the formula in Python."""
+    sh = lexical.shingles(lexical.tokens(F.col("text")), 4)
+    return with_signature(docs(spark, sf_dir).select("doc_id", sh.alias("hashes")))
+
+
+# --- judging and clusters --------------------------------------------------------------------------------------
+
+
+def raw_candidates(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(pairs l, r; units) of documents that collide in 32 bands of 4 over raw 4-shingles."""
+    of = units(spark, sf_dir)
+    sh = lexical.shingles(lexical.tokens(F.col("text")), 4)
+    signed = with_signature(of.select("id", md5_hashes(sh).alias("hashes")))
+    return candidates.collided_pairs(candidates.buckets(signed)), of
+
+
+def judged(spark, sf_dir) -> DataFrame:
+    pairs, of = raw_candidates(spark, sf_dir)
+    detector = judge.detectors()["raw"]
+    return detector.judge(judge.paired(pairs, detector.prepare(of).drop("text")))
+
+
+def duplicates(spark, sf_dir) -> DataFrame:
+    """l, r, structural, textual of surfaceable pairs, stored."""
+    return stored(judge.surfaceable(judged(spark, sf_dir)).select("l", "r", F.round("structural", 6).alias("structural"), F.round("textual", 6).alias("textual")), "findings")
+
+
+def members(spark, sf_dir) -> DataFrame:
+    return clusters.members(duplicates(spark, sf_dir), units(spark, sf_dir).drop("text"))
+
+
+TEXTUAL = f"""tok AS (SELECT DISTINCT doc_id, unnest({TOKENS}) AS t FROM documents), tn AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1),
+    tj AS (SELECT l, r, CAST(count(*) AS DOUBLE) / (any_value(x.n) + any_value(y.n) - count(*)) AS textual FROM exact JOIN tok a ON a.doc_id = l JOIN tok b ON b.doc_id = r AND a.t = b.t
+           JOIN tn x ON x.doc_id = l JOIN tn y ON y.doc_id = r WHERE j >= {PAIR_FLOOR}::DOUBLE GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {EXACT_PAIRS}, {TEXTUAL} SELECT l, r, round(j, 6) AS structural, round(textual, 6) AS textual, 'duplicate' AS verdict, false AS recommended, 'unresolved_call_sites' AS exclusion
+    FROM exact JOIN tj USING (l, r) WHERE j >= {PAIR_FLOOR}::DOUBLE""")
+def surfaceable_findings(spark, sf_dir):
+    rows = judge.surfaceable(judged(spark, sf_dir))
+    return rows.select("l", "r", F.round("structural", 6).alias("structural"), F.round("textual", 6).alias("textual"), "verdict", F.col("advice.recommended").alias("recommended"), F.col("advice.exclusion").alias("exclusion"))
+
+
+@query(f"""WITH {EXACT_PAIRS}, {TEXTUAL} SELECT l, r, CAST(round_even(textual * 100, 0) AS INTEGER) AS textual_percent FROM exact JOIN tj USING (l, r)""")
+def textual_overlap_pairs(spark, sf_dir):
+    rows = judge.surfaceable(judged(spark, sf_dir))
+    return rows.select("l", "r", scalars.percent(F.col("textual")).alias("textual_percent"))
+
+
+@query(f"WITH {EXACT_PAIRS} SELECT l, r, CAST(round_even(j * 100, 0) AS INTEGER) AS structural_percent FROM exact WHERE j >= {PAIR_FLOOR}::DOUBLE")
+def structural_overlap_pairs(spark, sf_dir):
+    return judge.surfaceable(judged(spark, sf_dir)).select("l", "r", scalars.percent(F.col("structural")).alias("structural_percent"))
+
+
+@query(f"""WITH {EXACT_PAIRS} SELECT CASE WHEN j >= 0.95 THEN 0.95 WHEN j >= 0.9 THEN 0.9 WHEN j >= 0.85 THEN 0.85 ELSE 0.8 END::DOUBLE AS band, count(*) AS pairs
+    FROM exact WHERE j >= {PAIR_FLOOR}::DOUBLE GROUP BY 1""")
+def similarity_band_histogram(spark, sf_dir):
+    j = F.col("structural")
+    rows = judge.surfaceable(judged(spark, sf_dir)).select(F.when(j >= 0.95, F.lit(0.95)).when(j >= 0.9, F.lit(0.9)).when(j >= 0.85, F.lit(0.85)).otherwise(F.lit(0.8)).alias("band"))
+    return rows.groupBy("band").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query(CLUSTERS + " SELECT node AS doc_id, component FROM component")
+def duplicate_components(spark, sf_dir):
+    return connected_components(duplicates(spark, sf_dir), "l", "r").select(F.col("node").alias("doc_id"), "component")
+
+
+@query(CLUSTERS + " SELECT * FROM size_of")
+def cluster_removable_lines(spark, sf_dir):
+    return clusters.sizes(members(spark, sf_dir))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS path, count(*) AS commits FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 90 DAY GROUP BY 1")
+def churn_90d(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), "ts")
+    newest = log.agg(F.max("ts").alias("newest"))
+    recent = log.crossJoin(F.broadcast(newest)).where(F.col("ts") >= F.col("newest") - F.expr("INTERVAL 90 DAYS"))  # one row
+    return tree.churn(recent)
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS path, max(ts) AS ts FROM events GROUP BY 1")
+def last_touched(spark, sf_dir):
+    return tree.last_touched(table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), "ts"))
+
+
+def stand_ins(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """References (documents of labels as callers), unresolved (junk by source) and churn (events by source)."""
+    labels = table(spark, sf_dir, "labels")
+    references = labels.select(F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string")).alias("target_path"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"))
+    unresolved = labels.where("quality = 0").select(
+        F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string")).alias("path"),
+        F.when(F.col("doc_id") % 2 == 0, "external_package").otherwise("wildcard_import").alias("reason"),
+    ).distinct()
+    events = table(spark, sf_dir, "events")
+    churn = events.groupBy(F.concat(F.lit("src"), (F.col("user_id") % 25).cast("string")).alias("path")).agg(F.count(F.lit(1)).alias("commits"))
+    return references, unresolved, churn
+
+
+RADIUS = CLUSTERS + """,
+    ref AS (SELECT 'src' || (doc_id % 20) AS path, 'doc' || doc_id AS name, count(*) AS calls FROM labels GROUP BY 1, 2),
+    unres AS (SELECT DISTINCT 'src' || (doc_id % 20) AS path, CASE WHEN doc_id % 2 = 0 THEN 'external_package' ELSE 'wildcard_import' END AS reason FROM labels WHERE quality = 0),
+    churned AS (SELECT 'src' || (user_id % 25) AS path, count(*) AS commits FROM events GROUP BY 1),
+    p AS (SELECT DISTINCT cluster_id, path FROM member),
+    radius AS (SELECT cluster_id, units, total_lines, removable_lines,
+        CAST(coalesce((SELECT sum(calls) FROM member m JOIN ref ON ref.path = m.path AND ref.name = m.name WHERE m.cluster_id = size_of.cluster_id), 0) AS BIGINT) AS call_sites,
+        CAST(coalesce((SELECT sum(commits) FROM p JOIN churned USING (path) WHERE p.cluster_id = size_of.cluster_id), 0) AS BIGINT) AS churn,
+        (SELECT count(*) FROM p WHERE p.cluster_id = size_of.cluster_id AND path IN (SELECT path FROM unres WHERE reason <> 'external_package')) AS unresolved_paths FROM size_of),
+    scored AS (SELECT *, round(removable_lines * (1 + ln(1 + call_sites::DOUBLE)) * (1 + ln(1 + churn::DOUBLE)), 4) AS score FROM radius)"""
+
+
+@query(RADIUS + " SELECT * FROM scored")
+def cluster_blast_radius(spark, sf_dir):
+    out = clusters.blast_radius(members(spark, sf_dir), *stand_ins(spark, sf_dir))
+    return out.withColumn("score", F.round("score", 4)).drop("score_method")
+
+
+@query(RADIUS + " SELECT cluster_id, score, removable_lines FROM scored ORDER BY score DESC, cluster_id LIMIT 10")
+def ranked_top_clusters(spark, sf_dir):
+    radius = clusters.blast_radius(members(spark, sf_dir), *stand_ins(spark, sf_dir)).withColumn("score", F.round("score", 4))
+    return clusters.ranked(radius, 10).select("cluster_id", "score", "removable_lines")
+
+
+@query(RADIUS + """ SELECT cluster_id, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM p JOIN unres USING (path)
+    WHERE path IN (SELECT path FROM unres WHERE reason <> 'external_package') GROUP BY 1""")
+def cluster_blocked_reasons(spark, sf_dir):
+    return clusters.blocked_reasons(members(spark, sf_dir), stand_ins(spark, sf_dir)[1]).select("cluster_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(CLUSTERS + f""", f AS (SELECT l, r, j, cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY l, r) AS rank FROM exact JOIN member ON doc_id = l WHERE j >= {PAIR_FLOOR}::DOUBLE)
+    SELECT cluster_id, CAST(rank AS INTEGER) AS rank, l, r, CAST(round_even(j * 100, 0) AS INTEGER) AS structural_percent FROM f WHERE rank <= 3""")
+def cluster_evidence_top3(spark, sf_dir):
+    found = duplicates(spark, sf_dir)
+    of = clusters.members(found, units(spark, sf_dir).drop("text"))
+    return clusters.evidence(found, of).select("cluster_id", "rank", "l", "r", scalars.percent(F.col("structural")).alias("structural_percent"))
+
+
+@query(f"""SELECT (SELECT count(DISTINCT source) FROM documents) AS files_scanned, count(*) AS units_extracted, CAST(sum({LINES}) AS BIGINT) AS lines_in_units,
+    0::BIGINT AS candidate_pairs, CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) AS total_possible_pairs, false AS candidates_truncated,
+    (SELECT count(DISTINCT source) FROM documents WHERE source NOT IN (SELECT 'src' || (doc_id % 20) FROM labels WHERE quality = 0 AND doc_id % 2 <> 0)) AS files_fully_resolved FROM documents""")
+def coverage_summary(spark, sf_dir):
+    of = units(spark, sf_dir)
+    return clusters.coverage(of, of.select("path").distinct(), stand_ins(spark, sf_dir)[1], 0)
+
+
+@query()
+def flagship_clusters(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked clusters of duplicate documents, end to end."""
+    return clusters.ranked(clusters.blast_radius(members(spark, sf_dir), *stand_ins(spark, sf_dir)))
+
+
+@query()
+def diverse_sample(spark, sf_dir):
+    """Greedy and sequential, so no SQL; tests hold it against a plain walk."""
+    pairs, of = raw_candidates(spark, sf_dir)
+    detector = judge.detectors()["raw"]
+    rows = detector.judge(judge.paired(pairs, detector.prepare(of).drop("text")))
+    return sampling.diverse(rows.select(F.col("left.name").alias("l"), F.col("right.name").alias("r"), F.col("left.path").alias("l_path"), F.col("right.path").alias("r_path"), F.col("structural").alias("similarity")))
+
+
+# --- literal relations -------------------------------------------------------------------------------------------
+
+PAIRS = [
+    ("p1", "train", "duplicate", "consolidate", "def add(a, b):\n    return a + b", "def plus(x, y):\n    return x + y"),
+    ("p2", "train", "not_duplicate", "not_applicable", "def lo(v):\n    return v < 3", "for i in rows:\n    print(i, 'x')"),
+    ("p3", "train", "duplicate", "leave_alone", "const f = (a) => a * 2;", "function g(a) { return a + a; }"),
+    ("p4", "holdout", "duplicate", "consolidate", "if (a && b) { run(a); }", "if (c && d) { run(c); }"),
+    ("p5", "holdout", "not_duplicate", "not_applicable", "x = 1", "x == 1"),
+    ("p6", "holdout", "duplicate", "consolidate", "def plus(x, y):\n    return x + y", "def add(a, b):\n    return a + b"),
+    ("p7", "train", "not_duplicate", "not_applicable", "return a - b", "return b - a"),
+]
+PAIR_COLUMNS = "pair_id string, split string, label string, should_consolidate string, left_text string, right_text string"
+
+
+def pair_sql() -> str:
+    def normal(side: str) -> str:
+        return NORMAL.replace(TOKENS, TOKENS.replace("text", side))
+
+    def sh(side: str, t: str) -> str:
+        return f"list_distinct(CASE WHEN len({t}) = 0 THEN []::VARCHAR[] WHEN len({t}) < 3 THEN [array_to_string({t}, ' ')] ELSE list_transform(range(1, len({t}) - 1), lambda i: array_to_string({t}[i:i + 2], ' ')) END) AS {side}"
+
+    def jaccard(a: str, b: str) -> str:
+        return f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0::DOUBLE ELSE CAST(len(list_intersect({a}, {b})) AS DOUBLE) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
+
+    return f"""WITH {values("pair", ", ".join(c.split()[0] for c in PAIR_COLUMNS.split(", ")), PAIRS)},
+    t AS (SELECT *, {normal("left_text")} AS lt, {normal("right_text")} AS rt, list_distinct({TOKENS.replace("text", "left_text")}) AS lr, list_distinct({TOKENS.replace("text", "right_text")}) AS rr FROM pair),
+    s AS (SELECT *, {sh("ls", "lt")}, {sh("rs", "rt")} FROM t),
+    m AS (SELECT *, {jaccard("ls", "rs")} AS structural, {jaccard("lr", "rr")} AS textual FROM s),
+    v AS (SELECT *, CASE WHEN structural >= 0.8::DOUBLE THEN 'duplicate' WHEN structural >= 0.8::DOUBLE - 0.1::DOUBLE THEN 'uncertain' ELSE 'not_duplicate' END AS verdict FROM m)"""
+
+
+def judged_pairs(spark) -> DataFrame:
+    pairs = spark.createDataFrame(PAIRS, PAIR_COLUMNS)
+    detector = judge.detectors()["baseline"]
+    sides = [detector.prepare(pairs.select("pair_id", F.col(f"{s}_text").alias("text"))).select("pair_id", F.struct("shingles", "shape", "raw").alias(s)) for s in ("left", "right")]
+    return detector.judge(pairs.join(sides[0], "pair_id").join(sides[1], "pair_id"))
+
+
+@query(pair_sql() + """ SELECT pair_id, CAST(round_even(structural * 100, 0) AS INTEGER) AS structural_percent, CAST(round_even(textual * 100, 0) AS INTEGER) AS textual_percent, verdict,
+    CASE WHEN verdict = 'duplicate' THEN 'unresolved_call_sites' END AS exclusion,
+    'structural ' || CAST(round_even(structural * 100, 0) AS INTEGER) || '%, textual ' || CAST(round_even(textual * 100, 0) AS INTEGER) || '%' AS rationale FROM v""")
+def pair_verdicts(spark, sf_dir):
+    return judged_pairs(spark).select("pair_id", scalars.percent(F.col("structural")).alias("structural_percent"), scalars.percent(F.col("textual")).alias("textual_percent"), "verdict", F.col("advice.exclusion").alias("exclusion"), "rationale")
+
+
+COUNTS = """, c AS (SELECT count(*) FILTER (WHERE label = 'duplicate' AND verdict = 'duplicate') AS tp, count(*) FILTER (WHERE label <> 'duplicate' AND verdict = 'duplicate') AS fp,
+    count(*) FILTER (WHERE label = 'duplicate' AND verdict <> 'duplicate') AS fn, count(*) FILTER (WHERE label <> 'duplicate' AND verdict <> 'duplicate') AS tn, count(*) FILTER (WHERE verdict = 'uncertain') AS uncertain FROM v)"""
+
+
+@query(pair_sql() + COUNTS + " SELECT * FROM c")
+def confusion_matrix(spark, sf_dir):
+    return evaluate.confusion(judged_pairs(spark), F.col("label") == "duplicate", F.col("verdict"))
+
+
+@query(pair_sql() + COUNTS + """, pr AS (SELECT CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp)::DOUBLE END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn)::DOUBLE END AS r FROM c)
+    SELECT round(p, 6) AS "precision", round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM pr""")
+def precision_recall_f1(spark, sf_dir):
+    return evaluate.scores(evaluate.confusion(judged_pairs(spark), F.col("label") == "duplicate", F.col("verdict"))).select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(pair_sql() + """ SELECT count(*) FILTER (WHERE label = 'duplicate' AND verdict = 'duplicate') AS n,
+    count(*) FILTER (WHERE label = 'duplicate' AND verdict = 'duplicate' AND should_consolidate <> 'consolidate') AS n_right FROM v""")
+def advisability(spark, sf_dir):
+    return evaluate.advisability(judged_pairs(spark).withColumn("recommended", F.col("advice.recommended"))).select("n", "n_right")
+
+
+@query(f"""WITH {values("pair", ", ".join(c.split()[0] for c in PAIR_COLUMNS.split(", ")), PAIRS)},
+    f AS (SELECT split, array_to_string(list_sort([sha256(left_text), sha256(right_text)]), '|') AS fingerprint FROM pair)
+    SELECT fingerprint FROM f WHERE split = 'train' INTERSECT SELECT fingerprint FROM f WHERE split = 'holdout'""")
+def split_leakage(spark, sf_dir):
+    return evaluate.split_leakage(spark.createDataFrame(PAIRS, PAIR_COLUMNS))
+
+
+@query(f"""WITH {values("pair", ", ".join(c.split()[0] for c in PAIR_COLUMNS.split(", ")), PAIRS)}
+    SELECT count(*) AS pairs, round(count(*) FILTER (WHERE label = 'duplicate') / count(*)::DOUBLE, 6) AS duplicate_share, round(count(*) FILTER (WHERE split = 'holdout') / count(*)::DOUBLE, 6) AS holdout_share FROM pair""")
+def corpus_composition(spark, sf_dir):
+    rows = spark.createDataFrame(PAIRS, PAIR_COLUMNS).withColumns({"exclusion": F.lit(None).cast("string"), "language": F.lit("python")})
+    return evaluate.composition(rows).select("pairs", F.round("duplicate_share", 6).alias("duplicate_share"), F.round("holdout_share", 6).alias("holdout_share"))
+
+
+@query("""WITH f AS (SELECT lang AS repo, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n, CASE WHEN quality = 1 THEN true WHEN quality = 0 THEN false END AS label FROM documents LEFT JOIN labels USING (doc_id))
+    SELECT repo, count(*) AS surfaced, count(*) FILTER (WHERE n <= 20 AND label IS NOT NULL) AS labelled, count(*) FILTER (WHERE n <= 20 AND label) AS tp,
+    round(CASE WHEN count(*) FILTER (WHERE n <= 20 AND label IS NOT NULL) = 0 THEN 0 ELSE count(*) FILTER (WHERE n <= 20 AND label) / (count(*) FILTER (WHERE n <= 20 AND label IS NOT NULL))::DOUBLE END, 6) AS precision_at_k,
+    round(count(*) / 2.5::DOUBLE, 6) AS per_kloc FROM f GROUP BY repo""")
+def precision_at_k(spark, sf_dir):
+    rows = docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left").select(F.col("lang").alias("repo"), F.col("doc_id").alias("seq"), (F.col("quality") == 1).alias("label"))
+    kloc = rows.select("repo").distinct().withColumn("kloc", F.lit(2.5))
+    out = evaluate.precision_at_k(rows, kloc, 20)
+    return out.select("repo", "surfaced", "labelled", "tp", F.round("precision_at_k", 6).alias("precision_at_k"), F.round("per_kloc", 6).alias("per_kloc"))
+
+
+ANSWERS = [
+    (1, '{"verdict":"duplicate","confidence":"high","behavior_summary":"adds","consolidation_recommended":true,"exclusion":null,"rationale":"same"}'),
+    (2, '{"verdict":"duplicate","confidence":"low","behavior_summary":"adds","consolidation_recommended":true,"exclusion":null,"rationale":"same"}'),
+    (3, '{"verdict":"duplicate","confidence":"high","behavior_summary":"adds","consolidation_recommended":true,"exclusion":"cross_boundary","rationale":"same"}'),
+    (4, '{"verdict":"not_duplicate","confidence":"medium","behavior_summary":"differs","consolidation_recommended":false,"exclusion":null,"rationale":"no"}'),
+    (5, '{"verdict":"duplicate","confidence":"high","behavior_summary":"adds","consolidation_recommended":false,"exclusion":"cross_boundary","rationale":"same","extra":1}'),
+    (6, "not json"),
+]
+
+
+@query(f"""WITH {values("a", "id, verdict, recommended, valid", [(1, "duplicate", 1, 1), (2, "uncertain", None, 1), (3, "uncertain", None, 0), (4, "not_duplicate", None, 1), (5, "uncertain", None, 0), (6, "uncertain", None, 0), (7, "uncertain", None, None)])}
+    SELECT CAST(id AS BIGINT) AS id, verdict, recommended = 1 AS recommended, valid = 1 AS valid FROM a""")
+def adjudicated_findings(spark, sf_dir):
+    answers = judge.adjudications(spark.createDataFrame(ANSWERS, "id bigint, payload string"))
+    pairs = spark.range(1, 8)
+    return judge.adjudicated(pairs, answers, ["id"]).join(answers.select("id", "valid"), "id", "left").select("id", "verdict", F.col("advice.recommended").alias("recommended"), "valid")
+
+
+FILES = ["app/main.py", "app/util.py", "app/__init__.py", "lib/core/__init__.py", "web/index.ts", "web/a.ts", "web/a.js", "web/ui/index.tsx", "web/b.js"]
+SPECIFIERS = [
+    ("app/main.py", ".util", "python", "app/util.py", None), ("app/main.py", "lib.core", "python", "lib/core/__init__.py", None), ("app/main.py", "os.path", "python", None, "external_package"),
+    ("app/main.py", "..gone", "python", None, "missing_target"), ("app/main.py", ".", "python", "app/__init__.py", None), ("web/b.js", "./a", "javascript", "web/a.ts", None),
+    ("web/b.js", "./ui", "javascript", "web/ui/index.tsx", None), ("web/b.js", "../web/a.js", "javascript", "web/a.js", None), ("web/b.js", "./none", "javascript", None, "missing_target"),
+    ("web/b.js", "@/x", "typescript", None, "path_alias"), ("web/b.js", "react", "javascript", None, "path_alias"), ("web/b.js", "lodash/map", "javascript", None, "external_package"), ("web/ui/index.tsx", "..", "typescript", "web/index.ts", None),
+]
+
+
+@query(f"WITH {values('s', 'path, specifier, language, target, reason', SPECIFIERS)} SELECT * FROM s")
+def specifier_resolution(spark, sf_dir):
+    rows = spark.createDataFrame([s[:3] for s in SPECIFIERS], "path string, specifier string, language string")
+    files = spark.createDataFrame([(f,) for f in FILES], "path string")
+    return graph.resolve(rows, files).select("path", "specifier", "language", "target", "reason")
+
+
+UNITS = [("a.py", "Client.send", 10, 20), ("a.py", "send", 30, 34), ("a.py", "fact", 1, 5), ("b.py", "load", 1, 9), ("b.py", "load", 1, 4), ("b.py", "store", 11, 15)]
+IMPORTS = [("c.py", 1, 0, "fetch", "load", "b", 1, "python"), ("c.py", 2, 0, "send", "send", "a", 2, "python"), ("c.py", 3, 0, "fetch", "store", "b", 3, "python"), ("c.py", 4, 0, "np", "np", "numpy", 4, "python"), ("c.py", 5, 0, "q", "q", ".zzz", 5, "python")]
+SPACES = [("c.py", "b", 6, "python"), ("c.py", "json", 7, "python")]
+HOLES = [("a.py", "wildcard_import", "x", 2)]
+CALLS = [("a.py", "fact", 3), ("a.py", "fact", 25), ("c.py", "fetch", 10), ("c.py", "fetch", 11), ("c.py", "send", 12), ("c.py", "print", 13), ("c.py", "np", 14)]
+
+
+def literal_graph(spark) -> graph.SymbolGraph:
+    make = spark.createDataFrame
+    return graph.build(
+        make([(p, "python") for p in ("a.py", "b.py", "c.py")], "path string, language string"), make(UNITS, "path string, name string, start_line int, end_line int"),
+        make(IMPORTS, "path string, statement int, position int, local_name string, source_name string, specifier string, line int, language string"),
+        make(SPACES, "path string, specifier string, line int, language string"), make(HOLES, "path string, reason string, specifier string, line int"), make(CALLS, "path string, name string, line int"),
+    )
+
+
+@query(f"""WITH {values("u", "path, name, start_line, end_line", UNITS)}
+    SELECT path, bare, name, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line FROM (SELECT *, list_last(string_split(name, '.')) AS bare,
+    row_number() OVER (PARTITION BY path, list_last(string_split(name, '.')) ORDER BY start_line, end_line, name) AS n FROM u) WHERE n = 1""")
+def first_definition(spark, sf_dir):
+    return literal_graph(spark).definitions
+
+
+@query(f"WITH {values('r', 'name, target_path, from_path, line', [('fact', 'a.py', 'a.py', 25), ('load', 'b.py', 'c.py', 10), ('load', 'b.py', 'c.py', 11), ('send', 'a.py', 'c.py', 12)])} SELECT name, target_path, from_path, CAST(line AS INTEGER) AS line FROM r")
+def resolved_references(spark, sf_dir):
+    return literal_graph(spark).references
+
+
+@query(f"WITH {values('r', 'reason, n', [('wildcard_import', 1), ('namespace_import', 1), ('external_package', 1), ('missing_target', 1)])} SELECT reason, CAST(n AS BIGINT) AS n FROM r")
+def unresolved_by_reason(spark, sf_dir):
+    return literal_graph(spark).by_reason()
+
+
+@query("WITH f(path) AS (VALUES ('b.py')) SELECT path FROM f")
+def fully_resolved_files(spark, sf_dir):
+    return literal_graph(spark).fully_resolved(spark.createDataFrame([(p,) for p in ("a.py", "b.py", "c.py")], "path string"))
+
+
+PATHS = [("a/./b/../c.PY", "a/c.PY", "python"), ("../x//y.tsx", "x/y.tsx", "typescript"), ("m.mjs", "m.mjs", "javascript"), ("README", "README", None), (".py", ".py", None), ("a.b/c", "a.b/c", None)]
+
+
+@query(f"WITH {values('p', 'path, normal, language', PATHS)} SELECT * FROM p")
+def path_functions(spark, sf_dir):
+    p = F.col("path")
+    return spark.createDataFrame([(x[0],) for x in PATHS], "path string").select("path", scalars.normal_path(p).alias("normal"), scalars.language_of_path(p).alias("language"))
+
+
+@query("""SELECT o_orderkey, CAST(round_even(o_totalprice / 1000000 * 100, 0) AS INTEGER) AS pct, CAST(greatest(4, round_even(100.0::DOUBLE * o_totalprice / 1000000, 0)) AS INTEGER) AS width,
+    round(o_orderkey * (1 + ln(1 + o_custkey::DOUBLE)) * (1 + ln(1 + (o_orderkey % 7)::DOUBLE)), 4) AS score FROM orders""")
+def score_functions(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    price = F.col("o_totalprice")
+    return o.select(
+        "o_orderkey", scalars.percent(price / 1000000).alias("pct"), scalars.bar_width(price, F.lit(1000000)).alias("width"),
+        F.round(scalars.blast_score(F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderkey") % 7), 4).alias("score"),
+    )
+
+
+NUMBERS = [(0, "0"), (999, "999"), (9999, "9,999"), (10000, "10K"), (12900, "12.9K"), (4200000, "4.2M"), (3000000, "3M")]
+
+
+@query(f"WITH {values('n', 'n, shown', NUMBERS)} SELECT CAST(n AS BIGINT) AS n, shown FROM n")
+def compact_numbers(spark, sf_dir):
+    return spark.createDataFrame([(n,) for n, _ in NUMBERS], "n bigint").select("n", scalars.compact(F.col("n")).alias("shown"))
+
+
+CODE = [
+    ("a.py", "def one():\n    a = 1\n    b = 2\n    c = 3\n    return a\n\ndef two():\n    return 2\n"),
+    ("b.js", "const f = (x) => {\n  a();\n  b();\n  c();\n  return x;\n};\nfunction g() {\n  return 1;\n}\n"),
+    ("t/test_x.py", "def skipped():\n    a\n    b\n    c\n    d\n"),
+]
+
+
+@query("WITH c(path, name, start_line, end_line) AS (VALUES ('a.py', 'def one():', 1, 6), ('b.js', 'const f = (x) => {', 1, 6)) SELECT path, name, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line FROM c")
+def heuristic_chunks(spark, sf_dir):
+    return tree.chunks(tree.miner_files(spark.createDataFrame(CODE, "path string, source string"))).select("path", "name", "start_line", "end_line")
+
+
+CALL_COSTS = [("a", 1, 60), ("a", 2, 50), ("a", 3, 10), ("b", 1, 200), ("b", 2, 1)]
+
+
+@query(f"""WITH {values("c", "run, seq, tokens", CALL_COSTS)} SELECT run, CAST(seq AS INTEGER) AS seq, CAST(spent AS BIGINT) AS spent, spent < 100 AS allowed FROM
+    (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM c)""")
+def adjudication_token_budget(spark, sf_dir):
+    return judge.token_budget(spark.createDataFrame(CALL_COSTS, "run string, seq int, tokens bigint"), 100).select("run", "seq", "spent", "allowed")
