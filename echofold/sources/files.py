@@ -120,8 +120,9 @@ PAIR = f"pair_id string, split string, language string, label string, should_con
 def corpus(spark: SparkSession, root: str, split: str | None = None) -> DataFrame:
     """Labelled pairs of all .jsonl files below root; blank and ``//`` lines are skipped, a bad line fails."""
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root)
-    lines = lines.where("trim(value) <> '' and not startswith(ltrim(value), '//')")
-    rows = lines.select(F.from_json("value", PAIR, {"mode": "FAILFAST"}).alias("p")).select("p.*").withColumn("should_consolidate", F.coalesce("should_consolidate", F.lit("not_applicable")))
+    # The condition is inside as well: a later filter on a field may be evaluated before the one here.
+    kept = "trim(value) <> '' and not startswith(ltrim(value), '//')"
+    rows = lines.where(kept).select(F.from_json(F.expr(f"case when {kept} then value end"), PAIR, {"mode": "FAILFAST"}).alias("p")).select("p.*").withColumn("should_consolidate", F.coalesce("should_consolidate", F.lit("not_applicable")))
     return rows if split is None else rows.where(F.col("split") == split)
 
 

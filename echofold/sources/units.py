@@ -13,7 +13,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +21,6 @@ ROW = (
     "kind string, path string, language string, name string, start_line int, end_line int, text string, content_hash string, "
     "reason string, specifier string, line int, statement int, position int, local_name string, source_name string"
 )
-COLUMNS = [c.split()[0] for c in ROW.split(", ")]
 MIN_LINES = 3
 
 SCRIPT_TOKEN = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?|=>|[A-Za-z_$][\w$]*|\d[\w.]*|\S", re.S)
@@ -287,12 +286,14 @@ def rows_of(path: str, language: str, text: str, min_lines: int = MIN_LINES) ->
 def extracted(files: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """Rows of every kind of all files (path, source, language), one parse a file."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [r for f in frame.itertuples(index=False) for r in rows_of(f.path, f.language, f.source, min_lines)]
-            yield pd.DataFrame(rows, columns=COLUMNS).astype({c: "Int32" for c in ("start_line", "end_line", "line", "statement", "position")})
+    schema = pa.schema([(c.split()[0], pa.int32() if c.endswith(" int") else pa.string()) for c in ROW.split(", ")])
 
-    return files.select("path", "source", "language").mapInPandas(run, ROW)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, source, language in zip(*(batch.column(c).to_pylist() for c in ("path", "source", "language"))):
+                yield pa.RecordBatch.from_pylist(rows_of(path, language, source, min_lines), schema=schema)
+
+    return files.select("path", "source", "language").mapInArrow(run, ROW)
 
 
 def kinds(rows: DataFrame) -> dict[str, DataFrame]:
