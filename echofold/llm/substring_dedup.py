@@ -167,39 +167,39 @@ class Repeats:
 
         # Join on seeds, of those only that occur in two documents.
         seeds = stored(spans.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("seed"), "seeds")
-        shared = stored(spans.join(seeds, "seed", "left_semi"), "shared")
+        shared = stored(spans.join(seeds.hint("merge"), "seed", "left_semi"), "shared")
 
         # Whole spans that are equal.
         leads = stored(shared.groupBy("seed", "span").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").drop("last"), "leads")
-        tagged = stored(shared.join(leads, ["seed", "span"], "left").withColumn("settled", F.coalesce(F.col("doc_id") > F.col("lead"), F.lit(False))).drop("lead"), "tagged")
+        tagged = stored(shared.join(leads.hint("merge"), ["seed", "span"], "left").withColumn("settled", F.coalesce(F.col("doc_id") > F.col("lead"), F.lit(False))).drop("lead"), "tagged")
         settled = tagged.where("settled").select("doc_id", "row_key", "first", "n")
 
         # Spans that differ under the same seed: each of their windows.
         mixed = stored(tagged.where("not settled").groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("seed"), "mixed")
-        unsettled = tagged.where("not settled").join(mixed, "seed", "left_semi").withColumn("is_open", F.lit(True))
+        unsettled = tagged.where("not settled").join(mixed.hint("merge"), "seed", "left_semi").withColumn("is_open", F.lit(True))
         every = settled.selectExpr("cast(null as bigint) seed", "doc_id", "row_key", "first", "n", "false is_open").unionByName(unsettled.select("seed", "doc_id", "row_key", "first", "n", "is_open"))
         per_doc = every.groupBy("doc_id", "row_key").agg(
             F.collect_list(F.when(F.col("is_open"), F.struct("seed", "first", "n"))).alias("open"),
             F.collect_list(F.when(~F.col("is_open"), F.struct("first", "n"))).alias("cuts"),
         )
-        self.touched = stored(self.docs.join(per_doc, ["doc_id", "row_key"]), "touched")
+        self.touched = stored(self.docs.join(per_doc.hint("merge"), ["doc_id", "row_key"]), "touched")
         windows = stored(self.touched.where("size(open) > 0").select("doc_id", "row_key", "text", "open").mapInArrow(_windows(length), "seed bigint, window bigint, doc_id bigint, row_key bigint, first int"), "windows")
         least = stored(windows.groupBy("seed", "window").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").drop("last"), "least")
-        more = windows.join(least, ["seed", "window"]).where("doc_id > lead")
+        more = windows.join(least.hint("merge"), ["seed", "window"]).where("doc_id > lead")
         self.more = stored(more.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("first", F.lit(1).alias("n"))).alias("more")), "more")
         release(seeds, shared, leads, tagged, mixed, windows, least)
 
     def cut_texts(self) -> DataFrame:
         """doc_id, row_key, n_words, n_removed, kept_text, digest of the documents that may lose words."""
-        rows = self.touched.select("doc_id", "row_key", "text", "cuts").join(self.more, ["doc_id", "row_key"], "left")
+        rows = self.touched.select("doc_id", "row_key", "text", "cuts").join(self.more.hint("merge"), ["doc_id", "row_key"], "left")
         rows = rows.select("doc_id", "row_key", "text", F.concat("cuts", F.coalesce("more", F.expr("cast(array() as array<struct<first:int,n:int>>)"))).alias("cuts")).where("size(cuts) > 0")
         return rows.mapInArrow(_cut(self.length), "doc_id bigint, row_key bigint, n_words bigint, n_removed bigint, kept_text string, digest binary")
 
     def untouched(self) -> DataFrame:
         """The digests of all other documents' words."""
-        cut = self.touched.select("doc_id", "row_key", F.size("cuts").alias("c")).join(self.more.select("doc_id", "row_key", F.lit(1).alias("m")), ["doc_id", "row_key"], "left")
+        cut = self.touched.select("doc_id", "row_key", F.size("cuts").alias("c")).join(self.more.select("doc_id", "row_key", F.lit(1).alias("m")).hint("merge"), ["doc_id", "row_key"], "left")
         cut = cut.where("c > 0 or m = 1").select("doc_id", "row_key")
-        return self.seen.where("seed is null").select("doc_id", "row_key", F.col("n").cast("bigint").alias("n_words"), "digest").join(cut, ["doc_id", "row_key"], "left_anti")
+        return self.seen.where("seed is null").select("doc_id", "row_key", F.col("n").cast("bigint").alias("n_words"), "digest").join(cut.hint("merge"), ["doc_id", "row_key"], "left_anti")
 
 
 def repeat_digests(docs: DataFrame, length: int = 50) -> DataFrame:
