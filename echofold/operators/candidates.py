@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import stored
 from .fingerprint import BANDS, PERMUTATIONS, band_keys
 
 MAX_BUCKET, BUDGET = 200, 50_000
@@ -28,7 +29,7 @@ def collided_pairs(rows: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     anything is paired; pairs come from a join, never from collected groups.
     """
     usable = bucket_sizes(rows).where(F.col("n").between(2, max_bucket)).select("band", "key")
-    kept = rows.join(usable, ["band", "key"])
+    kept = stored(rows.join(usable, ["band", "key"]), "buckets")
     left, right = kept.withColumnRenamed("id", "l"), kept.withColumnRenamed("id", "r")
     return left.join(right, ["band", "key"]).where("l < r").select("l", "r").distinct()
 

@@ -50,4 +50,6 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out = current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out._echofold_path = current._echofold_path  # what release() drops
+    return out

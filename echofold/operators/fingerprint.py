@@ -34,7 +34,7 @@ def coefficients(n: int) -> list[tuple[int, int]]:
 def reduced(x: np.ndarray) -> np.ndarray:
     p = np.uint64(PRIME)
     x = (x & p) + (x >> np.uint64(61))
-    return np.where(x >= p, x - p, x)
+    return np.minimum(x, x - p)  # below p the difference wraps to a larger number
 
 
 def times(a: int, h: np.ndarray) -> np.ndarray:
@@ -45,16 +45,23 @@ def times(a: int, h: np.ndarray) -> np.ndarray:
     middle = ah * hl + al * hh  # times 2**32
     middle = (middle >> np.uint64(29)) + ((middle & np.uint64((1 << 29) - 1)) << np.uint64(32))
     lowest = al * hl
-    return reduced(reduced((ah * hh) << np.uint64(3)) + reduced(middle) + reduced(lowest))
+    lowest = (lowest & np.uint64(PRIME)) + (lowest >> np.uint64(61))
+    return reduced(((ah * hh) << np.uint64(3)) + middle + lowest)  # each under 2**62
 
 
-def minima(values: np.ndarray, offsets: np.ndarray, pairs: list[tuple[int, int]]) -> np.ndarray:
+def minima(values: np.ndarray, offsets: np.ndarray, pairs: list[tuple[int, int]], slice_size: int = 1 << 14) -> np.ndarray:
+    """Least values per set, a slice that stays in cache at a time."""
     out = np.full((len(offsets) - 1, len(pairs)), PRIME, dtype=np.int64)
     full = np.flatnonzero(np.diff(offsets))
-    if len(full):
-        h = reduced(values.view(np.uint64))
-        for k, (a, b) in enumerate(pairs):
-            out[full, k] = np.minimum.reduceat(reduced(times(a, h) + np.uint64(b)), offsets[:-1][full]).view(np.int64)
+    starts = offsets[:-1][full]
+    h = reduced(values.view(np.uint64))
+    for a in range(0, len(h), slice_size):
+        part = h[a : a + slice_size]
+        i, j = np.searchsorted(starts, a, side="right") - 1, np.searchsorted(starts, a + len(part), side="left")
+        cuts, rows = np.maximum(starts[i:j], a) - a, full[i:j]
+        for k, (x, y) in enumerate(pairs):
+            low = np.minimum.reduceat(reduced(times(x, part) + np.uint64(y)), cuts).view(np.int64)
+            out[rows, k] = np.minimum(out[rows, k], low)
     return out
 
 

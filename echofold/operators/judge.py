@@ -75,6 +75,12 @@ def detectors() -> dict[str, Detector]:
     }
 
 
+def involved(pairs: DataFrame, units: DataFrame, key: str = "id") -> DataFrame:
+    """The units that a pair (l, r) names."""
+    ends = pairs.select(F.col("l").alias(key)).unionByName(pairs.select(F.col("r").alias(key))).distinct()
+    return units.join(ends, key, "left_semi")
+
+
 def paired(pairs: DataFrame, units: DataFrame, key: str = "id") -> DataFrame:
     """Pairs (l, r) with both prepared units; the planner picks the join."""
     whole = F.struct(*units.columns)

@@ -152,7 +152,7 @@ def evidence_snippets(spark, sf_dir):
 
 def small_signatures(spark, sf_dir) -> DataFrame:
     sh = lexical.shingles(lexical.tokens(F.col("text")), 4)
-    return with_signature(docs(spark, sf_dir).select(F.col("doc_id").alias("id"), md5_hashes(sh).alias("hashes")), permutations=K)
+    return stored(with_signature(docs(spark, sf_dir).select(F.col("doc_id").alias("id"), md5_hashes(sh).alias("hashes")), permutations=K), "signed")
 
 
 SIGNATURE = f"""sh AS ({shingle_rows(TOKENS, 4)}),
@@ -208,10 +208,11 @@ def candidate_budget_cut(spark, sf_dir):
     SELECT l, r, estimated, CASE WHEN x.n IS NULL AND y.n IS NULL THEN 1.0::DOUBLE ELSE round(CAST(coalesce(k, 0) AS DOUBLE) / (coalesce(x.n, 0) + coalesce(y.n, 0) - coalesce(k, 0)), 6) END AS actual
     FROM est LEFT JOIN k USING (l, r) LEFT JOIN n x ON x.doc_id = l LEFT JOIN n y ON y.doc_id = r""")
 def estimated_vs_true_jaccard(spark, sf_dir):
-    signed = stored(small_signatures(spark, sf_dir), "signed")
+    signed = small_signatures(spark, sf_dir)
     pairs = candidates.collided_pairs(candidates.buckets(signed, K, K_BANDS))
     sh = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), lexical.shingles(lexical.tokens(F.col("text")), 4).alias("sh")).join(signed, "id")
-    both = judge.paired(pairs, sh)
+    pairs = stored(pairs, "pairs")
+    both = judge.paired(pairs, stored(judge.involved(pairs, sh), "units"))
     return both.select("l", "r", estimated_jaccard(F.col("left.signature"), F.col("right.signature")).alias("estimated"), F.round(lexical.jaccard(F.col("left.sh"), F.col("right.sh")), 6).alias("actual"))
 
 
@@ -229,14 +230,15 @@ def raw_candidates(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """(pairs l, r; units) of documents that collide in 32 bands of 4 over raw 4-shingles."""
     of = units(spark, sf_dir)
     sh = lexical.shingles(lexical.tokens(F.col("text")), 4)
-    signed = with_signature(of.select("id", md5_hashes(sh).alias("hashes")))
-    return candidates.collided_pairs(candidates.buckets(signed)), of
+    signed = stored(with_signature(of.select("id", md5_hashes(sh).alias("hashes"))), "signed")
+    return stored(candidates.collided_pairs(candidates.buckets(signed)), "pairs"), of
 
 
 def judged(spark, sf_dir) -> DataFrame:
     pairs, of = raw_candidates(spark, sf_dir)
     detector = judge.detectors()["raw"]
-    return detector.judge(judge.paired(pairs, detector.prepare(of).drop("text")))
+    prepared = stored(detector.prepare(judge.involved(pairs, of)).drop("text"), "units")
+    return detector.judge(judge.paired(pairs, prepared))
 
 
 def duplicates(spark, sf_dir) -> DataFrame:
@@ -374,9 +376,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def diverse_sample(spark, sf_dir):
     """Greedy and sequential, so no SQL; tests hold it against a plain walk."""
-    pairs, of = raw_candidates(spark, sf_dir)
-    detector = judge.detectors()["raw"]
-    rows = detector.judge(judge.paired(pairs, detector.prepare(of).drop("text")))
+    rows = judged(spark, sf_dir)
     return sampling.diverse(rows.select(F.col("left.name").alias("l"), F.col("right.name").alias("r"), F.col("left.path").alias("l_path"), F.col("right.path").alias("r_path"), F.col("structural").alias("similarity")))
 
 

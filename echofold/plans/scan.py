@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import lexical
 from ..operators import candidates as cand
-from ..operators import clusters, graph
+from ..operators import clusters, graph, judge
 from ..operators.fingerprint import BANDS, PERMUTATIONS, with_signature
 from ..operators.judge import Detector, detectors, paired, surfaceable
+from ..runtime import stored
 from ..sources import files as tree
 from ..sources import units as parsing
 
@@ -42,7 +43,7 @@ def detect(units: DataFrame, detector: Detector | None = None, budget: int = can
     """(surfaceable findings with l and r, candidates) of identified units."""
     detector = detector or detectors()["renamed"]
     found = cand.generate(signed(units), PERMUTATIONS, BANDS, budget, max_bucket)
-    prepared = detector.prepare(units)
+    prepared = stored(detector.prepare(judge.involved(found.pairs, units)), "units")
     return surfaceable(detector.judge(paired(found.pairs, prepared))), found
 
 

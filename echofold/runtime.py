@@ -43,6 +43,14 @@ def release(*frames: DataFrame) -> None:
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1000 rows, where the session has the default of 10000: rows are whole texts
+    here, and a batch is held several times over on its way to Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, "1000")
+
+
 def width(spark: SparkSession) -> int:
     """Reduce-side parallelism of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

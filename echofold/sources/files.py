@@ -137,7 +137,7 @@ def side_text(side: str, fetched: DataFrame | None, pairs: DataFrame, out: str)
     return rows.withColumn(out, F.coalesce(s["text"], F.array_join(lines, "\n"))).drop("_r", "_c", "_p", "source")
 
 
-def coherent(pairs: DataFrame) -> Column:
+def coherent() -> Column:
     """Whether a pair's label, advice and exclusion agree."""
     label, should = F.col("label"), F.col("should_consolidate")
     fits = F.when(label == "not_duplicate", should == "not_applicable").otherwise(should.isin("consolidate", "leave_alone"))

@@ -139,7 +139,7 @@ def test_corpus_and_bench(spark, tmp_path, capsys):
     (tmp_path / "c.jsonl").write_text("// note\n\n" + "\n".join(map(json.dumps, rows)) + "\n")
     pairs = tree.corpus(spark, str(tmp_path), "train")
     assert sorted(r["pair_id"] for r in pairs.collect()) == ["1", "2"]
-    ok = tree.corpus(spark, str(tmp_path)).withColumn("ok", tree.coherent(None)).orderBy("pair_id").collect()
+    ok = tree.corpus(spark, str(tmp_path)).withColumn("ok", tree.coherent()).orderBy("pair_id").collect()
     assert [r["ok"] for r in ok] == [True, True, False]
     gates = tmp_path / "g.toml"
     gates.write_text("[train]\nmin_precision = 0.5\nmin_recall = 0.5\n")
