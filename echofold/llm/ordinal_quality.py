@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import WordHasher, chunks, utf8
+from ..runtime import text_batches
+from .words import WordHasher, chunks, trimmed, utf8
 
 TRIGRAMS = 1 << 12
 MARKS = 40
@@ -82,7 +83,6 @@ class Regression:
         k = len(self.grades)
         if k < 2:
             return self
-        x = x.astype(np.float64)
         weight = weight / weight.sum()
         p = [self.w, np.array([self.first]), self.steps]
         m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
@@ -90,7 +90,7 @@ class Regression:
         for step in range(1, rounds + 1):
             self.first = float(p[1][0])
             t = self.thresholds()
-            score = x @ self.w
+            score = (x @ self.w.astype(np.float32)).astype(np.float64)
             below = 1 / (1 + np.exp(np.clip(score[:, None] - t, -60, 60)))  # P(grade <= g)
             full = np.concatenate([np.zeros((len(y), 1)), below, np.ones((len(y), 1))], axis=1)
             slope = full * (1 - full)
@@ -102,7 +102,7 @@ class Regression:
             np.add.at(dt, y, -weight * lo / like)
             dt = dt[1:k]
             tail = np.cumsum(dt[::-1])[::-1]
-            g = [x.T @ dscore - decay * self.w, np.array([dt.sum()]), tail[1:] * np.exp(self.steps)]
+            g = [x.T @ dscore.astype(np.float32) - decay * self.w, np.array([dt.sum()]), tail[1:] * np.exp(self.steps)]
             for a, d, mm, vv in zip(p, g, m, v):
                 mm *= 0.9
                 mm += 0.1 * d
@@ -128,11 +128,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2000, grade: str =
     y = np.array([model.grades.index(chosen[i]) for i, _ in rows])
     taken = np.bincount(y, minlength=len(model.grades))
     weight = np.array([counts[g] for g in model.grades])[y] / taken[y]
-    return model.fit(Features()(*utf8(pa.array([t for _, t in rows], pa.large_string()))), y, weight)
+    features = Features()
+    x = np.concatenate([features(*utf8(pa.array([t for _, t in rows[a : a + 64]], pa.large_string()))) for a in range(0, len(rows), 64)])
+    return model.fit(x, y, weight)
 
 
 def grade(docs: DataFrame, model: Regression, least: int | None = None, floor: float = 0.5) -> DataFrame:
     """doc_id, expected_grade, tail_probability of reaching ``least`` (default: the top grade), kept."""
+    text_batches(docs.sparkSession)
     grades = model.grades
     least = grades[-1] if least is None and grades else least
 
@@ -150,4 +153,4 @@ def grade(docs: DataFrame, model: Regression, least: int | None = None, floor: f
                         tail = np.ones(len(x))
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(expected), pa.array(tail), pa.array(tail >= floor)], names=["doc_id", "expected_grade", "tail_probability", "kept"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, OUT)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(trimmed(run), OUT)
