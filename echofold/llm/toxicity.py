@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import WordHasher, chunks, mix, utf8
+from ..runtime import text_batches
+from .words import WordHasher, chunks, mix, trimmed, utf8
 
 SPAN, STRIDE = 64, 48
 HIDDEN, DIM = 8, 8
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 14, 1 << 15
 GRAMS = (3, 5, 8)
 BATCH = 2048
+SLICE = 1 << 14  # words whose grams are looked up at once
 
 
 def word_breaks() -> np.ndarray:
@@ -39,18 +41,14 @@ def word_breaks() -> np.ndarray:
     return t
 
 
-def lowered(raw: np.ndarray) -> np.ndarray:
-    t = np.arange(256, dtype=np.uint8)
-    t[65:91] += 32
-    return t[raw]
-
-
 class Reader:
     """Texts to word indices, with hashed features of the distinct words."""
 
     def __init__(self):
         self.hasher = WordHasher(fold_case=True, space=word_breaks())
         self.breaks = word_breaks()
+        self.lower = np.arange(256, dtype=np.uint8)
+        self.lower[65:91] += 32
 
     def __call__(self, raw: np.ndarray, at: np.ndarray):
         """(word index of each word, offsets of texts, word buckets, gram buckets, gram offsets)."""
@@ -58,32 +56,34 @@ class Reader:
         distinct, first, index = np.unique(hashes, return_index=True, return_inverse=True)
         if not len(distinct):
             return index, off, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
-        bound = at[np.searchsorted(at, starts[first], side="right")]
-        ends = np.minimum(self._ends(raw, starts[first]), bound)
-        grams, sizes = self._grams(raw, starts[first], ends)
+        starts = starts[first]
+        bound = at[np.searchsorted(at, starts, side="right")]
+        ends = np.minimum(self._ends(raw, starts), bound)
+        grams = np.concatenate([self._grams(raw, starts[a : a + SLICE], ends[a : a + SLICE]) for a in range(0, len(starts), SLICE)])
+        sizes = (ends - starts) * len(GRAMS)
         return index, off, (distinct % np.uint64(WORD_BUCKETS)).astype(np.int64), grams, np.concatenate([[0], np.cumsum(sizes)])
 
     def _ends(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
         stops = np.append(np.flatnonzero(self.breaks[raw]), len(raw))
         return stops[np.searchsorted(stops, starts)]
 
-    def _grams(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    def _grams(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Buckets of the grams of each word, those of one place side by side."""
         sizes = ends - starts
         total = int(sizes.sum())
         word = np.repeat(np.arange(len(starts)), sizes)
         place = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[word]
         low, high = starts[word], ends[word]
-        text = lowered(raw)
-        out = np.empty((total, len(GRAMS)), dtype=np.int64)
+        out = np.empty((total, len(GRAMS)), dtype=np.int32)
         for g, n in enumerate(GRAMS):
             h = np.full(total, n, dtype=np.uint64)
             for d in range(-1, n - 1):
                 p = place + d
-                byte = text[np.clip(p, 0, len(text) - 1)].astype(np.uint64)
+                byte = self.lower[raw[np.clip(p, 0, len(raw) - 1)]].astype(np.uint64)
                 byte[p < low], byte[p >= high] = 1, 2
                 h = h * np.uint64(0x100000001B3) + byte
-            out[:, g] = (mix(h) % np.uint64(GRAM_BUCKETS)).astype(np.int64)
-        return out.reshape(-1), sizes * len(GRAMS)
+            out[:, g] = (mix(h) % np.uint64(GRAM_BUCKETS)).astype(np.int32)
+        return out.reshape(-1)
 
 
 def windows(off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,7 +111,7 @@ class Network:
             return (r.standard_normal(shape) * scale).astype(np.float32)
 
         self.p = {
-            "word": init(WORD_BUCKETS, d, scale=0.1), "gram": init(GRAM_BUCKETS, d, scale=0.3),
+            "word": init(WORD_BUCKETS, d, scale=0.02), "gram": init(GRAM_BUCKETS, d, scale=0.05),
             "x_fore": init(2 * d, 3 * h, scale=0.4), "x_back": init(2 * d, 3 * h, scale=0.4),
             "h_fore": init(h, 3 * h, scale=0.3), "h_back": init(h, 3 * h, scale=0.3),
             "b_fore": np.zeros(3 * h, np.float32), "b_back": np.zeros(3 * h, np.float32),
@@ -121,8 +121,9 @@ class Network:
     def inputs(self, words: np.ndarray, grams: np.ndarray, gram_off: np.ndarray) -> np.ndarray:
         x = np.empty((len(words), 2 * DIM), dtype=np.float32)
         x[:, :DIM] = self.p["word"][words]
-        if len(words):
-            x[:, DIM:] = np.add.reduceat(self.p["gram"][grams], gram_off[:-1], axis=0) / np.diff(gram_off)[:, None]
+        for a in range(0, len(words), SLICE):
+            off = gram_off[a : a + SLICE + 1]
+            x[a : a + SLICE, DIM:] = np.add.reduceat(self.p["gram"][grams[off[0] : off[-1]]], off[:-1] - off[0], axis=0) / np.diff(off)[:, None]
         return x
 
     def _run(self, proj: np.ndarray, at: np.ndarray, mask: np.ndarray, u: np.ndarray, back: bool, keep: bool):
@@ -238,8 +239,11 @@ def _row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return distinct, np.stack([np.bincount(at, weights=values[:, k], minlength=len(distinct)) for k in range(values.shape[1])], axis=1).astype(np.float32)
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 6, seed: int = 7, batch: int = 256, rate: float = 0.01) -> Network:
-    """Train on whole texts; the last two epochs learn from each text's strongest window alone."""
+def fit(texts: list[str], labels: list[int], epochs: int = 6, seed: int = 7, steps: int = 700, rate: float = 0.01) -> Network:
+    """Train on whole texts, for ``epochs`` at least and about ``steps`` steps where texts are few.
+
+    The last third of the epochs learns from each text's strongest window alone (of texts labelled 0, from all).
+    """
     net, reader = Network(seed), Reader()
     y = np.array(labels, dtype=np.float32)
     if not len(y) or y.min() == y.max():
@@ -249,12 +253,15 @@ def fit(texts: list[str], labels: list[int], epochs: int = 6, seed: int = 7, bat
     start, size, text = windows(off)
     if not len(start):
         return net
+    batch = 256 if len(start) > 16_384 else 64
+    epochs = max(epochs, min(80, -(-steps * batch // len(start))))
+    late = epochs - max(2, epochs // 3)
     # Texts count alike, whatever their length, and so do the two labels together.
     weight = (1 / np.bincount(text, minlength=len(y)).clip(1))[text] ** 0.5
     adam, rng = Adam(net.p, rate), np.random.default_rng(seed)
     for epoch in range(epochs):
         chosen = np.arange(len(start))
-        if epoch >= epochs - 2:
+        if epoch >= late:
             x = net.inputs(words, grams, gram_off)
             top = np.concatenate([net.logits(x, *_windowed(start[i : i + BATCH], size[i : i + BATCH], index)) for i in range(0, len(start), BATCH)])
             order = np.lexsort((-top, text))
@@ -272,7 +279,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 6, seed: int = 7, bat
             drop = rng.random(len(used)) < 0.3  # then the characters alone must do
             x[drop, :DIM] = 0
             logit, kept = net.logits(x, ids, mask, keep=True)
-            w = weight[part] if epoch < epochs - 2 else np.ones(len(part))
+            w = weight[part] if epoch < late else np.ones(len(part))
             dy = ((sigmoid(logit) - y[text[part]]) * w / w.sum()).astype(np.float32)
             g, dx = net.gradients(dy, x, ids, mask, kept)
             dx[drop, :DIM] = 0
@@ -285,24 +292,31 @@ def fit(texts: list[str], labels: list[int], epochs: int = 6, seed: int = 7, bat
     return net
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most max_rows of each label, those with the smallest hash of the id."""
+def sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[list[str], list[int], dict[int, int]]:
+    """Texts and labels of at most max_rows of each label, those with the smallest hash of the id; and the
+    numbers of all labelled rows that may be learned from."""
     held_in = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     held_in = held_in.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    counts = {r[0]: r[1] for r in held_in.groupBy("toxic").count().collect()}
     chosen: dict[int, int] = {}
     for label in (0, 1):
         chosen |= {r[0]: label for r in held_in.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("doc_id").collect()}
     rows = docs.where(F.col("doc_id").isin(list(chosen))).select(F.col("doc_id").cast("bigint"), "text").collect() if chosen else []
     rows = sorted((r[0], r[1] or "") for r in rows)
-    return [t for _, t in rows], [chosen[i] for i, _ in rows]
+    return [t for _, t in rows], [chosen[i] for i, _ in rows], counts
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2000) -> Network:
-    return fit(*sample(docs, labels, max_rows))
+    texts, marks, counts = sample(docs, labels, max_rows)
+    net = fit(texts, marks)
+    if 0 < sum(marks) < len(marks):  # from the sample's odds to those of all labelled rows
+        net.p["bias"] += np.float32(np.log(counts[1] / counts[0]) - np.log(sum(marks) / (len(marks) - sum(marks))))
+    return net
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
+    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
@@ -312,12 +326,13 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
                 s = sigmoid(text_logits(net, *utf8(part.column("text")), reader))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double, predicted int")
+    out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id bigint, score double, predicted int")
     return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")
 
 
 def without_toxic(docs: DataFrame, net: Network) -> DataFrame:
     """The documents, all columns, whose score is under one half; one pass, no shuffle."""
+    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
@@ -326,4 +341,4 @@ def without_toxic(docs: DataFrame, net: Network) -> DataFrame:
                 part = batch.slice(i, j - i)
                 yield part.filter(pa.array(text_logits(net, *utf8(part.column("text")), reader) < 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
