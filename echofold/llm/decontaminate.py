@@ -31,8 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import text_batches
 from .toxicity import word_breaks
-from .words import WordHasher, chunks, gram_hashes, mix, utf8
+from .words import WordHasher, chunks, gram_hashes, mix, trimmed, utf8
 
 ITEM_WORDS = 400_000
 SAMPLED, RECALL = 2, 0.999
@@ -265,8 +266,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.2) ->
 
     With a benchmark of one block (the usual case) the documents are passed once, without a shuffle.
     """
+    text_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    passes = [texts.mapInArrow(_scan(Items(b, share), _report), OUT) for b in _blocks(benchmark)]
+    passes = [texts.mapInArrow(trimmed(_scan(Items(b, share), _report)), OUT) for b in _blocks(benchmark)]
     if not passes:
         out = texts.selectExpr("doc_id", "0L n_items", "cast(null as bigint) best_item", "cast(null as bigint) best_distance")
     elif len(passes) == 1:
@@ -276,7 +278,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.2) ->
         many = [texts.withColumn("k", key).select("doc_id", "k").distinct().withColumn("n_items", F.lit(0).cast("bigint"))]
         for b in _blocks(benchmark):
             rows = texts.groupBy("doc_id", "text").count().select("doc_id", "text", key)
-            many.append(rows.mapInArrow(_scan(Items(b, share), lambda *x: _report(*x).append_column("k", x[0].column("k"))), OUT + ", k bigint"))
+            many.append(rows.mapInArrow(trimmed(_scan(Items(b, share), lambda *x: _report(*x).append_column("k", x[0].column("k")))), OUT + ", k bigint"))
         union = many[0]
         for m in many[1:]:
             union = union.unionByName(m, allowMissingColumns=True)
@@ -290,6 +292,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.2) ->
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.2) -> DataFrame:
     """The documents, all columns, that hold no item."""
+    text_batches(docs.sparkSession)
     for b in _blocks(benchmark):
-        docs = docs.mapInArrow(_scan(Items(b, share), _clean), docs.schema)
+        docs = docs.mapInArrow(trimmed(_scan(Items(b, share), _clean)), docs.schema)
     return docs

@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..runtime import stored, width
-from .words import WordHasher, chunks, mix, utf8
+from ..runtime import release, stored, text_batches, width
+from .words import WordHasher, chunks, mix, trimmed, utf8
 
 TREES, START, HASHES, REACH = 24, 4, 96, 16
 DEEPER, FIRST_TREES = 16, 8
@@ -206,10 +206,10 @@ def _neighbours(reach: int, sketch: bool):
 
 
 def _candidates(signed: DataFrame, reach: int, sketch: bool) -> DataFrame:
-    keys = signed.mapInArrow(_tree_keys(sketch), KEYS + ("".join(f", {s} bigint" for s in SKETCH) if sketch else ""))
+    keys = signed.mapInArrow(trimmed(_tree_keys(sketch)), KEYS + ("".join(f", {s} bigint" for s in SKETCH) if sketch else ""))
     order = ["k0", "k1", "k2", "id"]
     ordered = keys.repartitionByRange(width(signed.sparkSession), *order).sortWithinPartitions(*order)
-    return ordered.mapInArrow(_neighbours(reach, sketch), "a bigint, b bigint, tree int").groupBy("a", "b").agg(F.min("tree").alias("tree"))
+    return ordered.mapInArrow(trimmed(_neighbours(reach, sketch)), "a bigint, b bigint, tree int").groupBy("a", "b").agg(F.min("tree").alias("tree"))
 
 
 def _check(size: int, percent: int):
@@ -235,13 +235,19 @@ def _check(size: int, percent: int):
 def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     left = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
     rows = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(_check(size, percent), "a bigint, b bigint")
+    return rows.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(_check(size, percent)), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; links are |A and B| * 100 >= percent * |A or B|."""
+    return _classes(docs, size, percent)[0]
+
+
+def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The result, and the stored tables that it reads."""
+    text_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    signed = stored(docs.mapInArrow(_sign(size), SIGNED), "signed")
+    signed = stored(docs.mapInArrow(trimmed(_sign(size)), SIGNED), "signed")
     named = signed.where("n_shingles > 0 and doc_id is not null")
     sets = stored(named.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")), "sets")
     firsts = sets.select(F.col("rep").alias("doc_id")).distinct()
@@ -260,18 +266,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     tried = pairs.where(F.col("tree") < FIRST_TREES).select("a", "b")
     more = stored(_candidates(crowd.select("id", "signature", "part"), REACH, True).join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
-        links = stored(links.unionByName(_links(more, texts, size, percent)), "links")
-        parts = connected_components(links)
+        again = stored(links.unionByName(_links(more, texts, size, percent)), "links")
+        release(parts, links)
+        links, parts = again, connected_components(again)
+    release(reps, pairs, texts, links, more)
 
     same = ["f1", "f2", "n_shingles"]
     rows = signed.select("doc_id", *same).join(sets.hint("merge"), same, "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")))
     rows = rows.withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     rows = rows.join(parts.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out, [signed, sets, parts]
 
 
 def without_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all columns, that are the first of their component (rows without id all stay)."""
-    gone = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = stored(gone, "gone")
-    return docs.join(gone.hint("merge"), F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+    classes, tables = _classes(docs, size, percent)
+    gone = stored(classes.where("not kept").select(F.col("doc_id").alias("_echofold_gone")).distinct(), "gone")
+    release(*tables)
+    return docs.join(gone.hint("merge"), F.col("doc_id").cast("bigint") == F.col("_echofold_gone"), "left_anti")

@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import stored
-from .words import WordHasher, chunks, utf8
+from ..runtime import stored, text_batches
+from .words import WordHasher, chunks, trimmed, utf8
 
 BINS = 1024
 UNIT = 1 << 40
@@ -52,8 +52,9 @@ def token_counts(docs: DataFrame) -> DataFrame:
                 n = np.diff(np.concatenate([[0], np.cumsum(first)])[at])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), part.column("key"), pa.array(np.maximum(n, 1), pa.int64())], names=["doc_id", "source", "key", "n_tokens"])
 
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0).alias("key"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, source string, key bigint, n_tokens bigint")
+    return rows.mapInArrow(trimmed(run), "doc_id bigint, source string, key bigint, n_tokens bigint")
 
 
 def _measure(totals: DataFrame, low: float, high: float, budget: float) -> list[tuple[float, float, float]]:

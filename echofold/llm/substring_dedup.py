@@ -31,8 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import release, stored
-from .words import WordHasher, chunks, gram_hashes, mix, powers, utf8
+from ..runtime import release, stored, text_batches
+from .words import WordHasher, chunks, gram_hashes, mix, powers, trimmed, utf8
 
 GRAM = 12
 SPANS = "seed bigint, span bigint, doc_id bigint, row_key bigint, first int, n int, digest binary"
@@ -161,8 +161,9 @@ class Repeats:
 
     def __init__(self, docs: DataFrame, length: int = 50):
         self.length = length
+        text_batches(docs.sparkSession)
         self.docs, self.repeated_ids = _keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
-        self.seen = stored(self.docs.select("doc_id", "row_key", "text").mapInArrow(_seeds(length), SPANS), "spans")
+        self.seen = stored(self.docs.select("doc_id", "row_key", "text").mapInArrow(trimmed(_seeds(length)), SPANS), "spans")
         spans = self.seen.where("seed is not null").drop("digest")
 
         # Join on seeds, of those only that occur in two documents.
@@ -183,7 +184,7 @@ class Repeats:
             F.collect_list(F.when(~F.col("is_open"), F.struct("first", "n"))).alias("cuts"),
         )
         self.touched = stored(self.docs.join(per_doc.hint("merge"), ["doc_id", "row_key"]), "touched")
-        windows = stored(self.touched.where("size(open) > 0").select("doc_id", "row_key", "text", "open").mapInArrow(_windows(length), "seed bigint, window bigint, doc_id bigint, row_key bigint, first int"), "windows")
+        windows = stored(self.touched.where("size(open) > 0").select("doc_id", "row_key", "text", "open").mapInArrow(trimmed(_windows(length)), "seed bigint, window bigint, doc_id bigint, row_key bigint, first int"), "windows")
         least = stored(windows.groupBy("seed", "window").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").drop("last"), "least")
         more = windows.join(least.hint("merge"), ["seed", "window"]).where("doc_id > lead")
         self.more = stored(more.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("first", F.lit(1).alias("n"))).alias("more")), "more")
@@ -193,7 +194,7 @@ class Repeats:
         """doc_id, row_key, n_words, n_removed, kept_text, digest of the documents that may lose words."""
         rows = self.touched.select("doc_id", "row_key", "text", "cuts").join(self.more.hint("merge"), ["doc_id", "row_key"], "left")
         rows = rows.select("doc_id", "row_key", "text", F.concat("cuts", F.coalesce("more", F.expr("cast(array() as array<struct<first:int,n:int>>)"))).alias("cuts")).where("size(cuts) > 0")
-        return rows.mapInArrow(_cut(self.length), "doc_id bigint, row_key bigint, n_words bigint, n_removed bigint, kept_text string, digest binary")
+        return rows.mapInArrow(trimmed(_cut(self.length)), "doc_id bigint, row_key bigint, n_words bigint, n_removed bigint, kept_text string, digest binary")
 
     def untouched(self) -> DataFrame:
         """The digests of all other documents' words."""
@@ -213,9 +214,9 @@ def repeat_digests(docs: DataFrame, length: int = 50) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """The documents with repeated passages taken out; texts without repeats stay as they are."""
     found = Repeats(docs, length)
-    cut = found.cut_texts().select("doc_id", "row_key", F.col("kept_text").alias("_kept"))
+    cut = found.cut_texts().select(F.col("doc_id").alias("_echofold_id"), F.col("row_key").alias("_echofold_key"), F.col("kept_text").alias("_echofold_text"))
+    key = F.lit(0).cast("bigint")
     if found.repeated_ids:
-        cut = cut.dropDuplicates(["doc_id", "row_key"])
-    rows = _keyed(docs)[0].withColumn("_id", F.col("doc_id").cast("bigint"))
-    joined = rows.join(cut.withColumnRenamed("doc_id", "_cut_id").withColumnRenamed("row_key", "_cut_key"), (F.col("_id") == F.col("_cut_id")) & (F.col("row_key") == F.col("_cut_key")), "left")
-    return joined.select(*[F.coalesce("_kept", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+        cut, key = cut.dropDuplicates(["_echofold_id", "_echofold_key"]), F.xxhash64("text")
+    joined = docs.join(cut.hint("merge"), (F.col("doc_id").cast("bigint") == F.col("_echofold_id")) & (key == F.col("_echofold_key")), "left")
+    return joined.select(*[F.coalesce("_echofold_text", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

@@ -7,6 +7,7 @@ so a whole block of texts is hashed without a Python step per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,6 +76,22 @@ def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES) -> Itera
         start = min(stop, n)
 
 
+def trimmed(run):
+    """``run`` over batches, and the memory that it freed given back to the system when it ends: Python
+    workers live on between tasks, and what one operator's arrays took would stay with them."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 class WordHasher:
     """Word hashes of texts; ``fold_case`` lower-cases A-Z first, ``space`` says which bytes part words."""
 
