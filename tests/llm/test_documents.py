@@ -52,6 +52,8 @@ def test_near_duplicates(spark, seed, size):
     rows = corpus(seed)
     got = minhash_forest.near_duplicates(odd(spark, table(spark, rows)), size).collect()
     assert sorted(map(tuple, got)) == brute.near_duplicates([r[:2] for r in rows], size)
+    left = minhash_forest.without_copies(odd(spark, table(spark, rows)), size)
+    assert sorted(r["doc_id"] for r in left.where("_gone = 'x'").collect()) == [r["doc_id"] for r in sorted(got) if r["kept"]]
 
 
 def test_near_duplicates_of_a_crowd(spark):
@@ -90,7 +92,10 @@ def test_substring_dedup(spark, seed):
     got = substring_dedup.repeat_digests(odd(spark, table(spark, rows))).collect()
     want = brute.substring_dedup([r[:2] for r in rows])
     assert sorted(map(tuple, got)) == want and sum(w[2] for w in want) > 0
-    kept = {r["doc_id"]: r["text"] for r in substring_dedup.without_repeats(table(spark, rows)).collect()}
+    whole = odd(spark, table(spark, rows))
+    cut = substring_dedup.without_repeats(whole)
+    assert cut.columns == whole.columns and cut.where("row_key <> 'x' or _gone <> 'x'").count() == 0
+    kept = {r["doc_id"]: r["text"] for r in cut.collect()}
     import hashlib
 
     assert {d: hashlib.sha256(" ".join(brute.WORD.findall(t or "")).encode()).hexdigest() for d, t in kept.items()} == {w[0]: w[3] for w in want}
