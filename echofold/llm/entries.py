@@ -101,4 +101,46 @@ ORACLES = {
             GROUP BY r
         )
         SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN hit USING (r)""",
+    "op1_near_duplicates": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+            FROM documents
+        ), sh AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM w
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+        ), common AS (
+            SELECT a.doc_id AS l, b.doc_id AS r, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ), link AS (
+            SELECT l, r FROM common JOIN n x ON x.doc_id = l JOIN n y ON y.doc_id = r WHERE 100 * k >= 80 * (x.n + y.n - k)
+        ), e AS (
+            SELECT l AS u, r AS v FROM link UNION SELECT r, l FROM link
+        ), reach(node, other) AS (
+            SELECT DISTINCT u, u FROM e UNION SELECT reach.node, e.v FROM reach JOIN e ON e.u = reach.other
+        ), c AS (
+            SELECT node, min(other) AS component FROM reach GROUP BY node
+        )
+        SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id""",
+    "op5_substring_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+        ), starts AS (
+            SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50
+        ), win AS (
+            SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM starts
+        ), lead AS (
+            SELECT h, min(doc_id) AS d FROM win GROUP BY h
+        ), gone AS (
+            SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN lead USING (h) WHERE doc_id > d)
+        ), pos AS (
+            SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM w
+        ), kept AS (
+            SELECT pos.doc_id, string_agg(word, ' ' ORDER BY pos.p) AS t
+            FROM pos LEFT JOIN gone ON gone.doc_id = pos.doc_id AND gone.p = pos.p WHERE gone.p IS NULL GROUP BY 1
+        ), cut AS (
+            SELECT doc_id, count(*) AS g FROM gone GROUP BY 1
+        )
+        SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(g, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM w LEFT JOIN cut ON cut.doc_id = w.doc_id LEFT JOIN kept ON kept.doc_id = w.doc_id""",
 }
