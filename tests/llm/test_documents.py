@@ -320,3 +320,18 @@ def test_quality_grades(spark):
     assert good >= 0.97 * len(rows) and all(0 <= r["expected_grade"] <= 2 and 0 <= r["tail_probability"] <= 1 for r in out)
     assert ordinal_quality.grade(docs, ordinal_quality.train(docs, known.limit(0))).where("kept").count() == len(rows)
     assert ordinal_quality.grade(docs.limit(0), model).count() == 0
+
+
+def test_near_duplicates_of_a_hub(spark):
+    """Near copies of one text that are below the threshold among themselves, more than all windows reach."""
+    r = random.Random(11)
+    base = [f"b{i}" for i in range(200)]
+    rows = [(5000, " ".join(base), "s")]
+    for i in range(900):
+        t = list(base)
+        for j in r.sample(range(1, 199), 10):
+            t[j] = f"x{i}_{j}"
+        rows.append((i, " ".join(t), "s"))
+    rows.append((6000, " ".join(t[:100]), "s"))
+    got = {x["doc_id"]: x["component_id"] for x in minhash_forest.near_duplicates(table(spark, rows), 2).collect()}
+    assert got == dict.fromkeys([*range(900), 5000], 0) | {6000: 6000}
