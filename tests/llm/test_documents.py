@@ -335,3 +335,19 @@ def test_near_duplicates_of_a_hub(spark):
     rows.append((6000, " ".join(t[:100]), "s"))
     got = {x["doc_id"]: x["component_id"] for x in minhash_forest.near_duplicates(table(spark, rows), 2).collect()}
     assert got == dict.fromkeys([*range(900), 5000], 0) | {6000: 6000}
+
+
+def test_near_duplicates_with_few_common_minima(spark):
+    """Of pairs at exactly 0.8, those whose signatures agree least are linked like the others."""
+    import numpy as np
+
+    texts = []
+    for i in range(12000):
+        same = " ".join(f"c{i}_{j}" for j in range(40))
+        texts += [same + "".join(f" {side}{i}_{j}" for j in range(5)) for side in "lr"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    sig = np.concatenate([minhash_forest._signatures(b) for b in minhash_forest._sign(1)([batch])])
+    agree = ((sig[::2] ^ sig[1::2]) & np.uint64(15) == 0).sum(axis=1)
+    worst = [2 * i + side for i in np.argsort(agree, kind="stable")[:40].tolist() for side in (0, 1)]
+    got = minhash_forest.near_duplicates(table(spark, [(i, texts[i], "s") for i in worst]), 1).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == {i: i - i % 2 for i in worst}
