@@ -213,11 +213,10 @@ class Items:
 
     @staticmethod
     def _stretch(words: np.ndarray, off: np.ndarray, text: np.ndarray, start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """n words from each start, cut to the text; zeros beyond. Rows and their lengths."""
-        low = np.maximum(start, off[text])
-        at = low[:, None] + np.arange(n)
-        ok = at < np.minimum(off[text + 1], start + n)[:, None]
-        return np.where(ok, words[np.minimum(at, max(0, len(words) - 1))], np.uint64(0)), ok.sum(axis=1)
+        """n words from each start, zeros before and beyond the text. Rows, and how far the text reaches in them."""
+        at = start[:, None] + np.arange(n)
+        ok = (at >= off[text][:, None]) & (at < off[text + 1][:, None])
+        return np.where(ok, words[np.clip(at, 0, max(0, len(words) - 1))], np.uint64(0)), np.clip(off[text + 1] - start, 0, n)
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:

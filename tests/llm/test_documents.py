@@ -351,3 +351,21 @@ def test_near_duplicates_with_few_common_minima(spark):
     worst = [2 * i + side for i in np.argsort(agree, kind="stable")[:40].tolist() for side in (0, 1)]
     got = minhash_forest.near_duplicates(table(spark, [(i, texts[i], "s") for i in worst]), 1).collect()
     assert {x["doc_id"]: x["component_id"] for x in got} == {i: i - i % 2 for i in worst}
+
+
+def planted(n, count, seed, damage):
+    """How many of ``count`` texts with a damaged item of n words are found to hold it."""
+    r, hasher, found = random.Random(seed), decontaminate.WordHasher(fold_case=True, space=decontaminate.word_breaks()), 0
+    for _ in range(0, count, 50):
+        items = [" ".join(f"i{r.randrange(10**9)}" for j in range(n)) for k in range(50)]
+        texts = [" ".join(damage(r, item.split())) for item in items]
+        text, item, _ = decontaminate.Items(list(enumerate(items)), 0.2).found(*hasher(*utf8(pa.array(texts))))
+        found += sum(a == b for a, b in zip(text.tolist(), item.tolist()))
+    return found
+
+
+@pytest.mark.parametrize("n", [20, 40, 60, 100])
+def test_items_cut_at_the_ends_of_a_document(n):
+    e, tail = n // 5, [f"t{j}" for j in range(50)]
+    assert planted(n, 300, 1, lambda r, w: w[e:] + tail) >= 299
+    assert planted(n, 300, 2, lambda r, w: tail + w[:-e]) >= 299
