@@ -9,7 +9,7 @@ Candidates. Each window, and each item, is embedded by CGK random walks (Chakrab
 Koucky, 2016): the walk copies the current word and moves on by a random bit that depends on the place
 and the word, so that few edits become a small Hamming distance. Bit-sampling keys of a few places of
 the embedding, repeated with fresh walks and samples, are looked up among the items' keys. The number of
-repeats follows from the target recall at the largest distance allowed.
+repeats is the one that reaches the target recall, at the largest distance allowed, on simulated walks.
 
 Verification. Candidates are checked by exact edit distance (the item against the best stretch around
 the window).
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ from .words import WordHasher, chunks, gram_hashes, mix, trimmed, utf8
 
 ITEM_WORDS = 400_000
 SAMPLED, RECALL = 2, 0.999
+TRIALS, LONGEST = 8000, 200
 FILTER_BITS = 22
 OUT = "doc_id bigint, n_items bigint, best_item bigint, best_distance bigint"
 
@@ -50,15 +52,6 @@ def run_length(n: int, e: int) -> int:
     return max(1, min(4, -(-(n - e) // (e + 1))))
 
 
-def repeats(e: int, n: int, recall: float) -> int:
-    """Walks needed for the target recall: an edit costs about two walks' steps out of phase in each of
-    the 3n places until they meet again; half of the places differing at worst is assumed for e > 0."""
-    if e == 0:
-        return 1
-    agree = max(0.35, 1 - e / n) ** SAMPLED / 2
-    return math.ceil(math.log(1 - recall) / math.log(1 - agree))
-
-
 def walks(words: np.ndarray, seed: int, places: int | None = None) -> np.ndarray:
     """CGK embedding of rows of equal length n into 3n places, or the first few of them.
 
@@ -91,6 +84,42 @@ def edit_distance(items: np.ndarray, stretches: np.ndarray, lengths: np.ndarray)
     return d.min(axis=1)
 
 
+def sampled(n: int, r: int) -> np.ndarray:
+    """The places of repeat r for items of n words."""
+    return np.random.default_rng(n * 1009 + r).choice(2 * n, SAMPLED, replace=False) if n > 1 else np.array([0, 0])
+
+
+@lru_cache(maxsize=4096)
+def _simulated(n: int, e: int, recall: float) -> int:
+    rng, needed = np.random.default_rng([n, e]), 1
+    for evenly in (True, False):
+        words = mix(rng.integers(1, 1 << 62, (TRIALS, n), dtype=np.uint64))
+        at = np.tile(np.linspace(0, n - 1, e).astype(np.int64), (TRIALS, 1)) if evenly else rng.random((TRIALS, n)).argsort(axis=1)[:, :e]
+        edited = words.copy()
+        np.put_along_axis(edited, at, mix(rng.integers(1, 1 << 62, (TRIALS, e), dtype=np.uint64)), axis=1)
+        r = 0
+        while len(words) > TRIALS * (1 - recall) / 2:
+            places = sampled(n, r)
+            x, y = (walks(w, r, int(places.max()) + 1)[:, places] for w in (words, edited))
+            missed = (x != y).any(axis=1)
+            words, edited, r = words[missed], edited[missed], r + 1
+        needed = max(needed, r)
+    return needed
+
+
+def repeats(e: int, n: int, recall: float) -> int:
+    """Walks needed for the target recall of an item of n words at exactly e edits: as many as leave half
+    of the allowed misses among simulated items with e words replaced, at even distances and at random
+    (in a block fewer are needed). Lengths are rounded up to steps of a quarter, and long items, which
+    would take long to simulate, grow in proportion from LONGEST."""
+    if e == 0:
+        return 1
+    step = 4
+    while step < min(n, LONGEST):
+        step = max(step + 1, step * 5 // 4)
+    return math.ceil(_simulated(step, max(1, math.ceil(e / n * step - 1e-9)), recall) * max(1.0, n / step))
+
+
 class Items:
     """The benchmark, in groups of equal length, with run index and walk keys."""
 
@@ -119,6 +148,7 @@ class Items:
             bits = np.zeros(1 << FILTER_BITS, dtype=bool)
             bits[runs & np.uint64((1 << FILTER_BITS) - 1)] = True
             self.index[q] = (runs[order], item[order], place[order], bits)
+        self.repeats = {n: repeats(e, n, recall) for n, e in sorted(set(zip(self.n.tolist(), self.e.tolist())))}
         self.tables = {}
 
     def seeds(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,8 +190,8 @@ class Items:
             mine = np.flatnonzero(self.n == n)
             rows = np.stack([self.words[k] for k in mine])
             out = []
-            for r in range(repeats(int(self.e[mine[0]]), n, self.recall)):
-                places = np.random.default_rng(n * 1009 + r).choice(2 * n, SAMPLED, replace=False) if n > 1 else np.array([0, 0])
+            for r in range(self.repeats[n]):
+                places = sampled(n, r)
                 keys = self._keys(rows, r, places)
                 order = np.argsort(keys, kind="stable")
                 out.append((keys[order], mine[order], places))

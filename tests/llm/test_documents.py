@@ -369,3 +369,11 @@ def test_items_cut_at_the_ends_of_a_document(n):
     e, tail = n // 5, [f"t{j}" for j in range(50)]
     assert planted(n, 300, 1, lambda r, w: w[e:] + tail) >= 299
     assert planted(n, 300, 2, lambda r, w: tail + w[:-e]) >= 299
+
+
+@pytest.mark.parametrize("n", [30, 60, 100])
+def test_items_at_the_largest_distance(n):
+    """All edits spent on replaced words, at random places and at even distances."""
+    replaced = lambda w, at: [f"x{j}" if j in at else v for j, v in enumerate(w)]
+    assert planted(n, 1000, 3, lambda r, w: replaced(w, set(r.sample(range(n), n // 5)))) >= 997
+    assert planted(n, 1000, 4, lambda r, w: replaced(w, set(range(0, n, 5)))) >= 997
