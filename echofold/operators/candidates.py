@@ -34,6 +34,22 @@ def collided_pairs(rows: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     return left.join(right, ["band", "key"]).where("l < r").select("l", "r").distinct()
 
 
+def all_collided_pairs(signed: DataFrame) -> DataFrame:
+    """l, r (l < r): all pairs of units that share a bucket of whatever size.
+
+    Units of one signature share all buckets, so they are folded into their first before banding and
+    every pair is formed once from its two groups, not once for each band.
+    """
+    firsts = stored(signed.groupBy("signature").agg(F.min("id").alias("first")), "firsts")
+    of = stored(signed.join(firsts.hint("merge"), "signature").select("id", "first"), "members")
+    left, right = of.select(F.col("id").alias("x"), F.col("first").alias("l")), of.select(F.col("id").alias("y"), F.col("first").alias("r"))
+    groups = collided_pairs(buckets(firsts.select(F.col("first").alias("id"), "signature")), 1 << 62)
+    between = groups.join(left.hint("merge"), "l").join(right.hint("merge"), "r")
+    within = left.join(right.hint("merge"), F.col("l") == F.col("r")).where("x < y")
+    pairs = between.select("x", "y").unionByName(within.select("x", "y"))
+    return pairs.where("x <> y").select(F.least("x", "y").alias("l"), F.greatest("x", "y").alias("r")).distinct()
+
+
 @dataclass(frozen=True)
 class CandidateSet:
     pairs: DataFrame

@@ -227,11 +227,13 @@ def minhash_blake2b_signature(spark, sf_dir):
 
 
 def raw_candidates(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """(pairs l, r; units) of documents that collide in 32 bands of 4 over raw 4-shingles."""
+    """(pairs l, r; units) of documents with shingles that collide in 32 bands of 4 over raw 4-shingles.
+
+    No bucket is skipped: what reads them returns final pairs and clusters, as its SQL does."""
     of = units(spark, sf_dir)
     sh = lexical.shingles(lexical.tokens(F.col("text")), 4)
-    signed = stored(with_signature(of.select("id", md5_hashes(sh).alias("hashes"))), "signed")
-    return stored(candidates.collided_pairs(candidates.buckets(signed)), "pairs"), of
+    signed = stored(with_signature(of.select("id", md5_hashes(sh).alias("hashes")).where(F.size("hashes") > 0)), "signed")
+    return stored(candidates.all_collided_pairs(signed), "pairs"), of
 
 
 def judged(spark, sf_dir) -> DataFrame:

@@ -149,3 +149,17 @@ def test_diverse_sample_equals_a_plain_walk(spark):
 
 def test_diverse_sample_of_nothing(spark):
     assert sampling.diverse(spark.createDataFrame([], sampling.SCHEMA)).count() == 0
+
+
+def test_large_groups_of_copies_are_whole(spark, tmp_path):
+    """More copies than the cap of the candidate list: pairs as in the SQL, and one component."""
+    from compare import duck, rows_of
+    from echofold.plans import registry
+
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words)] * 230 + [" ".join([*words[:-1], f"z{i}"]) for i in range(5)] + ["", "", "other words of one more text"]
+    rows = [(i, t, "en", "src1", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    df, cur = registry.QUERIES["structural_overlap_pairs"](spark, str(tmp_path)), duck(str(tmp_path)).execute(registry.ORACLES["structural_overlap_pairs"])
+    assert rows_of(df.columns, df.collect()) == rows_of([c[0] for c in cur.description], cur.fetchall())
+    assert {tuple(r) for r in registry.QUERIES["duplicate_components"](spark, str(tmp_path)).collect()} == {(i, 0) for i in range(235)}
