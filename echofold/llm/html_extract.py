@@ -6,7 +6,8 @@ nearest landmark) and its text (length, links, punctuation, place). Two labels,
 are decoded together by Viterbi with learned transitions. The field is trained by maximum likelihood
 on labelled pages: ``label_pages`` composes pages of many layouts and marks the blocks of the article.
 
-Scripts, styles, comments, templates and the head have no blocks. Character references are decoded, white
+Scripts, styles, comments, templates and the head have no blocks; the head ends where the first text or
+element that cannot be in it begins, and a silent element that is never closed silences nothing. Character references are decoded, white
 space in a block becomes one space (a line break element counts as white space), blocks are joined by a
 line feed. Inline elements do not part words.
 
@@ -30,7 +31,7 @@ from ..runtime import text_batches
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
-SILENT = frozenset("script style template noscript title head iframe object svg math canvas audio video".split())
+SILENT = frozenset("script style template noscript title iframe object svg math canvas audio video".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table div section article body select".split())
@@ -52,6 +53,7 @@ HINT_OF = {w: k for k, ws in HINTS.items() for w in ws}
 
 TOKEN = re.compile(r"<!--(?s:.*?)(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 MARKS = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+IN_HEAD = frozenset("title noscript".split())  # at the latest they end with the head
 PARTS = re.compile(r"[a-z]+")
 
 
@@ -86,6 +88,12 @@ def blocks(page: str) -> list[Block]:
     stack: list[Element] = []
     parts: list[str] = []
     linked, in_link, silent, at = 0, 0, "", 0
+    last_ends: dict[str, int] = {}
+
+    def closed_later(tag: str) -> bool:
+        if tag not in last_ends:
+            last_ends[tag] = max((m.start() for m in re.finditer(rf"</{tag}[\s/>]", page, re.I)), default=-1)
+        return last_ends[tag] >= at
 
     def text_of(raw: str) -> None:
         nonlocal linked
@@ -113,19 +121,30 @@ def blocks(page: str) -> list[Block]:
         if not tag:
             continue
         closing = (m[1] or m[4]) == "/"
-        if silent:
-            if closing and tag == silent:
-                silent = ""
+        if tag in ("script", "style") and not closing:  # raw text: nothing in it is a tag
+            if not silent:
+                flush()
+            end = re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
+            at = end.end() if end else len(page)
             continue
+        if silent:
+            if closing and tag in (silent, "head") or tag == "body":
+                if tag == silent or silent in IN_HEAD:
+                    silent = ""
+            if silent or closing or tag != "body":
+                continue
         if tag in SILENT:
             if closing:
                 continue
             flush()
-            if tag in ("script", "style"):  # raw text: nothing in it is a tag
-                end = re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            elif not (m[3] or m[6] or "").endswith("/"):
-                silent = tag
+            if not (m[3] or m[6] or "").endswith("/"):
+                if closed_later(tag):
+                    silent = tag
+                elif tag == "title":  # never closed: its text ends with the next tag
+                    at = page.find("<", at) if "<" in page[at:] else len(page)
+            continue
+        if tag == "head":  # what has no text there is silent by itself; other text is the body's
+            flush()
             continue
         if tag in INLINE:
             if tag == "a":

@@ -151,3 +151,25 @@ def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "head",
+    [
+        "<html><head><title>t</title>", "<html><head><title>t</title><noscript><link href=a>", "<html><head><title>t", "<html><head><title>t</head>",
+        "<html><head><title>t</title><script>var a='</head>'</script><style>p{}</style>", "<html><head><title>t</title></head>",
+    ],
+)
+def test_pages_without_the_end_of_their_head(head):
+    page = head + "<body><article><h1>Head line</h1><p>First paragraph of the text.</p></article></body></html>"
+    assert [b.text for b in html_extract.blocks(page)] == ["Head line", "First paragraph of the text."]
+
+
+def test_silent_elements_stay_silent():
+    page = "<head><title>a <b>c</b></title><noscript><p>no</p></noscript></head><body><template><p>x</p><script>'</template>'</script><p>y</p></template><svg><title>z</title></svg><p>One.</p>"
+    assert [b.text for b in html_extract.blocks(page)] == ["One."]
+
+
+def test_unclosed_silent_elements_silence_nothing():
+    page = "<head><title>t</title><body><p>One.</p><svg><p>Two.</p><object><p>Three."
+    assert [b.text for b in html_extract.blocks(page)] == ["One.", "Two.", "Three."]
