@@ -8,6 +8,7 @@ from ..runtime import table
 from . import decontaminate, html_extract, mixing, ordinal_quality, toxicity
 from .kdtree_topk import top_k
 from .minhash_forest import near_duplicates
+from .mixing import MOST, UNIT
 from .prefix_tokens import count_tokens
 from .substring_dedup import repeat_digests
 from .url_filter import RULE_SCHEMA, judge_urls
@@ -122,6 +123,42 @@ ORACLES = {
         )
         SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept
         FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id""",
+    "op7_mixing": rf"""
+        WITH RECURSIVE c AS (
+            SELECT doc_id, source, CAST(greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS n FROM documents
+        ), t AS (
+            SELECT source, CAST(sum(n) AS BIGINT) AS tokens FROM c GROUP BY source
+        ), b AS (
+            SELECT CAST(sum(tokens) AS BIGINT) AS budget, list(tokens) AS tokens, list(CAST(tokens AS DOUBLE) / (SELECT max(tokens) FROM t)) AS share FROM t
+        ), find(step, goal, low, high, budget, tokens, share) AS (  -- bisection: 0 the entropy, 1 and 2 the bounds of the repetition
+            SELECT 0, goal, low, high, budget, tokens, share FROM b, (VALUES (0, 0::DOUBLE, {MOST}::DOUBLE), (1, 0::DOUBLE, 1::DOUBLE), (2, 1::DOUBLE, {MOST}::DOUBLE)) AS g(goal, low, high)
+            UNION ALL
+            SELECT step + 1, goal, CASE WHEN low_side THEN mid ELSE low END, CASE WHEN low_side THEN high ELSE mid END, budget, tokens, share
+            FROM (
+                SELECT *, CASE goal WHEN 0 THEN ln(z) - list_sum(list_transform(v, lambda x: CASE WHEN x > 0 THEN x * ln(x) ELSE 0 END)) / z > {TARGET_ENTROPY}::DOUBLE
+                                    WHEN 1 THEN r > {MAX_REPETITION}::DOUBLE * (1 + 1e-9::DOUBLE) ELSE r <= {MAX_REPETITION}::DOUBLE * (1 + 1e-9::DOUBLE) END AS low_side
+                FROM (SELECT *, list_sum(v) AS z, list_max(list_transform(range(1, len(v) + 1), lambda i: v[i] / tokens[i])) / list_sum(v) * budget AS r
+                      FROM (SELECT *, (low + high) / 2 AS mid, list_transform(share, lambda x: pow(x, (low + high) / 2)) AS v FROM find WHERE step < 60))
+            )
+        ), a AS (
+            SELECT round(CASE WHEN e < 1 THEN greatest(e, least) ELSE least(e, most) END, 6) AS a
+            FROM (SELECT max(high) FILTER (WHERE goal = 0) AS e, max(high) FILTER (WHERE goal = 1) AS least, max(high) FILTER (WHERE goal = 2) AS most FROM find WHERE step = 60)
+        ), v AS (
+            SELECT source, t.tokens, budget, CAST(pow(CAST(t.tokens AS DOUBLE) / (SELECT max(tokens) FROM t), a) AS DECIMAL(38, 12)) AS v FROM t, a, b
+        ), plan AS (
+            SELECT source, tokens, budget, target, target // tokens AS full_passes, target % tokens AS room, CAST(target AS DOUBLE) / tokens AS passes
+            FROM (SELECT source, tokens, budget, CAST(round(CAST(v AS DOUBLE) / CAST((SELECT sum(v) FROM v) AS DOUBLE) * budget) AS BIGINT) AS target FROM v)
+        ), every AS (
+            SELECT doc_id, c.source, n, pass_no, full_passes, room, passes, ceil(budget / 1048576::DOUBLE) AS n_blocks,
+                   CAST('0x' || substr(md5('mix:' || pass_no || ':' || doc_id || ':0'), 1, 10) AS BIGINT) AS spot
+            FROM (SELECT *, unnest(range(0, full_passes + 1)) AS pass_no FROM plan) p JOIN c ON c.source IS NOT DISTINCT FROM p.source
+        ), summed AS (
+            SELECT *, sum(n) OVER (PARTITION BY source, pass_no ORDER BY spot, doc_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM every
+        )
+        SELECT doc_id, source, n AS n_tokens, CAST(pass_no AS INTEGER) AS pass_no,
+               CAST(least(floor((pass_no + spot / {UNIT}::DOUBLE) / passes * n_blocks), n_blocks - 1) AS INTEGER) AS block,
+               CAST('0x' || substr(md5('mix:b' || pass_no || ':' || doc_id || ':0'), 1, 10) AS BIGINT) AS place
+        FROM summed WHERE pass_no < full_passes OR upto <= room""",
     "op5_substring_dedup": r"""
         WITH w AS (
             SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents

@@ -1,5 +1,6 @@
 """Operators on documents against brute force, and their defined results for odd rows."""
 
+import math
 import random
 
 import brute
@@ -205,41 +206,59 @@ def test_contamination_in_several_passes(spark, monkeypatch):
     assert decontaminate.contamination(table(spark, rows).limit(0), bench).count() == 0
 
 
-def test_mixing(spark):
+def mixed_rows():
     r = random.Random(6)
-    rows = [(i, " ".join(["w"] * r.randint(1, 30)), "big" if i % 10 else f"small{i % 3}") for i in range(600)] + [(9000, None, None), (None, "a b", "big")]
-    docs = table(spark, rows)
-    totals = {}
-    for _, t, s in rows:
-        totals[s] = totals.get(s, 0) + max(1, len((t or "").split()))
-    whole = sum(totals.values())
-    out = mixing.mix(odd(spark, docs).drop("key"), repetition=3.0, block_tokens=500).collect()
-    plan = {x["source"]: x for x in mixing.weights(mixing.token_counts(docs), float(whole), repetition=3.0).collect()}
-    assert abs(sum(x["weight"] for x in plan.values()) - 1) < 1e-6 and max(x["passes"] for x in plan.values()) <= 3.01
-    taken, seen = {}, {}
+    rows = [(i, " ".join(["w"] * r.randint(1, 30)), "big" if i % 10 else f"small{i % 3}") for i in range(600)]
+    return rows + [(9000, None, None), (9001, "", None), (None, "a b", "big"), (None, "a b", "big"), (None, None, "small1"), (17, "w w", "small2"), (18, "same id", "big")]
+
+
+@pytest.mark.parametrize("mix", [{"repetition": 3.0}, {"entropy": 1.1}, {"entropy": 0.3}, {"entropy": 1.2, "repetition": 2.0}, {"entropy": 0.05, "repetition": 1.05}, {"budget": 1500}, {"entropy": 1.0, "budget": 40}, {"repetition": 0.5}, {"entropy": 9.0}])
+def test_mixing_equals_a_plain_version(spark, mix):
+    rows = mixed_rows()
+    out = mixing.mix(odd(spark, table(spark, rows)).repartition(5), block_tokens=500, **mix).collect()
+    assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, brute.mixing(rows, block_tokens=500, **mix)))
+
+
+def test_mixing_meets_its_targets(spark, sf):
+    """Entropy of the weights and of the result, repetition, and each block's shares."""
+    from echofold.llm.entries import MAX_REPETITION, TARGET_ENTROPY
+
+    def entropy(n):
+        return -sum(x / sum(n) * math.log(x / sum(n)) for x in n)
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    totals, tokens, _ = mixing.source_totals(mixing.token_counts(docs))
+    natural = entropy([x["tokens"] for x in totals.collect()])
+    a = mixing.exponent(totals, float(tokens), TARGET_ENTROPY, MAX_REPETITION)
+    assert 0 < a < mixing.MOST and a != 1.0 and abs(natural - TARGET_ENTROPY) > 0.01
+    plan = mixing.weights(totals, float(tokens), TARGET_ENTROPY, MAX_REPETITION).collect()
+    assert abs(entropy([x["weight"] for x in plan]) - TARGET_ENTROPY) < 1e-3 and max(x["passes"] for x in plan) <= MAX_REPETITION
+    out = mixing.mix(docs, TARGET_ENTROPY, MAX_REPETITION, block_tokens=20_000, carried=("text", "n_tokens"))
+    assert out.columns == [*mixing.RESULT, "text"]
+    out, text = out.collect(), {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all(r["text"] == text[r["doc_id"]] for r in out)
+    taken, per_block = {}, {}
     for x in out:
         taken[x["source"]] = taken.get(x["source"], 0) + x["n_tokens"]
-        seen.setdefault((x["doc_id"], x["source"], x["pass_no"]), []).append(x)
-    longest = 30
-    assert all(plan[s]["target"] - longest <= taken.get(s, 0) <= plan[s]["target"] + 1 for s in plan)
-    assert all(len(v) == 1 for v in seen.values())
-    blocks = {x["block"] for x in out}
-    assert blocks == set(range(max(blocks) + 1)) and len(blocks) == -(-whole // 500)
-    again = mixing.mix(docs.repartition(7), repetition=3.0, block_tokens=500).collect()
-    assert sorted(map(repr, out)) == sorted(map(repr, again))
-    assert mixing.mix(docs.limit(0)).count() == 0
-
-
-@pytest.mark.parametrize("target", [1.2, 1.35])
-def test_mixing_meets_an_entropy(spark, target):
-    import math
+        per_block[x["block"]] = per_block.get(x["block"], 0) + x["n_tokens"]
+    assert abs(entropy(list(taken.values())) - TARGET_ENTROPY) < 0.05  # whole documents: a little under the budget
+    assert all(n > 0.4 * 20_000 for n in per_block.values()) and len(per_block) == -(-tokens // 20_000)
+
 
-    totals = spark.createDataFrame([("a", 900, 0.9), ("b", 60, 0.06), ("c", 30, 0.03), ("d", 10, 0.01)], "source string, tokens bigint, share double")
+def test_mixing_of_nothing(spark):
+    docs = table(spark, mixed_rows()).limit(0)
+    assert mixing.mix(docs).count() == 0 and mixing.mix(docs, 1.0, 2.0, carried=("text",)).count() == 0
+
+
+@pytest.mark.parametrize("target", [1.2, 1.35, 0.2, 0.01])
+def test_mixing_meets_an_entropy(spark, target):
+    tokens = {"a": 900, "b": 60, "c": 30, "d": 10}
+    totals = spark.createDataFrame([(s, n, n / 900) for s, n in tokens.items()], "source string, tokens bigint, share double")
     a = mixing.exponent(totals, 1000.0, target, None)
-    v = [s**a for s in (0.9, 0.06, 0.03, 0.01)]
-    h = -sum(x / sum(v) * math.log(x / sum(v)) for x in v)
-    assert abs(h - target) < 1e-4
-    assert mixing.exponent(totals, 1000.0, 2.0, None) == 0.0 and mixing.exponent(totals, 1000.0, 0.1, None) == 1.0
+    v = [(n / 900) ** a for n in tokens.values()]
+    assert abs(-sum(x / sum(v) * math.log(x / sum(v)) for x in v) - target) < 1e-4
+    assert mixing.exponent(totals, 1000.0, 2.0, None) == 0.0 and mixing.exponent(totals, 1000.0, -1.0, None) == mixing.MOST
+    assert mixing.exponent(totals, 1000.0, None, None) == 1.0 and mixing.exponent(totals, 1000.0, None, 0.1) == 1.0
 
 
 def labelled(n=240):
