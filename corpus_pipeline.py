@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from echofold.llm import decontaminate, minhash_forest, mixing, substring_dedup, toxicity
 from echofold.llm.entries import MAX_REPETITION, TARGET_ENTROPY
-from echofold.runtime import stored, table
+from echofold.runtime import release, scratch, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training order of the documents that are left."""
-    return mixing.mix(docs, entropy=TARGET_ENTROPY, repetition=MAX_REPETITION)
+    """The training order of the documents that are left, with their columns: the text as it was cut, lang and so on."""
+    return mixing.mix(docs, entropy=TARGET_ENTROPY, repetition=MAX_REPETITION, carried=tuple(docs.columns))
 
 
 STAGES = [
@@ -42,13 +42,18 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: Trained networks and hashes are not SQL; tests/llm holds every stage against brute force.
+#: A trained network is not SQL. tests/llm holds every stage, and the whole, against plain versions on small rows.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over ``documents``, each written and read again; a stage's input and what it wrote on its
+    way are dropped when it is done."""
+    before, docs = None, table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        with scratch():
+            docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"), kept=True)
+        if before is not None:
+            release(before)
+        before = docs
+    return docs
