@@ -6,7 +6,7 @@ nearest landmark) and its text (length, links, punctuation, place). Two labels,
 are decoded together by Viterbi with learned transitions. The field is trained by maximum likelihood
 on labelled pages: ``label_pages`` composes pages of many layouts and marks the blocks of the article.
 
-Scripts, styles, comments, templates and the head have no blocks; the head ends where the first text or
+Reading is linear in the page. Scripts, styles, comments, templates and the head have no blocks; the head ends where the first text or
 element that cannot be in it begins, and a silent element that is never closed silences nothing. Character references are decoded, white
 space in a block becomes one space (a line break element counts as white space), blocks are joined by a
 line feed. Inline elements do not part words.
@@ -20,7 +20,10 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +34,13 @@ from ..runtime import text_batches
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
-SILENT = frozenset("script style template noscript title iframe object svg math canvas audio video".split())
+MATH = frozenset("math mrow mi mo mn ms mtext mspace mfrac msqrt mroot msup msub msubsup munder mover munderover mmultiscripts mstyle mpadded mphantom menclose mtable mtr mtd semantics".split())
+SILENT = frozenset("script style template noscript title iframe object svg canvas audio video annotation annotation-xml".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table div section article body select".split())
 LANDMARKS = "nav header footer aside form article main section dialog figure table button select".split()
+OTHER_BLOCKS = "html body caption center col colgroup dd dt fieldset legend li listing option optgroup plaintext search summary tbody td textarea tfoot th thead tr xmp".split()
 # Words of class and id attributes, by what they usually mark.
 HINTS = {
     "ad": "ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored sponsors adsbygoogle".split(),
@@ -51,41 +56,120 @@ HINTS = {
 }
 HINT_OF = {w: k for k, ws in HINTS.items() for w in ws}
 
-TOKEN = re.compile(r"<!--(?s:.*?)(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+# A tag: its name, then attributes, in whose quoted values a > may stand; and the same without heed of quotes.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+NAMED = re.compile("/?[a-zA-Z]")
+LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 MARKS = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 IN_HEAD = frozenset("title noscript".split())  # at the latest they end with the head
 PARTS = re.compile(r"[a-z]+")
 
 
-class Element:
-    __slots__ = ("key", "marks", "tag")
+KNOWN = VOID | CLOSES_P | SCOPES | frozenset(LANDMARKS) | frozenset(OTHER_BLOCKS)
+DEEPEST = 512  # nesting beyond this is flattened, as browsers do
+LONG_NUMBER = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
+ZEROS = re.compile(r"&#([xX]?)0+(?=[0-9a-fA-F])")
 
-    def __init__(self, tag: str, attributes: str):
-        self.tag = tag
-        marks = []
-        if attributes:
-            for name, value in MARKS.findall(attributes):
-                name, value = name.lower(), value.strip("\"'")
-                if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                    marks.append("hidden")
-                elif name in ("class", "id", "role"):
-                    value = re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()
-                    marks += sorted({HINT_OF[w] for w in PARTS.findall(value) if w in HINT_OF})
-        self.marks = tuple(marks)
-        self.key = (tag, self.marks)
+
+class Chain(NamedTuple):
+    """What is known of a block from the elements around it."""
+
+    tags: frozenset[str] = frozenset()
+    last: str = ""
+    above: str = ""
+    hints: frozenset[str] = frozenset()
+    near: str = "none"  # the nearest landmark, or word of a class or id
+    in_body: bool = False
+    inside: frozenset[str] = frozenset()  # words and landmarks within the innermost holder of the article
+    depth: int = 0
+
+
+@lru_cache(maxsize=1 << 16)
+def within(chain: Chain, tag: str, marks: tuple[str, ...]) -> Chain:
+    """The chain of what is in an element that is in ``chain``."""
+    landmark = tag in LANDMARKS and tag != "section"
+    near = tag if landmark else marks[0] if marks else chain.near
+    holds = tag in ("article", "main") or "body" in marks
+    own = frozenset([*marks, *([tag] if tag in LANDMARKS else [])])
+    held = holds or chain.in_body or not chain.tags.isdisjoint(("article", "main"))
+    inside = own if holds else chain.inside | own if held else frozenset()
+    return Chain(chain.tags | {tag}, tag, chain.last, chain.hints | frozenset(marks), near, chain.in_body or "body" in marks, inside, min(chain.depth + 1, 8))
+
+
+def marks_of(attributes: str) -> tuple[str, ...]:
+    """What the class, id, role and style of an element say, in order."""
+    marks = []
+    for name, value in MARKS.findall(attributes) if attributes else ():
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            marks.append("hidden")
+        elif name in ("class", "id", "role"):
+            value = re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()
+            marks += sorted({HINT_OF[w] for w in PARTS.findall(value) if w in HINT_OF})
+    return tuple(marks)
 
 
 class Block:
     __slots__ = ("chain", "linked", "text")
 
-    def __init__(self, chain: tuple, text: str, linked: int):
+    def __init__(self, chain: Chain, text: str, linked: int):
         self.chain, self.text, self.linked = chain, text, linked
 
 
+class Tags:
+    """(start, end, name, whether it closes, attributes) of a page's tags from ``at`` on, which may be moved
+    ahead; comments and the like have no name.
+
+    Linear in the page: a search for the end of a tag that finds none is made again for later tags only
+    until such searches have cost some passes over the page, then quotes are not heeded any more.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.at, self.last, self.left = page, 0, page.rfind(">"), 4 * len(page)
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        page, n = self.page, len(self.page)
+        while (start := page.find("<", self.at)) >= 0:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 2)
+                self.at = n if end < 0 else end + 3
+                yield start, self.at, "", False, ""
+                continue
+            if start > self.last:
+                return
+            found = TAG.match(page, start) if self.left > 0 else None
+            if found is None and NAMED.match(page, start + 1):
+                self.left -= n - start
+                found = LOOSE_TAG.match(page, start)
+            if found is not None:
+                self.at = found.end()
+                yield start, self.at, found[2].lower(), found[1] == "/", found[3]
+            elif page[start + 1] in "!?/":
+                self.at = page.find(">", start) + 1
+                yield start, self.at, "", False, ""
+            else:
+                self.at = start + 1
+
+
+def raw_end(page: str, tag: str, at: int) -> int:
+    """Where a script or style that starts at ``at`` is over, its end tag included."""
+    found = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+    return page.find(">", found.end()) + 1 or len(page) if found else len(page)
+
+
+def decoded(text: str) -> str:
+    """With character references as characters; numbers beyond Unicode as U+FFFD, however long."""
+    if "&" not in text:
+        return text
+    return html.unescape(LONG_NUMBER.sub("\ufffd", ZEROS.sub(r"&#\1", text)) if "&#" in text else text)
+
+
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order, with their chain of (tag, marks)."""
+    """Leaf blocks in page order, with what is known from the elements around them."""
     out: list[Block] = []
-    stack: list[Element] = []
+    stack: list[str] = []
+    chains = [Chain()]
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked, in_link, silent, at = 0, 0, "", 0
     last_ends: dict[str, int] = {}
@@ -98,7 +182,7 @@ def blocks(page: str) -> list[Block]:
     def text_of(raw: str) -> None:
         nonlocal linked
         if raw:
-            parts.append(html.unescape(raw) if "&" in raw else raw)
+            parts.append(decoded(raw))
             if in_link:
                 linked += len(raw)
 
@@ -107,25 +191,27 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(tuple(e.key for e in stack), text, linked))
+                out.append(Block(chains[-1], text, linked))
             parts.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
-            continue
+    def drop(i: int) -> None:
+        """The elements from place i on are over."""
+        for tag in stack[i:]:
+            opened[tag] -= 1
+        del stack[i:], chains[i + 1 :]
+
+    read = Tags(page)
+    for start, end, tag, closing, attributes in read:
         if not silent:
-            text_of(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+            text_of(page[at:start])
+        at = end
         if not tag:
             continue
-        closing = (m[1] or m[4]) == "/"
         if tag in ("script", "style") and not closing:  # raw text: nothing in it is a tag
             if not silent:
                 flush()
-            end = re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            read.at = at = raw_end(page, tag, at)
             continue
         if silent:
             if closing and tag in (silent, "head") or tag == "body":
@@ -136,63 +222,56 @@ def blocks(page: str) -> list[Block]:
         if tag in SILENT:
             if closing:
                 continue
-            flush()
-            if not (m[3] or m[6] or "").endswith("/"):
+            if not tag.startswith("annotation"):
+                flush()
+            if not attributes.endswith("/"):
                 if closed_later(tag):
                     silent = tag
                 elif tag == "title":  # never closed: its text ends with the next tag
-                    at = page.find("<", at) if "<" in page[at:] else len(page)
+                    following = page.find("<", at)
+                    at = len(page) if following < 0 else following
             continue
         if tag == "head":  # what has no text there is silent by itself; other text is the body's
             flush()
             continue
-        if tag in INLINE:
+        if tag in INLINE or tag in MATH:
             if tag == "a":
                 in_link = 0 if closing else 1
-            elif tag == "br":
+            elif tag in ("br", "mtd"):
                 parts.append(" ")
             continue
         flush()
         in_link = 0
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if opened[tag]:
+                drop(len(stack) - 1 - stack[::-1].index(tag))
             continue
-        if tag in CLOSES_P and stack and stack[-1].tag == "p":
-            stack.pop()
+        if tag in CLOSES_P and stack and stack[-1] == "p":
+            drop(len(stack) - 1)
         ends = SAME_CLOSES.get(tag)
-        if ends:
+        if ends and any(opened[t] for t in ends):
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag in ends:
-                    del stack[i:]
+                if stack[i] in ends:
+                    drop(i)
                     break
-                if stack[i].tag in SCOPES:
+                if stack[i] in SCOPES:
                     break
-        if tag not in VOID:
-            stack.append(Element(tag, m[3] or m[6]))
+        if tag not in VOID and len(stack) < DEEPEST:
+            stack.append(tag)
+            opened[tag] += 1
+            chains.append(within(chains[-1], tag if tag in KNOWN else "other", marks_of(attributes)))
     if not silent:
         text_of(page[at:])
     flush()
     return out
 
 
-def chain_features(chain: tuple) -> tuple[str, ...]:
-    tags = [t for t, _ in chain]
-    found = {f"in:{t}" for t in set(tags)}
-    if tags:
-        found |= {f"tag:{tags[-1]}", f"pair:{'>'.join(tags[-2:])}"}
-    found |= {f"hint:{m}" for _, marks in chain for m in marks}
-    near = next(((t, "") if t in LANDMARKS and t != "section" else ("", marks[0]) for t, marks in reversed(chain) if marks or t in LANDMARKS and t != "section"), ("", "none"))
-    found.add(f"near:{near[0]}{near[1]}")
-    inner = "article" if "article" in tags else "main" if "main" in tags else "body" if any("body" in marks for _, marks in chain) else "none"
-    found.add(f"holder:{inner}")
-    found.add(f"holder:{inner}&near:{near[0]}{near[1]}")
-    if inner != "none":
-        inside = chain[max(i for i, (t, marks) in enumerate(chain) if t in ("article", "main") or "body" in marks) :]
-        found |= {f"inside:{m}" for _, marks in inside for m in marks} | {f"inside:{t}" for t, _ in inside if t in LANDMARKS}
-    found.add(f"depth:{min(len(chain), 8)}")
+def chain_features(chain: Chain) -> tuple[str, ...]:
+    found = {f"in:{t}" for t in chain.tags} | {f"hint:{m}" for m in chain.hints} | {f"inside:{x}" for x in chain.inside}
+    if chain.last:
+        found |= {f"tag:{chain.last}", f"pair:{chain.above}>{chain.last}"}
+    inner = "article" if "article" in chain.tags else "main" if "main" in chain.tags else "body" if chain.in_body else "none"
+    found |= {f"near:{chain.near}", f"holder:{inner}", f"holder:{inner}&near:{chain.near}", f"depth:{chain.depth}"}
     return tuple(sorted(found))
 
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import brute
 import pytest
@@ -245,3 +246,45 @@ def test_silent_elements_stay_silent():
 def test_unclosed_silent_elements_silence_nothing():
     page = "<head><title>t</title><body><p>One.</p><svg><p>Two.</p><object><p>Three."
     assert [b.text for b in html_extract.blocks(page)] == ["One.", "Two.", "Three."]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>t</title><body><article><p>Whole text here.</p></article>", "Whole text here."),
+        ("<html><head><script>if (a) document.write('<!-- x')</script></head><body><article><p>Whole text here.</p></article>", "Whole text here."),
+        ("<body><noscript><article><p>Whole text here.</p></article>", "Whole text here."),
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be one.</p></article>", "Let x=1 be one."),
+        ("<article><p>Sum <math><semantics><mi>s</mi><annotation encoding=tex>\\sum s</annotation></semantics></math> of all.</p></article>", "Sum s of all."),
+        ("<article><p title='a > b' lang=de>One.<p class=\"x\">Two &#" + "9" * 6000 + "; &#0000065;.</p></article>", "One.\nTwo � A."),
+        ("<article><p>1 < 2 and <b>3 > 2</b> and a <3</p></article>", "1 < 2 and 3 > 2 and a <3"),
+        ("<article><p lang=\"de>One.</p><p>Two.</p></article>", "One.\nTwo."),
+    ],
+)
+def test_no_text_is_lost(field, page, want):
+    assert html_extract.main_text(field, page) == want
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 340_000, "<" * 1_000_000, '<a x=">" ' * 110_000, '<a ">" ' * 140_000 + '"', "<script>" + "</script " * 110_000, "<div>x" * 170_000, "<x>" * 170_000 + "</y>" * 125_000, "<li><ul>" + "<x>" * 1000 + "<li></li>" * 110_000, "<title>" * 140_000, "&" * 1_000_000, "<p>&#" + "1" * 1_000_000, "<!--" * 250_000, "<p " + "class='a" * 120_000 + ">", "<svg>" * 200_000],
+    ids=lambda p: p[:12],
+)
+def test_hostile_pages_take_linear_time(field, page):
+    began = time.perf_counter()
+    html_extract.main_text(field, page)
+    assert time.perf_counter() - began < 3
+
+
+def test_deep_pages_keep_their_text():
+    page = "<div>" * 5000 + "<p>One.</p>" + "</div>" * 5000 + "<p>Two.</p>"
+    assert [b.text for b in html_extract.blocks(page)] == ["One.", "Two."]
+
+
+def test_page_texts_of_the_table(spark, sf):
+    """Every block that the field keeps is in the page's own text, in order; menus and the like are not."""
+    rows = entries.op6_html_extraction(spark, sf).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect()
+    for r in rows:
+        found = [b.text for b in html_extract.blocks(r["html"])]
+        at = iter(found)
+        assert all(line in at for line in r["text"].split("\n")) and r["n_chars"] == len(r["text"]) > 0
