@@ -52,25 +52,46 @@ def near_duplicates(rows, size=2, percent=80):
     return sorted((d, len(s), comp[d], comp[d] == d) for d, s in sets.items())
 
 
-def substring_dedup(rows, window=50):
-    """(doc_id, n_words, n_removed, kept_sha256) of rows (doc_id, text) with distinct ids."""
+def covered(rows, window=50):
+    """{doc_id: (words, which of them a window covers that starts in a smaller id)} of rows (doc_id, text)."""
     words = {d: WORD.findall(t or "") for d, t in rows}
     first = {}
     for d in sorted(words):
         w = words[d]
         for i in range(len(w) - window + 1):
             first.setdefault(tuple(w[i : i + window]), d)
-    out = []
+    out = {}
     for d, w in words.items():
         gone = [False] * len(w)
         for i in range(len(w) - window + 1):
             if first[tuple(w[i : i + window])] < d:
                 gone[i : i + window] = [True] * window
+        out[d] = (w, gone)
+    return out
+
+
+def substring_dedup(rows, window=50):
+    """(doc_id, n_words, n_removed, kept_sha256) of rows (doc_id, text) with distinct ids."""
+    out = []
+    for d, (w, gone) in covered(rows, window).items():
         kept = [x for x, g in zip(w, gone) if not g]
         out.append((d, len(w), sum(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
     return sorted(out)
 
 
+def maximal_repeats(rows, window=50):
+    """(doc_id, first, n_words, text) of the longest runs of covered words."""
+    out = []
+    for d, (w, gone) in covered(rows, window).items():
+        at = 0
+        for g, run in itertools.groupby(gone):
+            n = len(list(run))
+            if g:
+                out.append((d, at, n, " ".join(w[at : at + n])))
+            at += n
+    return sorted(out)
+
+
 def _bisected(low, high, before):
     """Where ``before`` stops being true on [low, high]."""
     if not before(low):
@@ -177,3 +198,14 @@ def toxic_logit(net, reader, text):
         y = float((a / a.sum()) @ np.array([s @ p["out"] for s in both]) + p["bias"][0])
         best, at = y if best is None else max(best, y), at + STRIDE
     return float(p["bias"][0]) if best is None else best
+
+
+def distance(item, words):
+    """Least word edits between the item and any stretch of words."""
+    d = [0] * (len(words) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(words, 1):
+            new.append(min(d[j - 1] + (x != y), d[j] + 1, new[-1] + 1))
+        d = new
+    return min(d)

@@ -102,6 +102,33 @@ def test_substring_dedup(spark, seed):
     assert {d: hashlib.sha256(" ".join(brute.WORD.findall(t or "")).encode()).hexdigest() for d, t in kept.items()} == {w[0]: w[3] for w in want}
 
 
+@pytest.mark.parametrize("seed", [4, 5, 6])
+def test_maximal_repeats(spark, seed):
+    """Passages that share seeds but differ to their left, right or both, in crowds and in pairs."""
+    r = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(30 if seed == 6 else 3000)]
+    text = lambda k: r.choices(vocabulary, k=k)
+    line, passages = text(20), [text(r.randint(45, 140)) for _ in range(5)]
+    rows = []
+    for i in range(120):
+        t = text(r.randint(0, 30))
+        for _ in range(r.randint(0, 3)):
+            p = list(r.choice(passages))
+            kind = r.random()
+            if kind < 0.3:
+                p = p[r.randint(0, 30) :]
+            elif kind < 0.6:
+                p[r.randrange(len(p))] = r.choice(vocabulary[:4])
+            elif kind < 0.8:
+                p = p[: r.randint(20, len(p))] + line + p[20:]
+            t += p + text(r.randint(0, 12))
+        rows.append((r.randint(0, 10) * 1000 + i, " ".join(t + line * r.randint(0, 4)), "s"))
+    got = sorted(map(tuple, substring_dedup.maximal_repeats(table(spark, rows)).collect()))
+    assert got == brute.maximal_repeats([x[:2] for x in rows]) and got and min(x[2] for x in got) >= 50
+    assert sorted(map(tuple, substring_dedup.repeat_digests(table(spark, rows)).collect())) == brute.substring_dedup([x[:2] for x in rows])
+    assert substring_dedup.maximal_repeats(table(spark, rows).limit(0)).count() == 0
+
+
 def test_substring_dedup_within_and_at_the_border(spark):
     p = " ".join(f"p{i}" for i in range(50))
     rows = [(1, p + " " + p, "s"), (2, p, "s"), (3, " ".join(p.split()[:49]), "s"), (5, "q " + p + " z", "s")]
@@ -159,17 +186,6 @@ def edits(r, words, k):
     return w
 
 
-def distance(item, words):
-    """Least word edits between the item and any stretch of words."""
-    d = [0] * (len(words) + 1)
-    for i, x in enumerate(item, 1):
-        new = [i]
-        for j, y in enumerate(words, 1):
-            new.append(min(d[j - 1] + (x != y), d[j] + 1, new[-1] + 1))
-        d = new
-    return min(d)
-
-
 def test_contamination_equals_brute_force(spark):
     r = random.Random(4)
     vocabulary = [f"w{i}" for i in range(60)]
@@ -187,7 +203,7 @@ def test_contamination_equals_brute_force(spark):
     missed = 0
     for i, t, _ in rows:
         words = t.lower().replace(",", " ").split()
-        want = {k: d for k, item in items if (d := distance(item.split(), words)) <= int(0.2 * len(item.split()))}
+        want = {k: d for k, item in items if (d := brute.distance(item.split(), words)) <= int(0.2 * len(item.split()))}
         assert got[i]["n_items"] <= len(want) and (not got[i]["contaminated"] or want[got[i]["best_item"]] <= got[i]["best_distance"])
         missed += len(want) - got[i]["n_items"]
     assert missed <= 2  # the target recall is 0.999

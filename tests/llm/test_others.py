@@ -157,16 +157,6 @@ def small_corpus():
     return rows, items, [*labels, (None, 1, 1), (300, 1, 1), (5, None, None)]
 
 
-def distance(item, words):
-    d = [0] * (len(words) + 1)
-    for i, x in enumerate(item, 1):
-        new = [i]
-        for j, y in enumerate(words, 1):
-            new.append(min(d[j - 1] + (x != y), d[j] + 1, new[-1] + 1))
-        d = new
-    return min(d)
-
-
 def test_pipeline_equals_plain_versions(spark, tmp_path, monkeypatch):
     """Every stage on what its predecessor kept, and the whole."""
     import corpus_pipeline
@@ -204,7 +194,7 @@ def test_pipeline_equals_plain_versions(spark, tmp_path, monkeypatch):
             assert before[1] == after[1]
         else:
             assert hashlib.sha256(" ".join(words).encode()).hexdigest() == digests[before[0]][3]
-    leaks = [r for r in seen[3] if any(distance(t.split(), re.findall("[0-9a-z]+", (r[1] or "").lower())) <= len(t.split()) // 5 for _, t in items)]
+    leaks = [r for r in seen[3] if any(brute.distance(t.split(), re.findall("[0-9a-z]+", (r[1] or "").lower())) <= len(t.split()) // 5 for _, t in items)]
     assert plain(seen[4]) == plain(r for r in seen[3] if r not in leaks) and leaks
     mixed = brute.mixing([(r[0], r[1], r[3]) for r in seen[4]], entries.TARGET_ENTROPY, entries.MAX_REPETITION)
     assert plain(r[:6] for r in seen[5]) == plain(mixed)
