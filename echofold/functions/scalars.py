@@ -39,11 +39,7 @@ def unquoted(raw: Column) -> Column:
     """Without a pair of equal quotes around it."""
     first = F.substring(raw, 1, 1)
     paired = (F.length(raw) >= 2) & first.isin('"', "'", "`") & (first == F.substring(raw, -1, 1))
-    return F.when(paired, F.expr(f"substring({_sql(raw)}, 2, length({_sql(raw)}) - 2)")).otherwise(raw)
-
-
-def _sql(column: Column) -> str:
-    return column._jc.toString()
+    return F.when(paired, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
 
 
 def bare_name(name: Column) -> Column:
@@ -76,13 +72,28 @@ def clipped(text: Column, limit: int, mark: str) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(mark))).otherwise(text)
 
 
+def one_decimal(value: Column, by: int) -> Column:
+    """value / by (a double) with one decimal as C prints it: by the double's exact value, ties to even.
+
+    Only halves of a tenth are in doubt; there the double is compared with value / by in whole numbers.
+    """
+    tenth = by // 10
+    low, rest = F.floor(value / tenth).cast("bigint"), value % tenth
+    scale = F.when(value < 1000 * by, F.lit(1 << 52)).otherwise(F.lit(1 << 40))  # makes the double a whole number
+    exact = ((value / F.lit(float(by))) * scale).cast("bigint").cast("decimal(20,0)") * F.lit(by).cast("decimal(8,0)")
+    asked = value.cast("decimal(18,0)") * scale.cast("decimal(17,0)")
+    up = (rest * 2 > tenth) | ((rest * 2 == tenth) & ((exact > asked) | ((exact == asked) & (low % 2 == 1))))
+    tenths = low + up.cast("bigint")
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def compact(value: Column) -> Column:
     """9,999 grouped below ten thousand, then 12K, 1.5M."""
 
-    def scaled(by: float, unit: str) -> Column:
-        return F.concat(F.regexp_replace(F.format_string("%.1f", value / F.lit(by)), r"\.0$", ""), F.lit(unit))
+    def scaled(by: int, unit: str) -> Column:
+        return F.concat(F.regexp_replace(one_decimal(value, by), r"\.0$", ""), F.lit(unit))
 
-    return F.when(value >= 1_000_000, scaled(1e6, "M")).when(value >= 10_000, scaled(1e3, "K")).otherwise(F.format_number(value, 0))
+    return F.when(value >= 1_000_000, scaled(1_000_000, "M")).when(value >= 10_000, scaled(1000, "K")).otherwise(F.format_number(value, 0))
 
 
 def escaped(text: Column) -> Column:

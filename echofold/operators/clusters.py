@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import bare_name, blast_score
+from ..functions.scalars import bare_name, blast_score, share, share_percent
 from .components import connected_components
 
 METHOD = "removable*(1+ln(1+calls))*(1+ln(1+churn))"
@@ -67,6 +67,16 @@ def ranked(radius: DataFrame, top: int | None = None) -> DataFrame:
     return out if top is None else out.limit(top)
 
 
+def totals(radius: DataFrame, covered: DataFrame) -> DataFrame:
+    """One row of what a report sums up, from blast_radius and coverage."""
+    sums = radius.agg(F.count(F.lit(1)).alias("clusters"), F.coalesce(F.sum("removable_lines"), F.lit(0)).alias("removable_lines"), F.count_if(F.col("unresolved_paths") == 0).alias("safely_remediable"))
+    both = sums.crossJoin(covered)  # one row each
+    return both.select(
+        "clusters", "removable_lines", "safely_remediable", share(F.col("removable_lines"), F.col("lines_in_units")).alias("duplicated_percent"),
+        share_percent(F.col("files_fully_resolved"), F.col("files_scanned")).alias("resolution_percent"),
+    )
+
+
 def blocked_reasons(of: DataFrame, unresolved: DataFrame) -> DataFrame:
     """cluster_id, reasons: every reason of the paths that have a blocking one."""
     blocked = unresolved.where(F.col("reason") != EXTERNAL).select("path").distinct()

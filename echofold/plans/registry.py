@@ -1,14 +1,12 @@
 """All queries of the library's own operators, each over whole tables, with their SQL for DuckDB.
 
 The tables hold prose, not code, so a document stands in for a unit: path = source, start line = doc_id,
-name = doc<doc_id>, lines = lines of its text; events stand in for a commit log (path = user) and labels for
-labelled pairs. Code-shaped operators run over the small literal relations below.
+name = doc<doc_id>, lines = lines of its text; events stand in for a commit log (path = user) and candidate pairs,
+labelled by a rule, for a labelled corpus. ``code_tree`` has the operators that read code.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,23 +16,13 @@ from ..operators.components import connected_components
 from ..operators.fingerprint import coefficients, estimated_jaccard, md5_hashes, with_signature
 from ..runtime import stored, table
 from ..sources import files as tree
+from . import code_tree  # noqa: F401 (adds its queries)
+from .catalog import ORACLES, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 K, K_BANDS = 16, 4  # the small signature that SQL can follow
 PAIR_FLOOR = 0.8
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 # --- building blocks in SQL ------------------------------------------------------------------------------
 
 PATTERN = lexical.TOKEN_PATTERN.replace("'", "''")
@@ -44,11 +32,11 @@ NORMAL = f"""list_transform({TOKENS}, lambda t: CASE WHEN lower(t) IN ({KEYWORD_
     WHEN regexp_matches(t, '^[A-Za-z_]') THEN 'ID' WHEN regexp_matches(t, '^[0-9"'']') THEN 'LIT' ELSE t END)"""
 
 
-def shingle_rows(stream: str, width: int) -> str:
+def shingle_rows(stream: str, width: int, of: str = "documents") -> str:
     """doc_id, s: distinct shingles."""
     return f"""SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) = 0 THEN []::VARCHAR[] WHEN len(t) < {width} THEN [array_to_string(t, ' ')]
         ELSE list_transform(range(1, len(t) - {width} + 2), lambda i: array_to_string(t[i:i + {width - 1}], ' ')) END) AS s
-        FROM (SELECT doc_id, {stream} AS t FROM documents)"""
+        FROM (SELECT doc_id, {stream} AS t FROM {of})"""
 
 
 EXACT_PAIRS = f"""
@@ -357,22 +345,40 @@ def cluster_evidence_top3(spark, sf_dir):
     return clusters.evidence(found, of).select("cluster_id", "rank", "l", "r", scalars.percent(F.col("structural")).alias("structural_percent"))
 
 
-@query(f"""SELECT (SELECT count(DISTINCT source) FROM documents) AS files_scanned, count(*) AS units_extracted, CAST(sum({LINES}) AS BIGINT) AS lines_in_units,
-    0::BIGINT AS candidate_pairs, CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) AS total_possible_pairs, false AS candidates_truncated,
-    (SELECT count(DISTINCT source) FROM documents WHERE source NOT IN (SELECT 'src' || (doc_id % 20) FROM labels WHERE quality = 0 AND doc_id % 2 <> 0)) AS files_fully_resolved FROM documents""")
+COVERAGE = f"""WITH {SIGNATURE}, holes AS (SELECT 'src' || (doc_id % 20) AS path FROM labels WHERE quality = 0 AND doc_id % 2 <> 0)
+    SELECT (SELECT count(DISTINCT source) FROM documents) AS files_scanned, count(*) AS units_extracted, CAST(sum({LINES}) AS BIGINT) AS lines_in_units,
+    (SELECT count(*) FROM pair) AS candidate_pairs, CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) AS total_possible_pairs, (SELECT count(*) > 50 FROM pair) AS candidates_truncated,
+    (SELECT count(DISTINCT source) FROM documents WHERE source NOT IN (SELECT path FROM holes)) AS files_fully_resolved FROM documents"""
+
+
+@query(COVERAGE)
 def coverage_summary(spark, sf_dir):
     of = units(spark, sf_dir)
-    return clusters.coverage(of, of.select("path").distinct(), stand_ins(spark, sf_dir)[1], 0)
+    found = candidates.generate(small_signatures(spark, sf_dir), K, K_BANDS, budget=50)
+    return clusters.coverage(of, of.select("path").distinct(), stand_ins(spark, sf_dir)[1], found.considered, found.truncated)
 
 
-@query()
+@query(RADIUS + f""", lines AS (SELECT sum({LINES}) AS n FROM documents),
+    files AS (SELECT count(DISTINCT source) AS n, count(DISTINCT source) FILTER (WHERE source NOT IN (SELECT path FROM unres WHERE reason <> 'external_package')) AS ok FROM documents),
+    sums AS (SELECT count(*) AS clusters, CAST(coalesce(sum(removable_lines), 0) AS BIGINT) AS removable_lines, count(*) FILTER (WHERE unresolved_paths = 0) AS safely_remediable FROM scored)
+    SELECT sums.*, round(CASE WHEN lines.n = 0 THEN 0 ELSE 100.0::DOUBLE * removable_lines / lines.n END, 6) AS duplicated_percent,
+    CAST(CASE WHEN files.n = 0 THEN 0 ELSE round_even(100.0::DOUBLE * files.ok / files.n, 0) END AS INTEGER) AS resolution_percent FROM sums, lines, files""")
+def report_totals(spark, sf_dir):
+    of, stand = units(spark, sf_dir).drop("text"), stand_ins(spark, sf_dir)
+    radius = clusters.blast_radius(members(spark, sf_dir), *stand)
+    out = clusters.totals(radius, clusters.coverage(of, of.select("path").distinct(), stand[1], 0))
+    return out.withColumn("duplicated_percent", F.round("duplicated_percent", 6))
+
+
+@query(RADIUS + f" SELECT *, '{clusters.METHOD}' AS score_method FROM scored")
 def flagship_clusters(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked clusters of duplicate documents, end to end."""
-    return clusters.ranked(clusters.blast_radius(members(spark, sf_dir), *stand_ins(spark, sf_dir)))
+    radius = clusters.blast_radius(members(spark, sf_dir), *stand_ins(spark, sf_dir))
+    return clusters.ranked(radius.withColumn("score", F.round("score", 4)))
 
 
 @query()
@@ -382,176 +388,209 @@ def diverse_sample(spark, sf_dir):
     return sampling.diverse(rows.select(F.col("left.name").alias("l"), F.col("right.name").alias("r"), F.col("left.path").alias("l_path"), F.col("right.path").alias("r_path"), F.col("structural").alias("similarity")))
 
 
-# --- literal relations -------------------------------------------------------------------------------------------
+# --- pairs, labels and scalars -----------------------------------------------------------------------------------------
 
-PAIRS = [
-    ("p1", "train", "duplicate", "consolidate", "def add(a, b):\n    return a + b", "def plus(x, y):\n    return x + y"),
-    ("p2", "train", "not_duplicate", "not_applicable", "def lo(v):\n    return v < 3", "for i in rows:\n    print(i, 'x')"),
-    ("p3", "train", "duplicate", "leave_alone", "const f = (a) => a * 2;", "function g(a) { return a + a; }"),
-    ("p4", "holdout", "duplicate", "consolidate", "if (a && b) { run(a); }", "if (c && d) { run(c); }"),
-    ("p5", "holdout", "not_duplicate", "not_applicable", "x = 1", "x == 1"),
-    ("p6", "holdout", "duplicate", "consolidate", "def plus(x, y):\n    return x + y", "def add(a, b):\n    return a + b"),
-    ("p7", "train", "not_duplicate", "not_applicable", "return a - b", "return b - a"),
+# A labelled corpus: candidate pairs of documents, labelled by a rule on their ids (in SQL that both engines share).
+LABELS = [
+    "CASE WHEN l % 4 = 0 THEN 'holdout' ELSE 'train' END AS split",
+    "CASE WHEN (l + r) % 3 <> 0 THEN 'duplicate' ELSE 'not_duplicate' END AS label",
+    "CASE WHEN (l + r) % 3 = 0 THEN 'not_applicable' WHEN l % 5 = 0 THEN 'leave_alone' WHEN l % 7 = 0 THEN 'not_applicable' ELSE 'consolidate' END AS should_consolidate",
+    "CASE WHEN l % 11 = 0 THEN 'generated_or_vendored' WHEN (l + r) % 3 <> 0 AND l % 5 = 0 THEN CASE WHEN r % 2 = 0 THEN 'below_size_floor' ELSE 'cross_boundary' END END AS exclusion",
 ]
-PAIR_COLUMNS = "pair_id string, split string, label string, should_consolidate string, left_text string, right_text string"
+LABELLED = ", ".join(LABELS)
 
 
-def pair_sql() -> str:
-    def normal(side: str) -> str:
-        return NORMAL.replace(TOKENS, TOKENS.replace("text", side))
+def candidate_pairs(spark, sf_dir) -> DataFrame:
+    return stored(candidates.collided_pairs(candidates.buckets(small_signatures(spark, sf_dir), K, K_BANDS)), "pairs")
 
-    def sh(side: str, t: str) -> str:
-        return f"list_distinct(CASE WHEN len({t}) = 0 THEN []::VARCHAR[] WHEN len({t}) < 3 THEN [array_to_string({t}, ' ')] ELSE list_transform(range(1, len({t}) - 1), lambda i: array_to_string({t}[i:i + 2], ' ')) END) AS {side}"
 
-    def jaccard(a: str, b: str) -> str:
-        return f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0::DOUBLE ELSE CAST(len(list_intersect({a}, {b})) AS DOUBLE) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
+def judged_pairs(spark, sf_dir, name: str = "baseline") -> DataFrame:
+    """Candidate pairs with both units, measures and verdict of a detector, and their labels."""
+    pairs, detector = candidate_pairs(spark, sf_dir), judge.detectors()[name]
+    prepared = stored(detector.prepare(judge.involved(pairs, units(spark, sf_dir))), "units")
+    return detector.judge(judge.paired(pairs, prepared)).selectExpr("*", *LABELS)
 
-    return f"""WITH {values("pair", ", ".join(c.split()[0] for c in PAIR_COLUMNS.split(", ")), PAIRS)},
-    t AS (SELECT *, {normal("left_text")} AS lt, {normal("right_text")} AS rt, list_distinct({TOKENS.replace("text", "left_text")}) AS lr, list_distinct({TOKENS.replace("text", "right_text")}) AS rr FROM pair),
-    s AS (SELECT *, {sh("ls", "lt")}, {sh("rs", "rt")} FROM t),
-    m AS (SELECT *, {jaccard("ls", "rs")} AS structural, {jaccard("lr", "rr")} AS textual FROM s),
-    v AS (SELECT *, CASE WHEN structural >= 0.8::DOUBLE THEN 'duplicate' WHEN structural >= 0.8::DOUBLE - 0.1::DOUBLE THEN 'uncertain' ELSE 'not_duplicate' END AS verdict FROM m)"""
 
+def jaccard_sql(name: str, shingles: str) -> str:
+    """{name}_j: l, r, j of all candidate pairs from the shingles (doc_id, s)."""
+    return f"""{name}_s AS ({shingles}), {name}_n AS (SELECT doc_id, count(*) AS n FROM {name}_s GROUP BY 1),
+    {name}_k AS (SELECT l, r, count(*) AS k FROM pair JOIN {name}_s a ON a.doc_id = l JOIN {name}_s b ON b.doc_id = r AND a.s = b.s GROUP BY 1, 2),
+    {name}_j AS (SELECT l, r, CASE WHEN coalesce(x.n, 0) + coalesce(y.n, 0) = 0 THEN 1.0::DOUBLE ELSE CAST(coalesce(k, 0) AS DOUBLE) / (coalesce(x.n, 0) + coalesce(y.n, 0) - coalesce(k, 0)) END AS j
+        FROM pair LEFT JOIN {name}_k USING (l, r) LEFT JOIN {name}_n x ON x.doc_id = l LEFT JOIN {name}_n y ON y.doc_id = r)"""
 
-def judged_pairs(spark) -> DataFrame:
-    pairs = spark.createDataFrame(PAIRS, PAIR_COLUMNS)
-    detector = judge.detectors()["baseline"]
-    sides = [detector.prepare(pairs.select("pair_id", F.col(f"{s}_text").alias("text"))).select("pair_id", F.struct("shingles", "shape", "raw").alias(s)) for s in ("left", "right")]
-    return detector.judge(pairs.join(sides[0], "pair_id").join(sides[1], "pair_id"))
 
+JUDGED = f"""{SIGNATURE}, cd AS (SELECT * FROM documents WHERE doc_id IN (SELECT l FROM pair UNION SELECT r FROM pair)),
+    {jaccard_sql("base", shingle_rows(NORMAL, 3, "cd"))}, {jaccard_sql("words", f"SELECT DISTINCT doc_id, unnest({TOKENS}) AS s FROM cd")},
+    v AS (SELECT l, r, s.j AS structural, t.j AS textual, CASE WHEN s.j >= 0.8::DOUBLE THEN 'duplicate' WHEN s.j >= 0.8::DOUBLE - 0.1::DOUBLE THEN 'uncertain' ELSE 'not_duplicate' END AS verdict, {LABELLED}
+        FROM base_j s JOIN words_j t USING (l, r))"""
 
-@query(pair_sql() + """ SELECT pair_id, CAST(round_even(structural * 100, 0) AS INTEGER) AS structural_percent, CAST(round_even(textual * 100, 0) AS INTEGER) AS textual_percent, verdict,
+
+@query(f"""WITH {JUDGED} SELECT l, r, CAST(round_even(structural * 100, 0) AS INTEGER) AS structural_percent, CAST(round_even(textual * 100, 0) AS INTEGER) AS textual_percent, verdict,
     CASE WHEN verdict = 'duplicate' THEN 'unresolved_call_sites' END AS exclusion,
     'structural ' || CAST(round_even(structural * 100, 0) AS INTEGER) || '%, textual ' || CAST(round_even(textual * 100, 0) AS INTEGER) || '%' AS rationale FROM v""")
 def pair_verdicts(spark, sf_dir):
-    return judged_pairs(spark).select("pair_id", scalars.percent(F.col("structural")).alias("structural_percent"), scalars.percent(F.col("textual")).alias("textual_percent"), "verdict", F.col("advice.exclusion").alias("exclusion"), "rationale")
+    rows = judged_pairs(spark, sf_dir).drop("exclusion")
+    return rows.select("l", "r", scalars.percent(F.col("structural")).alias("structural_percent"), scalars.percent(F.col("textual")).alias("textual_percent"), "verdict", F.col("advice.exclusion").alias("exclusion"), "rationale")
+
+
+RENAMED = f"""tp AS (SELECT doc_id, unnest({TOKENS}) AS tok, generate_subscripts({TOKENS}, 1) AS pos FROM cd),
+    ident AS (SELECT doc_id, tok, min(pos) AS first_pos FROM tp WHERE regexp_matches(tok, '^[A-Za-z_]') AND lower(tok) NOT IN ({KEYWORD_LIST}) GROUP BY 1, 2),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first_pos) AS k FROM ident),
+    renamed AS (SELECT tp.doc_id, list(CASE WHEN lower(tok) IN ({KEYWORD_LIST}) THEN lower(tok) WHEN regexp_matches(tok, '^[0-9"'']') THEN 'LIT'
+        WHEN k <= 12 THEN 'ID' || (k - 1) WHEN k IS NOT NULL THEN 'ID' ELSE tok END ORDER BY pos) AS stream FROM tp LEFT JOIN numbered USING (doc_id, tok) GROUP BY 1)"""
+
+
+@query(f"""WITH {JUDGED}, {RENAMED}, {jaccard_sql("ren", shingle_rows("stream", 4, "renamed"))}, {jaccard_sql("flat", shingle_rows(NORMAL, 4, "cd"))}
+    SELECT l, r, round(structural, 6) AS baseline, round(a.j, 6) AS renamed, round(b.j, 6) AS flat FROM v JOIN ren_j a USING (l, r) JOIN flat_j b USING (l, r)""")
+def detector_scores(spark, sf_dir):
+    """What each detector of normalised streams measures on the same pairs."""
+    out = None
+    for name in ("baseline", "renamed", "flat"):
+        rows = judged_pairs(spark, sf_dir, name).select("l", "r", F.round("structural", 6).alias(name))
+        out = rows if out is None else out.join(rows, ["l", "r"])
+    return out
 
 
 COUNTS = """, c AS (SELECT count(*) FILTER (WHERE label = 'duplicate' AND verdict = 'duplicate') AS tp, count(*) FILTER (WHERE label <> 'duplicate' AND verdict = 'duplicate') AS fp,
     count(*) FILTER (WHERE label = 'duplicate' AND verdict <> 'duplicate') AS fn, count(*) FILTER (WHERE label <> 'duplicate' AND verdict <> 'duplicate') AS tn, count(*) FILTER (WHERE verdict = 'uncertain') AS uncertain FROM v)"""
 
 
-@query(pair_sql() + COUNTS + " SELECT * FROM c")
+@query(f"WITH {JUDGED} {COUNTS} SELECT * FROM c")
 def confusion_matrix(spark, sf_dir):
-    return evaluate.confusion(judged_pairs(spark), F.col("label") == "duplicate", F.col("verdict"))
+    return evaluate.confusion(judged_pairs(spark, sf_dir), F.col("label") == "duplicate", F.col("verdict"))
 
 
-@query(pair_sql() + COUNTS + """, pr AS (SELECT CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp)::DOUBLE END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn)::DOUBLE END AS r FROM c)
-    SELECT round(p, 6) AS "precision", round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM pr""")
+@query(f"""WITH {JUDGED} {COUNTS}, pr AS (SELECT CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp)::DOUBLE END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn)::DOUBLE END AS r FROM c)
+    SELECT round(p, 6) AS "precision", round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1, p >= 0.57::DOUBLE AND r >= 0.47::DOUBLE AS passed FROM pr""")
 def precision_recall_f1(spark, sf_dir):
-    return evaluate.scores(evaluate.confusion(judged_pairs(spark), F.col("label") == "duplicate", F.col("verdict"))).select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    scores = evaluate.scores(evaluate.confusion(judged_pairs(spark, sf_dir), F.col("label") == "duplicate", F.col("verdict")))
+    return evaluate.meets_gates(scores, 0.57, 0.47).select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "passed")
 
 
-@query(pair_sql() + """ SELECT count(*) FILTER (WHERE label = 'duplicate' AND verdict = 'duplicate') AS n,
-    count(*) FILTER (WHERE label = 'duplicate' AND verdict = 'duplicate' AND should_consolidate <> 'consolidate') AS n_right FROM v""")
+@query(f"""WITH {JUDGED} SELECT count(*) FILTER (WHERE label = 'duplicate' AND should_consolidate <> 'not_applicable' AND verdict = 'duplicate') AS n,
+    count(*) FILTER (WHERE label = 'duplicate' AND should_consolidate = 'leave_alone' AND verdict = 'duplicate') AS n_right FROM v""")
 def advisability(spark, sf_dir):
-    return evaluate.advisability(judged_pairs(spark).withColumn("recommended", F.col("advice.recommended"))).select("n", "n_right")
+    return evaluate.advisability(judged_pairs(spark, sf_dir).withColumn("recommended", F.col("advice.recommended"))).select("n", "n_right")
+
+
+def labelled_texts(spark, sf_dir) -> DataFrame:
+    """The corpus itself: pair_id, split, label, should_consolidate, exclusion, language, left_text, right_text."""
+    pairs, of = candidate_pairs(spark, sf_dir), docs(spark, sf_dir)
+    rows = judge.paired(pairs, judge.involved(pairs, of.select(F.col("doc_id").alias("id"), "text", "lang"))).selectExpr("*", *LABELS)
+    return rows.select(F.concat_ws("-", "l", "r").alias("pair_id"), "split", "label", "should_consolidate", "exclusion", F.col("left.lang").alias("language"), F.col("left.text").alias("left_text"), F.col("right.text").alias("right_text"))
+
 
+CORPUS = f"""{SIGNATURE}, corpus AS (SELECT l || '-' || r AS pair_id, x.lang AS language, x.text AS left_text, y.text AS right_text, {LABELLED} FROM pair JOIN documents x ON x.doc_id = l JOIN documents y ON y.doc_id = r)"""
 
-@query(f"""WITH {values("pair", ", ".join(c.split()[0] for c in PAIR_COLUMNS.split(", ")), PAIRS)},
-    f AS (SELECT split, array_to_string(list_sort([sha256(left_text), sha256(right_text)]), '|') AS fingerprint FROM pair)
+
+@query(f"""WITH {CORPUS}, f AS (SELECT split, array_to_string(list_sort([sha256(left_text), sha256(right_text)]), '|') AS fingerprint FROM corpus)
     SELECT fingerprint FROM f WHERE split = 'train' INTERSECT SELECT fingerprint FROM f WHERE split = 'holdout'""")
 def split_leakage(spark, sf_dir):
-    return evaluate.split_leakage(spark.createDataFrame(PAIRS, PAIR_COLUMNS))
+    return evaluate.split_leakage(labelled_texts(spark, sf_dir))
 
 
-@query(f"""WITH {values("pair", ", ".join(c.split()[0] for c in PAIR_COLUMNS.split(", ")), PAIRS)}
-    SELECT count(*) AS pairs, round(count(*) FILTER (WHERE label = 'duplicate') / count(*)::DOUBLE, 6) AS duplicate_share, round(count(*) FILTER (WHERE split = 'holdout') / count(*)::DOUBLE, 6) AS holdout_share FROM pair""")
+@query(f"""WITH {CORPUS} SELECT count(*) AS pairs, round(count(*) FILTER (WHERE label = 'duplicate') / count(*)::DOUBLE, 6) AS duplicate_share, round(count(*) FILTER (WHERE split = 'holdout') / count(*)::DOUBLE, 6) AS holdout_share,
+    count(DISTINCT exclusion) AS exclusions, count(DISTINCT language) AS languages FROM corpus""")
 def corpus_composition(spark, sf_dir):
-    rows = spark.createDataFrame(PAIRS, PAIR_COLUMNS).withColumns({"exclusion": F.lit(None).cast("string"), "language": F.lit("python")})
-    return evaluate.composition(rows).select("pairs", F.round("duplicate_share", 6).alias("duplicate_share"), F.round("holdout_share", 6).alias("holdout_share"))
-
-
-@query("""WITH f AS (SELECT lang AS repo, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n, CASE WHEN quality = 1 THEN true WHEN quality = 0 THEN false END AS label FROM documents LEFT JOIN labels USING (doc_id))
-    SELECT repo, count(*) AS surfaced, count(*) FILTER (WHERE n <= 20 AND label IS NOT NULL) AS labelled, count(*) FILTER (WHERE n <= 20 AND label) AS tp,
-    round(CASE WHEN count(*) FILTER (WHERE n <= 20 AND label IS NOT NULL) = 0 THEN 0 ELSE count(*) FILTER (WHERE n <= 20 AND label) / (count(*) FILTER (WHERE n <= 20 AND label IS NOT NULL))::DOUBLE END, 6) AS precision_at_k,
-    round(count(*) / 2.5::DOUBLE, 6) AS per_kloc FROM f GROUP BY repo""")
-def precision_at_k(spark, sf_dir):
-    rows = docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left").select(F.col("lang").alias("repo"), F.col("doc_id").alias("seq"), (F.col("quality") == 1).alias("label"))
-    kloc = rows.select("repo").distinct().withColumn("kloc", F.lit(2.5))
-    out = evaluate.precision_at_k(rows, kloc, 20)
-    return out.select("repo", "surfaced", "labelled", "tp", F.round("precision_at_k", 6).alias("precision_at_k"), F.round("per_kloc", 6).alias("per_kloc"))
+    return evaluate.composition(labelled_texts(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("duplicate_share", "holdout_share")})
 
 
-ANSWERS = [
-    (1, '{"verdict":"duplicate","confidence":"high","behavior_summary":"adds","consolidation_recommended":true,"exclusion":null,"rationale":"same"}'),
-    (2, '{"verdict":"duplicate","confidence":"low","behavior_summary":"adds","consolidation_recommended":true,"exclusion":null,"rationale":"same"}'),
-    (3, '{"verdict":"duplicate","confidence":"high","behavior_summary":"adds","consolidation_recommended":true,"exclusion":"cross_boundary","rationale":"same"}'),
-    (4, '{"verdict":"not_duplicate","confidence":"medium","behavior_summary":"differs","consolidation_recommended":false,"exclusion":null,"rationale":"no"}'),
-    (5, '{"verdict":"duplicate","confidence":"high","behavior_summary":"adds","consolidation_recommended":false,"exclusion":"cross_boundary","rationale":"same","extra":1}'),
-    (6, "not json"),
-]
+@query(f"""WITH {CORPUS} SELECT pair_id FROM corpus WHERE NOT (CASE WHEN label = 'not_duplicate' THEN should_consolidate = 'not_applicable' ELSE should_consolidate IN ('consolidate', 'leave_alone') END
+    AND (exclusion IS NOT NULL) = (should_consolidate = 'leave_alone'))""")
+def incoherent_pairs(spark, sf_dir):
+    return labelled_texts(spark, sf_dir).where(~tree.coherent()).select("pair_id")
 
 
-@query(f"""WITH {values("a", "id, verdict, recommended, valid", [(1, "duplicate", 1, 1), (2, "uncertain", None, 1), (3, "uncertain", None, 0), (4, "not_duplicate", None, 1), (5, "uncertain", None, 0), (6, "uncertain", None, 0), (7, "uncertain", None, None)])}
-    SELECT CAST(id AS BIGINT) AS id, verdict, recommended = 1 AS recommended, valid = 1 AS valid FROM a""")
-def adjudicated_findings(spark, sf_dir):
-    answers = judge.adjudications(spark.createDataFrame(ANSWERS, "id bigint, payload string"))
-    pairs = spark.range(1, 8)
-    return judge.adjudicated(pairs, answers, ["id"]).join(answers.select("id", "valid"), "id", "left").select("id", "verdict", F.col("advice.recommended").alias("recommended"), "valid")
+@query("SELECT md5(text) AS pair_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def repeated_ids(spark, sf_dir):
+    return evaluate.repeated_ids(docs(spark, sf_dir).select(F.md5("text").alias("pair_id")))
 
 
-FILES = ["app/main.py", "app/util.py", "app/__init__.py", "lib/core/__init__.py", "web/index.ts", "web/a.ts", "web/a.js", "web/ui/index.tsx", "web/b.js"]
-SPECIFIERS = [
-    ("app/main.py", ".util", "python", "app/util.py", None), ("app/main.py", "lib.core", "python", "lib/core/__init__.py", None), ("app/main.py", "os.path", "python", None, "external_package"),
-    ("app/main.py", "..gone", "python", None, "missing_target"), ("app/main.py", ".", "python", "app/__init__.py", None), ("web/b.js", "./a", "javascript", "web/a.ts", None),
-    ("web/b.js", "./ui", "javascript", "web/ui/index.tsx", None), ("web/b.js", "../web/a.js", "javascript", "web/a.js", None), ("web/b.js", "./none", "javascript", None, "missing_target"),
-    ("web/b.js", "@/x", "typescript", None, "path_alias"), ("web/b.js", "react", "javascript", None, "path_alias"), ("web/b.js", "lodash/map", "javascript", None, "external_package"), ("web/ui/index.tsx", "..", "typescript", "web/index.ts", None),
-]
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unlabelled_documents(spark, sf_dir):
+    return sampling.unlabelled(docs(spark, sf_dir).select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query(f"WITH {values('s', 'path, specifier, language, target, reason', SPECIFIERS)} SELECT * FROM s")
-def specifier_resolution(spark, sf_dir):
-    rows = spark.createDataFrame([s[:3] for s in SPECIFIERS], "path string, specifier string, language string")
-    files = spark.createDataFrame([(f,) for f in FILES], "path string")
-    return graph.resolve(rows, files).select("path", "specifier", "language", "target", "reason")
+@query(f"""WITH {JUDGED} SELECT CASE WHEN structural >= 0.95 THEN 0.95 WHEN structural >= 0.85 THEN 0.85 WHEN structural >= 0.75 THEN 0.75 WHEN structural >= 0.65 THEN 0.65 ELSE 0.55 END::DOUBLE AS band, count(*) AS pairs
+    FROM v WHERE structural BETWEEN 0.55::DOUBLE AND 0.97::DOUBLE GROUP BY 1""")
+def label_bands(spark, sf_dir):
+    rows = sampling.banded(sampling.in_range(judged_pairs(spark, sf_dir).select(F.col("structural").alias("similarity"))))
+    return rows.groupBy("band").agg(F.count(F.lit(1)).alias("pairs"))
 
 
-UNITS = [("a.py", "Client.send", 10, 20), ("a.py", "send", 30, 34), ("a.py", "fact", 1, 5), ("b.py", "load", 1, 9), ("b.py", "load", 1, 4), ("b.py", "store", 11, 15)]
-IMPORTS = [("c.py", 1, 0, "fetch", "load", "b", 1, "python"), ("c.py", 2, 0, "send", "send", "a", 2, "python"), ("c.py", 3, 0, "fetch", "store", "b", 3, "python"), ("c.py", 4, 0, "np", "np", "numpy", 4, "python"), ("c.py", 5, 0, "q", "q", ".zzz", 5, "python")]
-SPACES = [("c.py", "b", 6, "python"), ("c.py", "json", 7, "python")]
-HOLES = [("a.py", "wildcard_import", "x", 2)]
-CALLS = [("a.py", "fact", 3), ("a.py", "fact", 25), ("c.py", "fetch", 10), ("c.py", "fetch", 11), ("c.py", "send", 12), ("c.py", "print", 13), ("c.py", "np", 14)]
+# An adjudicator's answers: a payload of one of eight kinds, sound or not, for eight of nine pairs.
+PAYLOAD = """CASE (l + r) % 8 WHEN 5 THEN 'not json' ELSE concat('{"verdict":"', CASE (l + r) % 8 WHEN 3 THEN 'not_duplicate' ELSE 'duplicate' END, '","confidence":"', CASE (l + r) % 8 WHEN 1 THEN 'low' WHEN 3 THEN 'medium' ELSE 'high' END,
+    '","behavior_summary":"', CASE (l + r) % 8 WHEN 7 THEN '' ELSE concat('adds ', l) END, '","consolidation_recommended":', CASE WHEN (l + r) % 8 IN (3, 4, 6) THEN 'false' ELSE 'true' END,
+    ',"exclusion":', CASE WHEN (l + r) % 8 IN (2, 4, 6) THEN '"cross_boundary"' ELSE 'null' END, ',"rationale":"same"', CASE (l + r) % 8 WHEN 4 THEN ',"extra":1' ELSE '' END, '}') END"""
+FIELDS = ", ".join(f"'{f}'" for f in judge.ADJUDICATION_FIELDS)
+ADJUDICATED = f"""{SIGNATURE}, answer AS (SELECT l, r, {PAYLOAD} AS payload FROM pair WHERE l % 9 <> 0),
+    parsed AS (SELECT l, r, json_valid(payload) AS is_json, CASE WHEN json_valid(payload) THEN payload ELSE '{{}}' END AS p FROM answer),
+    field AS (SELECT l, r, is_json, json_keys(p) AS keys, p->>'verdict' AS verdict, p->>'confidence' AS confidence, p->>'behavior_summary' AS summary, CAST(p->>'consolidation_recommended' AS BOOLEAN) AS recommended, p->>'exclusion' AS exclusion, p->>'rationale' AS rationale FROM parsed),
+    checked AS (SELECT *, coalesce(is_json AND len(list_filter(keys, lambda k: k NOT IN ({FIELDS}))) = 0 AND verdict IN ('duplicate', 'uncertain', 'not_duplicate') AND confidence IN ('low', 'medium', 'high')
+        AND length(summary) BETWEEN 1 AND 600 AND length(rationale) BETWEEN 1 AND 1200 AND recommended IS NOT NULL
+        AND (exclusion IS NULL OR exclusion IN ({", ".join(f"'{e}'" for e in judge.EXCLUSIONS)}))
+        AND CASE WHEN verdict = 'duplicate' THEN recommended = (exclusion IS NULL) ELSE NOT recommended AND exclusion IS NULL END, false) AS valid FROM field),
+    decided AS (SELECT l, r, valid, CASE WHEN coalesce(valid, false) AND confidence <> 'low' THEN verdict ELSE 'uncertain' END AS verdict,
+        CASE WHEN valid AND confidence <> 'low' AND verdict = 'duplicate' THEN recommended END AS recommended FROM pair LEFT JOIN checked USING (l, r))"""
 
 
-def literal_graph(spark) -> graph.SymbolGraph:
-    make = spark.createDataFrame
-    return graph.build(
-        make([(p, "python") for p in ("a.py", "b.py", "c.py")], "path string, language string"), make(UNITS, "path string, name string, start_line int, end_line int"),
-        make(IMPORTS, "path string, statement int, position int, local_name string, source_name string, specifier string, line int, language string"),
-        make(SPACES, "path string, specifier string, line int, language string"), make(HOLES, "path string, reason string, specifier string, line int"), make(CALLS, "path string, name string, line int"),
-    )
+def decided_pairs(spark, sf_dir) -> DataFrame:
+    pairs = candidate_pairs(spark, sf_dir)
+    answers = judge.adjudications(pairs.where("l % 9 <> 0").selectExpr("l", "r", f"{PAYLOAD} AS payload"))
+    return judge.adjudicated(pairs, answers, ["l", "r"]).join(answers.select("l", "r", "valid"), ["l", "r"], "left")
 
 
-@query(f"""WITH {values("u", "path, name, start_line, end_line", UNITS)}
-    SELECT path, bare, name, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line FROM (SELECT *, list_last(string_split(name, '.')) AS bare,
-    row_number() OVER (PARTITION BY path, list_last(string_split(name, '.')) ORDER BY start_line, end_line, name) AS n FROM u) WHERE n = 1""")
-def first_definition(spark, sf_dir):
-    return literal_graph(spark).definitions
+@query(f"WITH {ADJUDICATED} SELECT l, r, verdict, recommended, valid FROM decided")
+def adjudicated_findings(spark, sf_dir):
+    return decided_pairs(spark, sf_dir).select("l", "r", "verdict", F.col("advice.recommended").alias("recommended"), "valid")
 
 
-@query(f"WITH {values('r', 'name, target_path, from_path, line', [('fact', 'a.py', 'a.py', 25), ('load', 'b.py', 'c.py', 10), ('load', 'b.py', 'c.py', 11), ('send', 'a.py', 'c.py', 12)])} SELECT name, target_path, from_path, CAST(line AS INTEGER) AS line FROM r")
-def resolved_references(spark, sf_dir):
-    return literal_graph(spark).references
+@query(f"WITH {ADJUDICATED} SELECT l, r FROM decided WHERE verdict = 'duplicate' AND recommended")
+def remediable_findings(spark, sf_dir):
+    return judge.remediable(decided_pairs(spark, sf_dir)).select("l", "r")
 
 
-@query(f"WITH {values('r', 'reason, n', [('wildcard_import', 1), ('namespace_import', 1), ('external_package', 1), ('missing_target', 1)])} SELECT reason, CAST(n AS BIGINT) AS n FROM r")
-def unresolved_by_reason(spark, sf_dir):
-    return literal_graph(spark).by_reason()
+@query(f"""WITH {CORPUS}, cut AS (SELECT pair_id, md5(pair_id) AS nonce, CASE WHEN length(left_text) > 8000 THEN substr(left_text, 1, 8000) || chr(10) || '[truncated]' ELSE left_text END AS a,
+    CASE WHEN length(right_text) > 8000 THEN substr(right_text, 1, 8000) || chr(10) || '[truncated]' ELSE right_text END AS b FROM corpus)
+    SELECT pair_id, sha256(concat('<left-', nonce, '>', chr(10), a, chr(10), '</left-', nonce, '>', chr(10), '<right-', nonce, '>', chr(10), b, chr(10), '</right-', nonce, '>')) AS prompt_hash FROM cut""")
+def framed_prompts(spark, sf_dir):
+    rows = labelled_texts(spark, sf_dir)
+    return rows.select("pair_id", F.sha2(judge.framed(F.col("left_text"), F.col("right_text"), F.md5("pair_id")), 256).alias("prompt_hash"))
 
 
-@query("WITH f(path) AS (VALUES ('b.py')) SELECT path FROM f")
-def fully_resolved_files(spark, sf_dir):
-    return literal_graph(spark).fully_resolved(spark.createDataFrame([(p,) for p in ("a.py", "b.py", "c.py")], "path string"))
+@query("""WITH f AS (SELECT lang AS repo, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n, CASE WHEN quality = 1 THEN true WHEN quality = 0 THEN false END AS label FROM documents LEFT JOIN labels USING (doc_id))
+    SELECT repo, count(*) AS surfaced, count(*) FILTER (WHERE n <= 20 AND label IS NOT NULL) AS labelled, count(*) FILTER (WHERE n <= 20 AND label) AS tp,
+    round(CASE WHEN count(*) FILTER (WHERE n <= 20 AND label IS NOT NULL) = 0 THEN 0 ELSE count(*) FILTER (WHERE n <= 20 AND label) / (count(*) FILTER (WHERE n <= 20 AND label IS NOT NULL))::DOUBLE END, 6) AS precision_at_k,
+    round(count(*) / 2.5::DOUBLE, 6) AS per_kloc FROM f GROUP BY repo""")
+def precision_at_k(spark, sf_dir):
+    rows = docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left").select(F.col("lang").alias("repo"), F.col("doc_id").alias("seq"), (F.col("quality") == 1).alias("label"))
+    kloc = rows.select("repo").distinct().withColumn("kloc", F.lit(2.5))
+    out = evaluate.precision_at_k(rows, kloc, 20)
+    return out.select("repo", "surfaced", "labelled", "tp", F.round("precision_at_k", 6).alias("precision_at_k"), F.round("per_kloc", 6).alias("per_kloc"))
 
 
-PATHS = [("a/./b/../c.PY", "a/c.PY", "python"), ("../x//y.tsx", "x/y.tsx", "typescript"), ("m.mjs", "m.mjs", "javascript"), ("README", "README", None), (".py", ".py", None), ("a.b/c", "a.b/c", None)]
+# Paths with empty, . and .. segments and suffixes of all kinds.
+RAW_PATH = """concat(repeat('../', CAST(doc_id % 3 AS INT)), lang, '/./', source, '//', CASE WHEN doc_id % 4 = 0 THEN '../' ELSE '' END, CASE WHEN doc_id % 13 = 0 THEN '' ELSE concat('f', doc_id) END,
+    CASE doc_id % 11 WHEN 0 THEN '.py' WHEN 1 THEN '.PY' WHEN 2 THEN '.tsx' WHEN 3 THEN '.mjs' WHEN 4 THEN '.d.ts' WHEN 5 THEN '' WHEN 6 THEN '.md' WHEN 7 THEN '.py/g' WHEN 8 THEN '.cts' WHEN 9 THEN '.pyi' ELSE '.jsx' END)"""
 
 
-@query(f"WITH {values('p', 'path, normal, language', PATHS)} SELECT * FROM p")
+@query(f"""WITH p AS (SELECT {RAW_PATH} AS path FROM documents),
+    q AS (SELECT path, ltrim(list_reduce(list_prepend('', string_split(path, '/')), lambda done, part: CASE WHEN part IN ('', '.') THEN done WHEN part = '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || part END), '/') AS normal,
+        CASE WHEN instr(substr(list_last(string_split(path, '/')), 2), '.') > 0 THEN lower(list_last(string_split(path, '.'))) END AS suffix FROM p)
+    SELECT path, normal, CASE WHEN suffix IN ('py', 'pyi') THEN 'python' WHEN suffix IN ('ts', 'tsx', 'mts', 'cts') THEN 'typescript' WHEN suffix IN ('js', 'jsx', 'mjs', 'cjs') THEN 'javascript' END AS language FROM q""")
 def path_functions(spark, sf_dir):
     p = F.col("path")
-    return spark.createDataFrame([(x[0],) for x in PATHS], "path string").select("path", scalars.normal_path(p).alias("normal"), scalars.language_of_path(p).alias("language"))
+    return docs(spark, sf_dir).selectExpr(f"{RAW_PATH} AS path").select("path", scalars.normal_path(p).alias("normal"), scalars.language_of_path(p).alias("language"))
+
+
+#: chr(34) is a double quote, chr(39) a single one.
+QUOTED = "CASE o_orderkey % 6 WHEN 0 THEN concat(chr(34), o_orderpriority, chr(34)) WHEN 1 THEN concat(chr(39), o_orderstatus, chr(39)) WHEN 2 THEN concat('`', o_orderpriority, chr(34)) WHEN 3 THEN chr(34) WHEN 4 THEN '``' ELSE o_orderpriority END"
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN length(raw) >= 2 AND substr(raw, 1, 1) IN (chr(34), chr(39), '`') AND substr(raw, length(raw), 1) = substr(raw, 1, 1) THEN substr(raw, 2, length(raw) - 2) ELSE raw END AS plain
+    FROM (SELECT o_orderkey, {QUOTED} AS raw FROM orders)""")
+def unquoted_strings(spark, sf_dir):
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{QUOTED} AS raw").select("o_orderkey", scalars.unquoted(F.col("raw")).alias("plain"))
 
 
 @query("""SELECT o_orderkey, CAST(round_even(o_totalprice / 1000000 * 100, 0) AS INTEGER) AS pct, CAST(greatest(4, round_even(100.0::DOUBLE * o_totalprice / 1000000, 0)) AS INTEGER) AS width,
@@ -565,30 +604,14 @@ def score_functions(spark, sf_dir):
     )
 
 
-NUMBERS = [(0, "0"), (999, "999"), (9999, "9,999"), (10000, "10K"), (12900, "12.9K"), (4200000, "4.2M"), (3000000, "3M")]
-
-
-@query(f"WITH {values('n', 'n, shown', NUMBERS)} SELECT CAST(n AS BIGINT) AS n, shown FROM n")
+@query(r"""WITH v AS (SELECT o_orderkey, o_orderkey * (1 + o_custkey % 997) AS n FROM orders)
+    SELECT o_orderkey, CASE WHEN n >= 1000000 THEN regexp_replace(printf('%.1f', n / 1000000::DOUBLE), '\.0$', '') || 'M' WHEN n >= 10000 THEN regexp_replace(printf('%.1f', n / 1000::DOUBLE), '\.0$', '') || 'K' ELSE format('{:,}', n) END AS shown FROM v""")
 def compact_numbers(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n, _ in NUMBERS], "n bigint").select("n", scalars.compact(F.col("n")).alias("shown"))
-
-
-CODE = [
-    ("a.py", "def one():\n    a = 1\n    b = 2\n    c = 3\n    return a\n\ndef two():\n    return 2\n"),
-    ("b.js", "const f = (x) => {\n  a();\n  b();\n  c();\n  return x;\n};\nfunction g() {\n  return 1;\n}\n"),
-    ("t/test_x.py", "def skipped():\n    a\n    b\n    c\n    d\n"),
-]
-
-
-@query("WITH c(path, name, start_line, end_line) AS (VALUES ('a.py', 'def one():', 1, 6), ('b.js', 'const f = (x) => {', 1, 6)) SELECT path, name, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line FROM c")
-def heuristic_chunks(spark, sf_dir):
-    return tree.chunks(tree.miner_files(spark.createDataFrame(CODE, "path string, source string"))).select("path", "name", "start_line", "end_line")
-
-
-CALL_COSTS = [("a", 1, 60), ("a", 2, 50), ("a", 3, 10), ("b", 1, 200), ("b", 2, 1)]
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalars.compact(F.col("o_orderkey") * (1 + F.col("o_custkey") % 997)).alias("shown"))
 
 
-@query(f"""WITH {values("c", "run, seq, tokens", CALL_COSTS)} SELECT run, CAST(seq AS INTEGER) AS seq, CAST(spent AS BIGINT) AS spent, spent < 100 AS allowed FROM
-    (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM c)""")
+@query("""SELECT conv_id, turn, CAST(spent AS BIGINT) AS spent, spent < 200 AS allowed FROM
+    (SELECT conv_id, turn, coalesce(sum(length(text) // 4) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM conversations)""")
 def adjudication_token_budget(spark, sf_dir):
-    return judge.token_budget(spark.createDataFrame(CALL_COSTS, "run string, seq int, tokens bigint"), 100).select("run", "seq", "spent", "allowed")
+    calls = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.floor(F.length("text") / 4).alias("tokens"))
+    return judge.token_budget(calls, 200, order="turn", by="conv_id").select("conv_id", "turn", "spent", "allowed")
