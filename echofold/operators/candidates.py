@@ -73,8 +73,8 @@ def within_budget(pairs: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 def generate(signed: DataFrame, permutations: int = PERMUTATIONS, bands: int = BANDS, budget: int = BUDGET, max_bucket: int = MAX_BUCKET) -> CandidateSet:
     """Candidates of ``signed`` (id, signature). Buckets over the cap are skipped and counted apart."""
-    rows = buckets(signed, permutations, bands).persist()
-    pairs = collided_pairs(rows, max_bucket).persist()
+    rows = stored(buckets(signed, permutations, bands), "bands")
+    pairs = stored(collided_pairs(rows, max_bucket), "pairs")
     considered = pairs.count()
     over = bucket_sizes(rows).where(F.col("n") > max_bucket).count()
     return CandidateSet(within_budget(pairs, budget), considered, min(considered, budget), over)

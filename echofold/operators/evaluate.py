@@ -33,14 +33,15 @@ def advisability(judged: DataFrame) -> DataFrame:
 
 
 def precision_at_k(findings: DataFrame, kloc: DataFrame, k: int = 20, by: str = "repo", order: str = "seq") -> DataFrame:
-    """findings: repo, seq (file order), label boolean (null: unlabelled). kloc: repo, kloc."""
+    """findings: repo, seq (file order), label boolean (null: unlabelled). kloc: repo, kloc.
+
+    All findings are counted map-side; only the first k of a repo, in each task, go on to be ranked.
+    """
     from pyspark.sql import Window
 
-    ranked = findings.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(order)))
-    out = ranked.groupBy(by).agg(
-        F.count(F.lit(1)).alias("surfaced"), F.count_if((F.col("n") <= k) & F.col("label").isNotNull()).alias("labelled"),
-        F.count_if((F.col("n") <= k) & F.col("label")).alias("tp"),
-    )
+    first = findings.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("n") <= k)
+    top = first.groupBy(by).agg(F.count("label").alias("labelled"), F.count_if("label").alias("tp"))
+    out = findings.groupBy(by).agg(F.count(F.lit(1)).alias("surfaced")).join(top, by)
     return out.join(kloc, by).select(by, "surfaced", "labelled", "tp", ratio(F.col("tp"), F.col("labelled")).alias("precision_at_k"), ratio(F.col("surfaced"), F.col("kloc")).alias("per_kloc"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import clusters, graph
-from ..runtime import table
+from ..runtime import stored, table
 from ..sources import files as tree
 from ..sources import units as parsing
 from .catalog import query
@@ -53,7 +53,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
     of = files(spark, sf_dir)
-    return of, parsing.kinds(parsing.extracted(of))
+    return of, parsing.kinds(stored(parsing.extracted(of), "parsed"))
 
 
 def symbol_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, graph.SymbolGraph]:

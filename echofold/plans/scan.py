@@ -14,7 +14,7 @@ from ..operators import candidates as cand
 from ..operators import clusters, graph, judge
 from ..operators.fingerprint import BANDS, PERMUTATIONS, with_signature
 from ..operators.judge import Detector, detectors, paired, surfaceable
-from ..runtime import stored
+from ..runtime import scratch, stored
 from ..sources import files as tree
 from ..sources import units as parsing
 
@@ -26,7 +26,8 @@ def identified(units: DataFrame) -> DataFrame:
     order = [tree.path_order(F.col("path")), F.col("start_line"), F.col("end_line"), F.col("name")]
     # Ranks by range partitions: counts of the partitions before, then the place in the own one.
     parted = units.repartitionByRange(*order).sortWithinPartitions(*order)
-    parted = parted.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).persist()
+    # Written, as a task that is run again would sample its ranges anew.
+    parted = stored(parted.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "ordered")
     sizes = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_first"))
     offsets = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     out = parted.join(F.broadcast(offsets), "_part")  # one row a partition
@@ -52,22 +53,29 @@ def scan(
     use_git: bool = True, top: int | None = None, tool_version: str = "1.0.0",
 ) -> dict:
     """The report of a directory as one document (a dict with sorted, stable content but for time)."""
+    with scratch():
+        return _scan(spark, root, detector, min_lines, budget, use_git, top, tool_version)
+
+
+def _scan(spark: SparkSession, root: str, detector: str, min_lines: int, budget: int, use_git: bool, top: int | None, tool_version: str) -> dict:
     started = time.perf_counter()
     where = str(Path(root).resolve())
-    files = tree.files(spark, where).persist()
-    units = identified(parsing.kinds(parsing.extracted(files, min_lines))["units"]).persist()
+    files = stored(tree.files(spark, where), "files")
+    parsed = stored(parsing.extracted(files), "parsed")
+    own = parsed if min_lines == parsing.MIN_LINES else parsing.extracted(files, min_lines)
+    units = stored(identified(parsing.kinds(own)["units"]), "identified")
     findings, found = detect(units, detectors()[detector], budget)
-    findings = findings.persist()
+    findings = stored(findings, "findings")
     # The graph sees units of the default length, whatever the scan's own.
-    g = graph.build(files, **parsing.kinds(parsing.extracted(files).persist()))
-    unresolved = g.unresolved.persist()
+    g = graph.build(files, **parsing.kinds(parsed))
+    unresolved = stored(g.unresolved, "unresolved")
     log = tree.git_log(spark, where) if use_git else None
     churn = tree.churn(log) if log is not None else None
     known = churn is not None and not churn.isEmpty()
 
-    members = clusters.members(findings, units).persist()
+    members = stored(clusters.members(findings, units), "members")
     radius = clusters.blast_radius(members, g.references, unresolved, churn if known else None)
-    ranked = clusters.ranked(radius, top).persist()
+    ranked = clusters.ranked(radius, top)
     unit = F.struct("path", "start_line", "end_line", "name", "language")
     listed = members.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", unit.alias("unit")))), lambda x: x["unit"]).alias("units_listed"))
     side = lambda s: F.struct(*[F.col(f"{s}.{c}").alias(c) for c in ("path", "start_line", "end_line", "name", "language")]).alias(s)

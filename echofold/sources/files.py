@@ -38,17 +38,20 @@ def path_order(path: Column) -> Column:
 def files(spark: SparkSession, root: str, skipped: list[str] = SKIPPED) -> DataFrame:
     """path (relative), source, language of every supported file below ``root``.
 
-    Names are filtered before contents are read: a listing first, then only the files kept.
+    Names are filtered before contents are read: a listing of names first, then only the files kept.
     """
     base = (root if "://" in root else Path(root).resolve().as_uri()).rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).select("path")
     single = re.sub("^([a-z0-9]+):/+", r"\1:/", base)  # file:/x and file:///x are one place
     location = F.regexp_replace(F.col("path"), "^([a-z0-9]+):/+", "$1:/")
-    rows = found.withColumn("path", F.substring(location, len(single) + 2, 1 << 20))
-    rows = rows.withColumn("language", language_of_path(F.col("path"))).where("language is not null")
-    folders = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
-    rows = rows.where(~F.arrays_overlap(folders, F.array(*map(F.lit, skipped))))
-    return rows.select("path", lenient_utf8("content").alias("source"), "language")
+    relative = F.substring(location, len(single) + 2, 1 << 20)
+    language = language_of_path(relative)
+    folders = F.slice(F.split(relative, "/"), 1, F.greatest(F.size(F.split(relative, "/")) - 1, F.lit(0)))
+    kept = [r[0] for r in listed.where(language.isNotNull() & ~F.arrays_overlap(folders, F.array(*map(F.lit, skipped)))).toLocalIterator()]
+    if not kept:
+        return spark.createDataFrame([], "path string, source string, language string")
+    found = spark.read.format("binaryFile").load([re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in kept])
+    return found.select(relative.alias("path"), lenient_utf8("content").alias("source"), language.alias("language"))
 
 
 def is_test_path(path: Column) -> Column:
@@ -86,9 +89,11 @@ def chunks(tree: DataFrame, min_lines: int = 5) -> DataFrame:
     return spans.join(lines.select("path", "lines"), "path").withColumn("text", F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")).drop("lines")
 
 
-def git_log(spark: SparkSession, root: str, days: int = 90, timeout: int = 30) -> DataFrame:
-    """path, ts: one row for each file of each commit of the last ``days``; empty where git fails."""
-    command = ["git", "-C", root, "log", f"--since={days}.days.ago", "--name-only", "--no-renames", "--pretty=format:\x01%cI"]
+def git_log(spark: SparkSession, root: str, days: int | None = 90, timeout: int = 30) -> DataFrame:
+    """path, ts: one row for each file of each commit of the last ``days`` (None: of all, as ``last_touched``
+    needs them); empty where git fails."""
+    since = [] if days is None else [f"--since={days}.days.ago"]
+    command = ["git", "-C", root, "log", *since, "--name-only", "--no-renames", "--pretty=format:\x01%cI"]
     try:
         out = subprocess.run(command, capture_output=True, text=True, timeout=timeout, check=True).stdout
     except (OSError, subprocess.SubprocessError):

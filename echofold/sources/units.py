@@ -23,7 +23,11 @@ ROW = (
 )
 MIN_LINES = 3
 
-SCRIPT_TOKEN = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?|=>|[A-Za-z_$][\w$]*|\d[\w.]*|\S", re.S)
+SCRIPT_TOKEN = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|=>|[A-Za-z_$][\w$]*|\d[\w.]*|\S", re.S)
+PATTERN = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
+# After these a slash starts a regular expression, not a division.
+BEFORE_PATTERN = frozenset("( , = : [ ! & | ? { } ; + - * % ~ ^ < > => return typeof case in of delete void throw new do else await yield".split()) | {""}
+TEMPLATE_CALL = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*)\s*\(")
 NOT_NAMES = frozenset("if for while switch catch with return function await typeof new delete void in of do else case throw yield super import class extends".split())
 
 
@@ -97,21 +101,67 @@ def read_broken_python(src: Source, min_lines: int) -> None:
             src.add("namespace", specifier=m[1], line=i + 1)
 
 
+def template_end(text: str, at: int) -> int:
+    """Past the template string that starts at ``at``, with the templates inside its ``${...}`` parts."""
+    stack, i, n = ["`"], at + 1, len(text)
+    while i < n and stack:
+        c = text[i]
+        if c == "\\":
+            i += 1
+        elif c == "`":
+            if stack[-1] == "`":
+                stack.pop()
+            else:
+                stack.append("`")
+        elif stack[-1] == "`":
+            if c == "$" and text[i + 1 : i + 2] == "{":
+                stack.append("{")
+                i += 1
+        elif c == "{":
+            stack.append("{")
+        elif c == "}":
+            stack.pop()
+        i += 1
+    return min(i, n)
+
+
+def script_tokens(text: str) -> Iterator[tuple[str, int, int]]:
+    """(token, start, end) without comments; strings, templates and regular expressions are one token each."""
+    at, last = 0, ""
+    while (m := SCRIPT_TOKEN.search(text, at)) is not None:
+        start, token, at = m.start(), m[0], m.end()
+        if token.startswith(("//", "/*")):
+            continue
+        if token == "`":
+            at = template_end(text, start)
+        elif token == "/" and last in BEFORE_PATTERN and (p := PATTERN.match(text, start)):
+            at = p.end()
+        last = text[start:at]
+        yield last, start, at
+
+
 class Script:
-    """Tokens of a script without comments, with the partner of every bracket."""
+    """Tokens of a script without comments, with the partner of every bracket and the brace around every token."""
 
     def __init__(self, src: Source):
-        found = [(m[0], m.start(), m.end()) for m in SCRIPT_TOKEN.finditer(src.text) if not m[0].startswith(("//", "/*"))]
+        found = list(script_tokens(src.text))
         self.src = src
         self.tok, self.at, self.end = ([x[k] for x in found] for k in range(3))
         self.partner: dict[int, int] = {}
+        self.brace = [-1] * len(found)
         stack: list[int] = []
+        braces: list[int] = []
         for i, t in enumerate(self.tok):
+            self.brace[i] = braces[-1] if braces else -1
             if t in "([{" and len(t) == 1:
                 stack.append(i)
+                if t == "{":
+                    braces.append(i)
             elif t in ")]}" and len(t) == 1 and stack:
                 j = stack.pop()
                 self.partner[j], self.partner[i] = i, j
+                if braces and braces[-1] == j:
+                    braces.pop()
 
     def get(self, i: int) -> str:
         return self.tok[i] if 0 <= i < len(self.tok) else ""
@@ -141,9 +191,13 @@ class Script:
                     j += 1
                 classes.append((j, self.partner.get(j, len(self.tok)), self.tok[i + 1]))
 
+        bodies = {c[0]: c[2] for c in classes}
+
         def emit(name: str, first: int, last: int) -> None:
-            inner = [c for c in classes if c[0] < first <= c[1]]
-            owner = max(inner)[2] if inner else None
+            around = self.brace[first]
+            while around >= 0 and around not in bodies:
+                around = self.brace[around]
+            owner = bodies.get(around)
             src.unit(f"{owner}.{name}" if owner else name, src.line(self.at[first]), src.line(self.end[last] - 1), src.text[self.at[first] : self.end[last]], min_lines)
 
         for i, t in enumerate(self.tok):
@@ -161,11 +215,9 @@ class Script:
                     first -= 1
                 if name := self.bound_name(first):
                     emit(name, first, self.body_end(i + 1))
-            elif self.get(i + 1) == "(" and re.match(r"[A-Za-z_$]", t) and t not in NOT_NAMES and any(c[0] < i < c[1] for c in classes):
+            elif self.get(i + 1) == "(" and re.match(r"[A-Za-z_$]", t) and t not in NOT_NAMES and self.brace[i] in bodies:
                 body = self.after_parameters(i + 1)
-                holder = max(c for c in classes if c[0] < i < c[1])
-                depth_ok = all(not (holder[0] < b < i < e) for b, e in self.partner.items() if self.tok[b] == "{" and e > b)
-                if body is not None and depth_ok and self.get(i - 1) not in (".", "new", "="):
+                if body is not None and self.get(i - 1) not in (".", "new", "="):
                     first = i
                     while self.get(first - 1) in ("async", "static", "get", "set", "public", "private", "protected", "*", "override", "readonly"):
                         first -= 1
@@ -217,7 +269,12 @@ class Script:
         src = self.src
         for i, t in enumerate(self.tok):
             line = src.line(self.at[i])
-            if t in ("import", "require") and self.get(i + 1) == "(" and self.get(i - 1) != ".":
+            if t[0] == "`":
+                for m in TEMPLATE_CALL.finditer(t) if "${" in t else ():
+                    inside = t.rfind("${", 0, m.start()) > t.rfind("}", 0, m.start())
+                    if inside and m[1] not in NOT_NAMES:
+                        src.add("call", name=m[1], line=src.line(self.at[i] + m.start()))
+            elif t in ("import", "require") and self.get(i + 1) == "(" and self.get(i - 1) != ".":
                 if self.get(i + 2)[:1] not in ("'", '"') or not self.get(i + 2):
                     src.add("hole", reason="dynamic_import", specifier=t, line=line)
                 if t == "require":

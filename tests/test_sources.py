@@ -174,3 +174,50 @@ def test_never_guess(spark):
     rows = spark.createDataFrame([("a/x.py", "..gone", "python")], "path string, specifier string, language string")
     files = spark.createDataFrame([("gone.ts",)], "path string")
     assert tuple(graph.resolve(rows, files).select("target", "reason").first()) == (None, "missing_target")
+
+
+def test_scripts_with_patterns_templates_and_long_classes():
+    script = "const quote = /[\"'`{]/g;\nclass A {\n  first(x) {\n    const s = x / 2 / 1;\n    return `a ${outer(`b ${inner(x)}`)} { ( `;\n  }\n  second() {\n    if (x) { third(1); }\n    return 1;\n  }\n}\nfunction last() {\n  return 1;\n}\n"
+    rows = parsing.rows_of("a.js", "javascript", script)
+    assert of(rows, "unit", "name", "start_line", "end_line") == [("A.first", 3, 6), ("A.second", 7, 10), ("last", 12, 14)]
+    assert sorted(of(rows, "call", "name", "line")) == [("inner", 5), ("outer", 5), ("third", 8)]
+    many = "class K {\n" + "".join(f"  m{i}(a) {{\n    return f{i}(a);\n  }}\n" for i in range(4000)) + "}\n"
+    import time
+
+    began = time.perf_counter()
+    rows = parsing.rows_of("k.js", "javascript", many)
+    assert len(of(rows, "unit", "name")) == 4000 and time.perf_counter() - began < 5
+
+
+def test_files_with_odd_names_are_read_and_skipped_ones_not(spark, tmp_path):
+    for name in ("app/[id].tsx", "app/a b.py", "node_modules/x/y.js", "app/{z}.js", "app/read.me"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x = 1\n")
+    (tmp_path / "node_modules/x/y.js").chmod(0)
+    got = sorted((r["path"], r["source"]) for r in tree.files(spark, str(tmp_path)).collect())
+    assert got == [("app/[id].tsx", "x = 1\n"), ("app/a b.py", "x = 1\n"), ("app/{z}.js", "x = 1\n")]
+    assert tree.files(spark, str(tmp_path / "node_modules")).count() == 1
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty/x.txt").write_text("")
+    assert tree.files(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_scored_chunks_are_exact(spark):
+    import random
+
+    from echofold.functions import lexical
+
+    r = random.Random(3)
+    words = "if x y = 1 ( ) + for return".split()
+    bases = [r.choices(words, k=r.randint(8, 60)) for _ in range(5)]
+    rows = []
+    for i in range(60):
+        t = list(r.choice(bases))
+        for _ in range(r.randint(0, 6)):
+            t[r.randrange(len(t))] = r.choice(words)
+        rows.append((f"f{i}.py", 1, " ".join(t)))
+    chunks = spark.createDataFrame(rows, "path string, start_line int, text string")
+    got = sorted((x["l"], x["r"], round(x["similarity"], 9)) for x in cli.scored_chunks(chunks).collect())
+    sh = {f"{x['path']}:1": set(x["sh"]) for x in chunks.select("path", lexical.shingles(lexical.normalized(lexical.tokens(F.col("text"))), 3).alias("sh")).collect()}
+    want = sorted((a, b, round(len(sh[a] & sh[b]) / len(sh[a] | sh[b]), 9)) for a in sh for b in sh if a < b and len(sh[a] & sh[b]) / len(sh[a] | sh[b]) >= 0.55)
+    assert got == want and got
