@@ -2,12 +2,13 @@
 
 Every shard of the vectors builds a KD-tree by median splits of the widest dimension, each node with
 a tight bounding box. The inner product of a query with anything in a box is at most
-``max(q, 0) . high + min(q, 0) . low``; a query visits boxes best first and stops when the best
-remaining bound is below its k-th score (a box that only ties may still hold a smaller id). The
-k-th score found in a query's home shard goes with it to the other shards.
+``max(q, 0) . high + min(q, 0) . low``; a query visits boxes best first, bounds the two halves of a box
+when it opens it, and stops when the best remaining bound is below its k-th score (a box that only ties
+may still hold a smaller id). The k-th score found in a query's home shard goes with it to the other shards.
 
-Shards and blocks of queries meet in tasks of bounded size: a shard holds about ``SHARD_ROWS``
-vectors, a block about ``BLOCK_QUERIES`` queries, both dealt by a hash of the id.
+Shards and blocks of queries meet in tasks of bounded size: a shard holds at most about ``SHARD_ROWS``
+vectors and ``SHARD_BYTES`` of them, a block about ``BLOCK_QUERIES`` queries and as many bytes, both dealt
+by a hash of the id.
 
 Components are floor(256 * x). Vectors that are null or hold null or non-finite components take no
 part, nor do rows without vec_id; only vectors of equal length are scored with each other. Repeated
@@ -25,8 +26,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import stored
+
 SHARD_ROWS, BLOCK_QUERIES, LEAF = 131_072, 65_536, 64
-EXACT = 1 << 22  # components up to here have exact float64 inner products
+SHARD_BYTES = 64 << 20
+EXACT = 1 << 53  # sums of products up to here are exact in float64
 OUT = "query_id bigint, vec_id bigint, score bigint"
 
 
@@ -56,49 +60,48 @@ class KDTree:
         self.low, self.high = np.array(self.low), np.array(self.high)
         self.rows = rows[self.order]
 
-    def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """Upper bounds of the inner products of queries with each node's box."""
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+    def bounds(self, above: np.ndarray, below: np.ndarray, nodes) -> np.ndarray:
+        """Upper bounds of the inner products of a query (its positive and negative parts) with boxes."""
+        return self.high[nodes] @ above + self.low[nodes] @ below
 
 
 def search(tree: KDTree, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, floors: np.ndarray, k: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """For each query its best (score, -id) of this shard, none below its floor."""
     out = []
     ids = ids[tree.order]
-    for at in range(0, len(queries), 512):
-        bounds = tree.bounds(queries[at : at + 512])
-        for i, bound in enumerate(bounds, at):
-            q, mine, floor = queries[i], own[i], floors[i]
-            best: list[tuple[int, int]] = []
-            heap = [(-bound[0], 0)]
-            while heap:
-                top, node = heapq.heappop(heap)
-                if -top < floor or len(best) == k and -top < best[0][0]:
-                    break
-                left, right = tree.kids[node]
-                if left >= 0:
-                    heapq.heappush(heap, (-bound[left], left))
-                    heapq.heappush(heap, (-bound[right], right))
+    for i, (q, mine, floor) in enumerate(zip(queries, own, floors)):
+        above, below = np.maximum(q, 0), np.minimum(q, 0)
+        best: list[tuple[int, int]] = []
+        heap = [(-tree.bounds(above, below, 0), 0)]
+        while heap:
+            top, node = heapq.heappop(heap)
+            least = max(floor, best[0][0]) if len(best) == k else floor
+            if -top < least:
+                break
+            kids = tree.kids[node]
+            if kids[0] >= 0:
+                for bound, kid in zip(tree.bounds(above, below, kids), kids):
+                    if bound >= least:
+                        heapq.heappush(heap, (-bound, kid))
+                continue
+            a, b = tree.span[node]
+            scores = tree.rows[a:b] @ q
+            for j in np.flatnonzero(scores >= least):
+                entry = (int(scores[j]), -int(ids[a + j]))
+                if -entry[1] == mine:
                     continue
-                a, b = tree.span[node]
-                scores = tree.rows[a:b] @ q
-                least = max(floor, best[0][0]) if len(best) == k else floor
-                for j in np.flatnonzero(scores >= least):
-                    entry = (int(scores[j]), -int(ids[a + j]))
-                    if -entry[1] == mine:
-                        continue
-                    if len(best) < k:
-                        heapq.heappush(best, entry)
-                    elif entry > best[0]:
-                        heapq.heapreplace(best, entry)
-            out.append((i, best))
+                if len(best) < k:
+                    heapq.heappush(best, entry)
+                elif entry > best[0]:
+                    heapq.heapreplace(best, entry)
+        out.append((i, best))
     return out
 
 
 def matrix(values: pd.Series) -> np.ndarray:
     """Quantised vectors; float64 where products are exact, else Python integers."""
-    m = np.floor(np.array(values.tolist(), dtype=np.float64) * 256.0)
-    return m if not m.size or np.abs(m).max() < EXACT else np.array([[int(x) for x in row] for row in m], dtype=object)
+    m = np.floor(np.stack(values.to_list()).astype(np.float64) * 256.0)
+    return m if not m.size or np.abs(m).max() ** 2 * m.shape[1] < EXACT else np.array([[int(x) for x in row] for row in m], dtype=object)
 
 
 def _answer(k: int):
@@ -106,8 +109,8 @@ def _answer(k: int):
         rows = []
         if len(queries) and len(vectors):
             v, q = matrix(vectors["embedding"]), matrix(queries["q_embedding"])
-            if v.dtype != q.dtype:
-                v, q = v.astype(object), q.astype(object)
+            if v.dtype != q.dtype or v.dtype != object and v.size and np.abs(v).max() * np.abs(q).max() * v.shape[1] >= EXACT:
+                v, q = (np.array([[int(x) for x in row] for row in m], dtype=object) for m in (v, q))
             own = queries["query_id"].to_numpy()
             floor = queries["floor"].to_numpy(dtype=np.float64)
             for i, best in search(KDTree(v), vectors["vec_id"].to_numpy(), q, own, floor, k):
@@ -125,9 +128,9 @@ def usable(embedding: Column) -> Column:
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other rows for rows with vec_id % every = 0."""
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    n = rows.count()
-    shards = max(math.ceil(n / SHARD_ROWS), min(32, math.ceil(n / 1024)), 1)
-    blocks = max(1, math.ceil(n / every / BLOCK_QUERIES))
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("embedding").cast("bigint") * 8), F.lit(0))).first()
+    shards = max(math.ceil(n / SHARD_ROWS), math.ceil(size / SHARD_BYTES), min(32, math.ceil(n / 1024)), 1)
+    blocks = max(1, math.ceil(n / every / BLOCK_QUERIES), math.ceil(size / every / SHARD_BYTES))
     part = [F.size("embedding").alias("d"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard")]
     rows = rows.select("*", *part)
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id", "d", "shard").agg(F.min("embedding").alias("embedding")).withColumnRenamed("vec_id", "query_id")
@@ -136,6 +139,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     names = {"d": "q_d", "shard": "q_shard", "embedding": "q_embedding", "block": "q_block"}  # apart from the vectors' own
     queries = queries.select(*[F.col(c).alias(names.get(c, c)) for c in queries.columns])
     home = queries.withColumn("floor", F.lit(float("-inf"))).groupBy("q_d", "q_shard").cogroup(rows.groupBy("d", "shard")).applyInPandas(_answer(k), OUT)
+    home = stored(home, "home")
     kth = home.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
     bound = queries.join(kth.select("query_id", F.col("floor").cast("double").alias("floor")), "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
     away = bound.withColumn("q_shard", F.explode(F.array_except(F.sequence(F.lit(0), F.lit(shards - 1)), F.array("q_shard"))))
