@@ -7,8 +7,10 @@ yields, for every prefix, its last token and its number of tokens, and truncatio
 questions need no further encoding.
 
 Space runs can only be merged with what follows them, so a text falls into chunks (a run of spaces
-and the non-spaces after it) that are encoded independently; chunk totals are kept in a bounded
-cache and a text's prefix table is the running sum over its chunks.
+and the non-spaces after it) that are encoded independently; chunk totals are kept in a cache of bounded
+bytes. Counting keeps only the last few prefixes of a chunk. With ``with_prefixes`` the count at every
+prefix, in characters, is stored beside the text; ``count_at`` and ``longest_fit`` answer truncation and
+budget questions from it by lookups, in SQL, without any encoding.
 
 Defined results: null and empty texts have no tokens; texts of any length are whole; repeated rows
 give repeated rows; extra columns are ignored.
@@ -23,14 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..runtime import text_batches
 
-CACHE_ENTRIES = 600_000
+CACHE_BYTES = 48 << 20  # of each cache, by the size of its strings
+ENTRY_BYTES = 120  # what an entry takes beside them
 SPACE = "▁"
 CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-NORMAL, BYTE = 1, 6
+NORMAL, USER, BYTE = 1, 4, 6
 
 
 class PrefixTokens:
@@ -47,12 +51,14 @@ class PrefixTokens:
             raise ValueError("needs a BPE model with the identity normaliser and a dummy prefix")
         if any(SPACE in p.piece.lstrip(SPACE) for p in model.pieces):
             raise ValueError("a piece has a space after a non-space; texts cannot be cut into chunks")
+        if any(p.type == USER for p in model.pieces) or not any(p.type == BYTE for p in model.pieces):
+            raise ValueError("needs a model with byte pieces and without user-defined ones")
         self.score = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
         self.longest = max(map(len, self.score))
-        self.bytes_fall_back = any(p.type == BYTE for p in model.pieces)
         self.stable: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
         self.totals: dict[str, int] = {}
+        self.stable_bytes = self.totals_bytes = 0
 
     def encode(self, text: str) -> list[str]:
         """Plain merging of a short string: best score first, leftmost of equals."""
@@ -69,57 +75,83 @@ class PrefixTokens:
         return parts
 
     def _weight(self, token: str) -> int:
-        if token in self.score or not self.bytes_fall_back:
+        if token in self.score:
             return 1
         return len(token.encode("utf-8"))
 
     def _pair(self, left: str, right: str) -> bool:
         known = self.stable.get((left, right))
         if known is None:
-            known = self.stable[left, right] = self.encode(left + right) == [left, right]
-            if len(self.stable) > CACHE_ENTRIES:
+            known = self.encode(left + right) == [left, right]
+            self.stable_bytes += ENTRY_BYTES + sys.getsizeof(left) + sys.getsizeof(right)
+            if self.stable_bytes > CACHE_BYTES:
                 self.stable.clear()
+                self.stable_bytes = 0
+            self.stable[left, right] = known
         return known
 
     def _self(self, token: str) -> bool:
         known = self.whole.get(token)
         if known is None:
-            known = self.whole[token] = self.encode(token) == [token]
+            known = self.encode(token) == [token]
+            if token in self.score:  # other characters may be many
+                self.whole[token] = known
         return known
 
-    def table(self, chunk: str) -> list[int]:
-        """Tokens of every prefix of a chunk, the empty one first."""
-        n, score, longest = len(chunk), self.score, self.longest
-        count, last = [0] * (n + 1), [""] * (n + 1)
-        for i in range(1, n + 1):
+    def steps(self, chunk: str) -> Iterator[int]:
+        """Tokens of every prefix of a chunk but the empty one; only the last prefixes are held."""
+        score, longest = self.score, self.longest
+        count, last, base = [0], [""], 0  # of the prefixes from base on
+        for i in range(1, len(chunk) + 1):
             for size in range(1, min(longest, i) + 1):
                 token = chunk[i - size : i]
                 if size > 1 and token not in score:
                     continue
                 j = i - size
-                if self._pair(last[j], token) if j else self._self(token):
-                    last[i], count[i] = token, count[j] + self._weight(token)
+                if self._pair(last[j - base], token) if j else self._self(token):
+                    last.append(token)
+                    count.append(count[j - base] + self._weight(token))
                     break
             else:
                 raise AssertionError(f"no stable last token in {chunk[:i]!r}")
-        return count
+            if len(count) > 4096 + longest:
+                base += 4096
+                del count[:4096], last[:4096]
+            yield count[-1]
+
+    def table(self, chunk: str) -> list[int]:
+        """Tokens of every prefix of a chunk, the empty one first."""
+        return [0, *self.steps(chunk)]
 
     def total(self, chunk: str) -> int:
         known = self.totals.get(chunk)
         if known is None:
-            if len(self.totals) > CACHE_ENTRIES:
-                self.totals.clear()
-            known = self.totals[chunk] = self.table(chunk)[-1]
+            for known in self.steps(chunk):
+                pass
+            size = ENTRY_BYTES + sys.getsizeof(chunk)
+            if size < CACHE_BYTES >> 6:
+                self.totals_bytes += size
+                if self.totals_bytes > CACHE_BYTES:
+                    self.totals.clear()
+                    self.totals_bytes = size
+                self.totals[chunk] = known
         return known
 
     def chunks(self, text: str) -> list[str]:
         return CHUNKS.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def prefixes(self, text: str | None) -> np.ndarray:
-        """Running token counts after each chunk of the text."""
-        parts = self.chunks(text or "")
+    def count(self, text: str | None) -> int:
         known = self.totals
-        return np.cumsum(np.fromiter((known[c] if c in known else self.total(c) for c in parts), np.int64, len(parts)))
+        return sum(known[c] if c in known else self.total(c) for c in self.chunks(text or ""))
+
+    def prefixes(self, text: str | None) -> np.ndarray:
+        """Token counts of every prefix of the text, the empty one first."""
+        tables, total = [np.zeros(1, np.int32)], 0
+        for c in self.chunks(text or ""):
+            tables.append(np.fromiter(self.steps(c), np.int32, len(c)) + np.int32(total))
+            total = int(tables[-1][-1])
+        out = np.concatenate(tables)
+        return np.concatenate([out[:1], out[2:]])  # the dummy space is before the text
 
     def count_at(self, text: str, n_chars: int) -> int:
         """Tokens of the first n_chars characters."""
@@ -144,6 +176,18 @@ class PrefixTokens:
         return len(text)
 
 
+def count_at(prefix_tokens: Column, n_chars: Column | int) -> Column:
+    """Tokens of the first n_chars characters (of all, where there are fewer)."""
+    n = F.lit(n_chars) if isinstance(n_chars, int) else n_chars
+    return F.element_at(prefix_tokens, F.least(F.greatest(n, F.lit(0)) + 1, F.size(prefix_tokens)))
+
+
+def longest_fit(prefix_tokens: Column, budget: int) -> Column:
+    """The longest prefix, in characters, all of whose shorter prefixes also fit ``budget`` tokens."""
+    over = F.array_position(F.transform(prefix_tokens, lambda n: n > budget), True)
+    return F.when(over > 0, F.greatest(over - 2, F.lit(0))).otherwise(F.size(prefix_tokens) - 1).cast("int")
+
+
 def tokenizer(model_file: str) -> PrefixTokens:
     """One per Python worker, so chunk totals are kept from task to task."""
     held = sys.modules.setdefault("_echofold_worker", types.ModuleType("_echofold_worker"))
@@ -154,9 +198,10 @@ def tokenizer(model_file: str) -> PrefixTokens:
 
 
 def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, with_prefixes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit; with_prefixes adds the running counts after each chunk."""
+    """doc_id, n_bytes, n_tokens, over_limit; with_prefixes adds prefix_tokens, the counts of every prefix in
+    characters, the empty one first."""
     text_batches(docs.sparkSession)
-    extra = [("prefix_tokens", pa.list_(pa.int64()))] if with_prefixes else []
+    extra = [("prefix_tokens", pa.list_(pa.int32()))] if with_prefixes else []
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,15 +211,14 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, with_prefi
             n_bytes, n_tokens, tables = [], [], []
             for value in texts:
                 text = value.as_py() or ""
-                table = tok.prefixes(text)
                 n_bytes.append(len(text.encode("utf-8")))
-                n_tokens.append(int(table[-1]) if len(table) else 0)
                 if with_prefixes:
-                    tables.append(table)
+                    tables.append(tok.prefixes(text))
+                n_tokens.append(int(tables[-1][-1]) if with_prefixes else tok.count(text))
             columns = [batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())]
             if with_prefixes:
-                columns.append(pa.array(tables, pa.list_(pa.int64())))
+                columns.append(pa.array(tables, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    extra_ddl = ", prefix_tokens array<bigint>" if with_prefixes else ""
+    extra_ddl = ", prefix_tokens array<int>" if with_prefixes else ""
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, f"doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean{extra_ddl}")
