@@ -5,11 +5,12 @@ of grades. x holds the square roots of the shares of hashed byte trigrams (so ev
 and a few hashed marks of the text's form. The expected grade and the probability of reaching a grade come
 from the same thresholds.
 
-The fit takes a bounded sample to the driver: ``max_rows`` of each grade, those with the smallest hash of
-the id, weighted back to the grades' true counts (counted over all labelled rows).
+The fit takes a bounded sample to the driver: ``max_rows`` of each grade and ``max_bytes`` of their text,
+those with the smallest hash of the id, weighted back to the grades' true counts (counted over all labelled rows).
 
 Defined results: null and empty texts have no trigrams and get the thresholds' own grade; labels that are
-null, and rows of labels without id, are not learned from; with fewer than two grades the grade is the
+null, and rows of labels without id, are not learned from; a document without id is graded like any other;
+with fewer than two grades the grade is the
 known one, or 0; repeated rows give repeated rows; extra columns are ignored.
 """
 
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import text_batches
+from .labelled import sample
 from .words import WordHasher, chunks, trimmed, utf8
 
 TRIGRAMS = 1 << 12
@@ -113,23 +115,17 @@ class Regression:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2000, grade: str = "quality") -> Regression:
-    """Learn from rows whose crc32(doc_id) mod 5 is not 0."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(grade).isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col(grade).cast("int")).alias("grade"))
-    known = known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    counts = {r[0]: r[1] for r in known.groupBy("grade").count().collect()}
-    chosen = {}
-    for g in sorted(counts):
-        chosen |= {r[0]: g for r in known.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("doc_id").collect()}
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2000, grade: str = "quality", max_bytes: int = 64 << 20) -> Regression:
+    """Learn from rows whose crc32(doc_id) mod 5 is not 0, at most ``max_rows`` and ``max_bytes`` of each grade."""
+    texts, grades, counts = sample(docs, labels, grade, max_rows, max_bytes)
     model = Regression(list(counts))
-    rows = sorted((r[0], r[1] or "") for r in docs.where(F.col("doc_id").isin(list(chosen))).select(F.col("doc_id").cast("bigint"), "text").collect()) if chosen else []
-    if not rows:
+    if not texts:
         return model
-    y = np.array([model.grades.index(chosen[i]) for i, _ in rows])
+    y = np.array([model.grades.index(g) for g in grades])
     taken = np.bincount(y, minlength=len(model.grades))
     weight = np.array([counts[g] for g in model.grades])[y] / taken[y]
     features = Features()
-    x = np.concatenate([features(*utf8(pa.array([t for _, t in rows[a : a + 64]], pa.large_string()))) for a in range(0, len(rows), 64)])
+    x = np.concatenate([features(*utf8(pa.array(texts[a : a + 64], pa.large_string()))) for a in range(0, len(texts), 64)])
     return model.fit(x, y, weight)
 
 

@@ -4,14 +4,15 @@ Inputs of a word are a hashed word embedding and the mean of hashed character-gr
 is read as overlapping windows of SPAN words, STRIDE apart, that cover it wholly; a window's states of
 both directions are pooled by attention into one logit. A text's logit is the largest of its windows'.
 
-Training takes a bounded sample of labelled rows (``max_rows`` of each label, chosen by a hash of the
-id) to the driver, with all windows of their whole texts: first every window carries its text's label,
+Training takes a bounded sample of labelled rows (``max_rows`` and ``max_bytes`` of text of each label,
+chosen by a hash of the id) to the driver, with all windows of their whole texts: first every window carries its text's label,
 then only the window with the largest logit stands for its text. The network is a few hundred kB.
 
 Words are runs of ASCII letters, digits and bytes from 0x80, A-Z lower-cased. Defined results: a null or
 empty text, or one without words, gets the logit of an empty window; labels other than 0 and 1, and
-rows of labels without id, are not learned from; without labelled rows of both kinds all scores are the
-untrained network's; repeated rows give repeated rows; extra columns are ignored.
+rows of labels without id, are not learned from; a document without id is scored like any other and counts
+as held out, as no label can name it; without labelled rows of both kinds all scores are the untrained
+network's; repeated rows give repeated rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import text_batches
+from .labelled import sample
 from .words import WordHasher, chunks, mix, trimmed, utf8
 
 SPAN, STRIDE = 64, 48
@@ -292,22 +294,9 @@ def fit(texts: list[str], labels: list[int], epochs: int = 6, seed: int = 7, ste
     return net
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[list[str], list[int], dict[int, int]]:
-    """Texts and labels of at most max_rows of each label, those with the smallest hash of the id; and the
-    numbers of all labelled rows that may be learned from."""
-    held_in = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    held_in = held_in.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r[0]: r[1] for r in held_in.groupBy("toxic").count().collect()}
-    chosen: dict[int, int] = {}
-    for label in (0, 1):
-        chosen |= {r[0]: label for r in held_in.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("doc_id").collect()}
-    rows = docs.where(F.col("doc_id").isin(list(chosen))).select(F.col("doc_id").cast("bigint"), "text").collect() if chosen else []
-    rows = sorted((r[0], r[1] or "") for r in rows)
-    return [t for _, t in rows], [chosen[i] for i, _ in rows], counts
-
-
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2000) -> Network:
-    texts, marks, counts = sample(docs, labels, max_rows)
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2000, max_bytes: int = 64 << 20) -> Network:
+    """Learn from at most ``max_rows`` documents, and ``max_bytes`` of text, of each label."""
+    texts, marks, counts = sample(docs, labels.where("toxic in (0, 1)"), "toxic", max_rows, max_bytes)
     net = fit(texts, marks)
     if 0 < sum(marks) < len(marks):  # from the sample's odds to those of all labelled rows
         net.p["bias"] += np.float32(np.log(counts[1] / counts[0]) - np.log(sum(marks) / (len(marks) - sum(marks))))
@@ -327,7 +316,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id bigint, score double, predicted int")
-    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True)).alias("held_out"), "score", "predicted")
 
 
 def without_toxic(docs: DataFrame, net: Network) -> DataFrame:
