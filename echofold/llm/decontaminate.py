@@ -15,28 +15,32 @@ Verification. Candidates are checked by exact edit distance (the item against th
 the window).
 
 Words are runs of ASCII letters, digits and bytes from 0x80, A-Z lower-cased. The items are a bounded
-side: blocks of at most ``ITEM_WORDS`` words are shipped with the code, further items in further passes.
+side: blocks of at most ``ITEM_WORDS`` words are shipped with the code, further items in further passes,
+whose hits alone are written and joined. A text with more than ``HITS`` shared runs at a time (frequent
+words, long texts) is read in stretches that overlap by more than the longest item.
 
-Defined results: null and empty texts are clean; items without id or words match nothing; items given
-twice count once; repeated rows give repeated rows; extra columns are ignored; texts are read whole.
+Defined results: null and empty texts are clean; items without id or words match nothing; an item of fewer
+than five words allows no edit, and one of a single word marks every text with that word; items given twice count once; repeated rows give repeated rows; extra columns are ignored; texts are read whole.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import text_batches
+from ..runtime import stored, text_batches
 from .toxicity import word_breaks
 from .words import WordHasher, chunks, gram_hashes, mix, trimmed, utf8
 
 ITEM_WORDS = 400_000
+HITS, LEAST_STRETCH = 4_000_000, 256
 SAMPLED, RECALL = 2, 0.999
 TRIALS, LONGEST = 8000, 200
 FILTER_BITS = 22
@@ -151,6 +155,15 @@ class Items:
         self.repeats = {n: repeats(e, n, recall) for n, e in sorted(set(zip(self.n.tolist(), self.e.tolist())))}
         self.tables = {}
 
+    def hits(self, words: np.ndarray) -> int:
+        """How many shared runs there are."""
+        total = 0
+        for q, (runs, _, _, bits) in self.index.items():
+            g = gram_hashes(words, q)
+            g = g[bits[g & np.uint64((1 << FILTER_BITS) - 1)]]
+            total += int((np.searchsorted(runs, g, side="right") - np.searchsorted(runs, g, side="left")).sum())
+        return total
+
     def seeds(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in words, item, place in item) of all shared runs."""
         out = []
@@ -165,7 +178,30 @@ class Items:
         return tuple(np.concatenate(x) if out else np.zeros(0, np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
     def windows(self, words: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, item, first word) of the windows to be embedded."""
+        """(text, item, first word) of the windows to be embedded, from a bounded number of runs at a time."""
+        if not len(self.n) or not len(words):
+            return (np.zeros(0, np.int64),) * 3
+        n_texts, parts = len(off) - 1, []
+        if self.hits(words) <= HITS or n_texts == 1 and len(words) <= LEAST_STRETCH:
+            return self._windows(words, off)
+        if n_texts > 1:
+            for a, b in ((0, n_texts // 2), (n_texts // 2, n_texts)):
+                text, item, first = self.windows(words[off[a] : off[b]], off[a : b + 1] - off[a])
+                parts.append((text + a, item, first + off[a]))
+        else:  # what starts in a half, with the words around it that its items can reach
+            around = int((self.n + 2 * self.e).max()) + 8
+            half, n = len(words) // 2, len(words)
+            for a, b in ((0, half), (half, n)):
+                low, high = max(0, a - around), min(n, b + around)
+                if high - low >= n:
+                    return self._windows(words, off)
+                text, item, first = self.windows(words[low:high], np.array([0, high - low]))
+                first = first + low
+                mine = (first >= a if a else first < half) & (first < b if b < n else first >= half)
+                parts.append((text[mine], item[mine], first[mine]))
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _windows(self, words: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at, item, place = self.seeds(words)
         if not len(at):
             return at, item, place
@@ -286,6 +322,12 @@ def _report(part: pa.RecordBatch, items: Items, text: np.ndarray, item: np.ndarr
     return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(best, pa.int64(), mask=none), pa.array(least, pa.int64(), mask=none)], names=["doc_id", "n_items", "best_item", "best_distance"])
 
 
+def _keyed_hits(part: pa.RecordBatch, *found) -> pa.RecordBatch:
+    """The report of rows that hold an item, with their key."""
+    rows = _report(part, *found)
+    return rows.append_column("k", part.column("k")).filter(pa.array(rows.column("n_items").to_numpy() > 0))
+
+
 def _clean(part: pa.RecordBatch, items: Items, text: np.ndarray, item: np.ndarray, distance: np.ndarray) -> pa.RecordBatch:
     return part.filter(pa.array(np.bincount(text, minlength=part.num_rows) == 0))
 
@@ -293,29 +335,25 @@ def _clean(part: pa.RecordBatch, items: Items, text: np.ndarray, item: np.ndarra
 def contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.2) -> DataFrame:
     """doc_id, contaminated, n_items, best_item, best_distance for every row.
 
-    With a benchmark of one block (the usual case) the documents are passed once, without a shuffle.
+    With a benchmark of one block (the usual case) the documents are passed once, without a shuffle; with
+    more, the hits of each block are written and joined, on the id and a hash of the text.
     """
     text_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    passes = [texts.mapInArrow(trimmed(_scan(Items(b, share), _report)), OUT) for b in _blocks(benchmark)]
-    if not passes:
+    blocks = _blocks(benchmark)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
         out = texts.selectExpr("doc_id", "0L n_items", "cast(null as bigint) best_item", "cast(null as bigint) best_distance")
-    elif len(passes) == 1:
-        out = passes[0]
-    else:  # rows with the same id are told apart by their text
-        key = F.xxhash64("text").alias("k")
-        many = [texts.withColumn("k", key).select("doc_id", "k").distinct().withColumn("n_items", F.lit(0).cast("bigint"))]
-        for b in _blocks(benchmark):
-            rows = texts.groupBy("doc_id", "text").count().select("doc_id", "text", key)
-            many.append(rows.mapInArrow(trimmed(_scan(Items(b, share), lambda *x: _report(*x).append_column("k", x[0].column("k")))), OUT + ", k bigint"))
-        union = many[0]
-        for m in many[1:]:
-            union = union.unionByName(m, allowMissingColumns=True)
-        best = F.min(F.when(F.col("n_items") > 0, F.struct("best_distance", "best_item")))
-        found = union.groupBy("doc_id", "k").agg(F.sum("n_items").alias("n_items"), best.alias("best"))
-        left = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("k")).alias("l")
-        joined = left.join(found.alias("r"), F.expr("l.doc_id <=> r.doc_id and l.k = r.k"))
-        out = joined.select("l.doc_id", "n_items", F.col("best.best_item").alias("best_item"), F.col("best.best_distance").alias("best_distance"))
+    elif second is None:
+        out = texts.mapInArrow(trimmed(_scan(Items(first, share), _report)), OUT)
+    else:
+        keyed, hits = texts.withColumn("k", F.xxhash64("text")), []
+        for block in chain([first, second], blocks):
+            found = keyed.mapInArrow(trimmed(_scan(Items(block, share), _keyed_hits)), OUT + ", k bigint")
+            hits.append(stored(found.groupBy("doc_id", "k").agg(F.max("n_items").alias("n_items"), F.min(F.struct("best_distance", "best_item")).alias("best")), "hits"))
+        found = reduce(DataFrame.unionByName, hits).groupBy("doc_id", "k").agg(F.sum("n_items").alias("n_items"), F.min("best").alias("best"))
+        joined = keyed.select("doc_id", "k").alias("l").join(found.alias("r"), F.expr("l.doc_id <=> r.doc_id and l.k = r.k"), "left")
+        out = joined.select("l.doc_id", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.col("best.best_item").alias("best_item"), F.col("best.best_distance").alias("best_distance"))
     return out.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "best_item", "best_distance")
 
 

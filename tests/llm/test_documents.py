@@ -168,11 +168,40 @@ def test_prefixes_are_exact():
     text = "Thehein  ing<s>\nÜber 12.5 ▁▁ xx\x00"
     counts = [len(sp.encode(text[:i])) for i in range(len(text) + 1)]
     assert [tok.count_at(text, i) for i in range(len(text) + 1)] == counts
+    assert tok.prefixes(text).tolist() == counts and tok.prefixes("").tolist() == [0] and tok.prefixes(None).tolist() == [0]
     for budget in range(max(counts) + 2):
         over = next((i for i, c in enumerate(counts) if c > budget), len(text) + 1)
         assert tok.fit(text, budget) == over - 1
 
 
+def test_stored_prefixes_answer_without_encoding(spark):
+    import sentencepiece
+
+    sp, r = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file()), random.Random(2)
+    texts = ["", None, "a  b ", "Ünï code 😀😀 x", "".join(r.choices("abc  <s>é\n", k=300)), "z" * 9000]
+    rows = prefix_tokens.count_tokens(table(spark, [(i, t, "s") for i, t in enumerate(texts)]), tokenizer_file(), 10, with_prefixes=True)
+    rows = rows.select("*", *[prefix_tokens.count_at(F.col("prefix_tokens"), n).alias(f"at{n}") for n in (0, 1, 3, 50, 8000)], *[prefix_tokens.longest_fit(F.col("prefix_tokens"), b).alias(f"fit{b}") for b in (0, 1, 2, 60)])
+    for x in rows.collect():
+        t = texts[x["doc_id"]] or ""
+        counts = [len(sp.encode(t[:i])) for i in (range(len(t) + 1) if len(t) < 1000 else (0, 1, 3, 50, 8000, 9000))]
+        if len(t) < 1000:
+            assert x["prefix_tokens"] == counts
+            assert all(x[f"fit{b}"] == next((i for i, c in enumerate(counts) if c > b), len(t) + 1) - 1 for b in (0, 1, 2, 60))
+        assert x["n_tokens"] == counts[-1] and x["over_limit"] == (counts[-1] > 10)
+        assert all(x[f"at{n}"] == len(sp.encode(t[:n])) for n in (0, 1, 3, 50, 8000))
+
+
+def test_caches_keep_within_bytes(monkeypatch):
+    monkeypatch.setattr(prefix_tokens, "CACHE_BYTES", 20_000)
+    tok, r = prefix_tokens.PrefixTokens(tokenizer_file()), random.Random(1)
+    fresh = prefix_tokens.PrefixTokens(tokenizer_file())
+    for _ in range(400):
+        text = "".join(r.choices("abcdeé", k=r.randint(1, 60)))
+        fresh.totals.clear()
+        assert tok.count(text) == fresh.count(text)
+        assert tok.totals_bytes <= 20_000 and tok.stable_bytes <= 20_500
+
+
 def edits(r, words, k):
     w = list(words)
     for _ in range(k):
@@ -211,6 +240,24 @@ def test_contamination_equals_brute_force(spark):
     assert kept == {i for i in got if not got[i]["contaminated"]}
 
 
+def test_frequent_words_are_read_in_stretches(spark, monkeypatch):
+    """Whatever the number of runs held at a time, the same items are found."""
+    r = random.Random(9)
+    items = [(k, " ".join(r.choices("a b c d".split(), k=n))) for k, n in enumerate([1, 3, 6, 12, 20, 31])]
+    rows = [(i, " ".join(r.choices("a b c d e".split(), k=r.choice([0, 5, 80, 900]))), "s") for i in range(40)]
+    rows += [(100 + k, " ".join(r.choices("a b c d e".split(), k=700)) + " " + t + " " + " ".join(r.choices("a b c d e".split(), k=700)), "s") for k, t in items]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    once = sorted(map(tuple, decontaminate.contamination(table(spark, rows), bench).collect()))
+    assert all(x[2] >= 1 for x in once if x[0] >= 100)
+    hasher = decontaminate.WordHasher(fold_case=True, space=decontaminate.word_breaks())
+    words, off = hasher(*utf8(pa.array([t for _, t, _ in rows])))
+    whole = decontaminate.Items(items, 0.2).windows(words, off)
+    monkeypatch.setattr(decontaminate, "HITS", 300)
+    monkeypatch.setattr(decontaminate, "LEAST_STRETCH", 16)
+    assert [x.tolist() for x in decontaminate.Items(items, 0.2).windows(words, off)] != [[]] * 3
+    assert sorted(zip(*(x.tolist() for x in decontaminate.Items(items, 0.2).windows(words, off)))) == sorted(zip(*(x.tolist() for x in whole)))
+
+
 def test_contamination_in_several_passes(spark, monkeypatch):
     rows = [(1, "a b c d e f g h", "s"), (1, "x", "s"), (2, None, "s"), (None, "a b c d e f g h", "s"), (3, "q r s t u v w z", None)]
     bench = spark.createDataFrame([(1, "a b c d e f g"), (2, "q r s t u v w"), (2, "q r s t u v w")], "item_id bigint, text string")
@@ -304,6 +351,7 @@ def test_toxicity(spark):
     good = sum(r["predicted"] == labels[r["doc_id"]][2] for r in out if r["doc_id"] is not None and r["doc_id"] >= 0)
     assert good >= 0.95 * len(rows)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in out) and len(out) == len(rows) + 3
+    assert [r["held_out"] for r in out if r["doc_id"] is None] == [True]
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out if r["doc_id"] is not None)
     kept = {r["doc_id"] for r in toxicity.without_toxic(docs, net).collect()}
     assert kept == {r["doc_id"] for r in out if r["doc_id"] is not None and r["doc_id"] >= 0 and not r["predicted"]}
@@ -345,6 +393,61 @@ def test_toxic_windows_cover_texts():
     assert np.diff(off).tolist() == [3, 0, 1] and len(index) == 4
 
 
+@pytest.mark.parametrize(("column", "least"), [("toxic", 0.9), ("quality", 0.95)])
+def test_held_out_accuracy_on_the_tables(spark, column, least):
+    """On labelled rows of the larger table that were not learned from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = labels.where((F.crc32(F.col("doc_id").cast("string")) % 5 == 0) & F.col(column).isNotNull())
+    of = docs.join(held, "doc_id", "left_semi")
+    if column == "toxic":
+        out = toxicity.score(of, toxicity.train(docs, labels)).select("doc_id", F.col("predicted").alias("said"), "held_out")
+    else:
+        out = ordinal_quality.grade(of, ordinal_quality.train(docs, labels)).select("doc_id", F.col("kept").cast("int").alias("said"), F.lit(True).alias("held_out"))
+    rows = out.join(held, "doc_id").select("said", column, "held_out").collect()
+    right = {k: [r[0] == r[1] for r in rows if r[1] == k] for k in (0, 1)}
+    assert len(rows) > 500 and all(r["held_out"] for r in rows)
+    assert all(sum(x) >= least * len(x) for x in right.values()), {k: sum(x) / len(x) for k, x in right.items()}
+
+
+def test_scores_equal_a_plain_network(spark):
+    """The vectorised network against one word at a time, on whole texts of the table."""
+    net, reader = toxicity.Network(5), toxicity.Reader()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60").unionByName(table(spark, [(-1, None, "s"), (-2, "?!", "s"), (-3, "Ab " * 500, "s")]))
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in toxicity.score(docs, net).collect():
+        want = 1 / (1 + math.exp(-brute.toxic_logit(net, reader, text[r["doc_id"]])))
+        assert abs(r["score"] - want) < 1e-4
+
+
+def test_grades_equal_a_plain_regression(spark):
+    """Features counted with dictionaries, probabilities by the formula."""
+    docs, known = table(spark, labelled()[0]), spark.createDataFrame(labelled()[1], LABELS)
+    model = ordinal_quality.train(docs, known)
+    for r in ordinal_quality.grade(docs.where("doc_id < 40"), model).join(docs, "doc_id").collect():
+        raw, x = r["text"].encode(), {}
+        for i in range(len(raw) - 2):
+            c = (raw[i] * 0x9E3779B1 ^ raw[i + 1] * 0x85EBCA6B ^ raw[i + 2] * 0xC2B2AE35) & 0xFFFFFFFF
+            c = ((c ^ c >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 20
+            x[c] = x.get(c, 0) + 1
+        score = sum(model.w[c] * math.sqrt(n / (len(raw) - 2)) for c, n in x.items())
+        words, letters = raw.split(), sum(65 <= b <= 90 or 97 <= b <= 122 for b in raw)
+        shares = (len(set(words)) / len(words), sum(65 <= b <= 90 for b in raw) / max(1, letters), sum(32 < b < 48 for b in raw) / len(raw), min(1, math.log2(len(words)) / 16))
+        score += sum(model.w[ordinal_quality.TRIGRAMS + 10 * k + min(9, int(10 * s))] for k, s in enumerate(shares))
+        above = [1 / (1 + math.exp(t - score)) for t in model.thresholds()]
+        assert abs(r["expected_grade"] - sum(above)) < 1e-3 and abs(r["tail_probability"] - above[-1]) < 1e-3
+
+
+def test_samples_are_bounded(spark):
+    from echofold.llm import labelled as sampling
+
+    docs = table(spark, [(i, "x" * 100, "s") for i in range(200)] + [(500, "y" * 5000, "s")])
+    known = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(500, 2)], "doc_id bigint, g int")
+    texts, grades, counts = sampling.sample(docs, known, "g", 30, 1000)
+    assert {g: grades.count(g) for g in set(grades)} == {0: 10, 1: 10} | ({2: 1} if 2 in counts else {}) and len(texts) == len(grades)
+    texts, grades, _ = sampling.sample(docs, known, "g", 30, 1 << 20)
+    assert grades.count(0) == grades.count(1) == 30
+
+
 def test_quality_grades(spark):
     rows, labels = labelled()
     docs, known = table(spark, rows), spark.createDataFrame([*labels, (None, 1, 1), (5, None, None)], LABELS)
