@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import stored
 
-SHARD_ROWS, BLOCK_QUERIES, LEAF = 131_072, 65_536, 64
+SHARD_ROWS, BLOCK_QUERIES, LEAF = 131_072, 65_536, 256
 SHARD_BYTES = 64 << 20
 EXACT = 1 << 53  # sums of products up to here are exact in float64
 OUT = "query_id bigint, vec_id bigint, score bigint"
