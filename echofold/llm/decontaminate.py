@@ -155,35 +155,34 @@ class Items:
         self.repeats = {n: repeats(e, n, recall) for n, e in sorted(set(zip(self.n.tolist(), self.e.tolist())))}
         self.tables = {}
 
-    def hits(self, words: np.ndarray) -> int:
-        """How many shared runs there are."""
-        total = 0
+    def shared(self, words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        """For each run length: places in words with a shared run, where the index has it first, how often; the length."""
+        out = []
         for q, (runs, _, _, bits) in self.index.items():
             g = gram_hashes(words, q)
-            g = g[bits[g & np.uint64((1 << FILTER_BITS) - 1)]]
-            total += int((np.searchsorted(runs, g, side="right") - np.searchsorted(runs, g, side="left")).sum())
-        return total
+            at = np.flatnonzero(bits[g & np.uint64((1 << FILTER_BITS) - 1)])
+            low, high = (np.searchsorted(runs, g[at], side=s) for s in ("left", "right"))
+            some = high > low
+            out.append((at[some], low[some], (high - low)[some], q))
+        return out
 
-    def seeds(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def seeds(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in words, item, place in item) of all shared runs."""
         out = []
-        for q, (runs, item, place, bits) in self.index.items():
-            g = gram_hashes(words, q)
-            at = np.flatnonzero(bits[g & np.uint64((1 << FILTER_BITS) - 1)])
-            low, high = (np.searchsorted(runs, g[at], side=s) for s in ("left", "right"))
-            n = high - low
-            at, low, n = at[n > 0], low[n > 0], n[n > 0]
+        for at, low, n, q in found:
+            _, item, place, _ = self.index[q]
             hit = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             out.append((np.repeat(at, n), item[hit], place[hit]))
-        return tuple(np.concatenate(x) if out else np.zeros(0, np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+        return tuple(np.concatenate(x) for x in zip(*out))
 
     def windows(self, words: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, item, first word) of the windows to be embedded, from a bounded number of runs at a time."""
         if not len(self.n) or not len(words):
             return (np.zeros(0, np.int64),) * 3
         n_texts, parts = len(off) - 1, []
-        if self.hits(words) <= HITS or n_texts == 1 and len(words) <= LEAST_STRETCH:
-            return self._windows(words, off)
+        found = self.shared(words)
+        if sum(int(n.sum()) for _, _, n, _ in found) <= HITS or n_texts == 1 and len(words) <= LEAST_STRETCH:
+            return self._windows(words, off, found)
         if n_texts > 1:
             for a, b in ((0, n_texts // 2), (n_texts // 2, n_texts)):
                 text, item, first = self.windows(words[off[a] : off[b]], off[a : b + 1] - off[a])
@@ -194,15 +193,15 @@ class Items:
             for a, b in ((0, half), (half, n)):
                 low, high = max(0, a - around), min(n, b + around)
                 if high - low >= n:
-                    return self._windows(words, off)
+                    return self._windows(words, off, found)
                 text, item, first = self.windows(words[low:high], np.array([0, high - low]))
                 first = first + low
                 mine = (first >= a if a else first < half) & (first < b if b < n else first >= half)
                 parts.append((text[mine], item[mine], first[mine]))
         return tuple(np.concatenate(x) for x in zip(*parts))
 
-    def _windows(self, words: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at, item, place = self.seeds(words)
+    def _windows(self, words: np.ndarray, off: np.ndarray, found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at, item, place = self.seeds(found)
         if not len(at):
             return at, item, place
         text = np.searchsorted(off, at, side="right") - 1
