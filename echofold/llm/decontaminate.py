@@ -59,16 +59,17 @@ def run_length(n: int, e: int) -> int:
 def walks(words: np.ndarray, seed: int, places: int | None = None) -> np.ndarray:
     """CGK embedding of rows of equal length n into 3n places, or the first few of them.
 
-    Past its end a row is padded with zeros.
+    Past its end a row is padded with zeros. Words are mixed hashes, so the random bit is the top one of their
+    product with a random odd number of the place and the seed (added bitwise first: padding moves on too).
     """
     rows, n = words.shape
     places = places or 3 * n
+    odd = mix(np.arange(places, dtype=np.uint64) * np.uint64(7919) + np.uint64(seed * 1_000_003 + 1)) | np.uint64(1)
     padded = np.concatenate([words, np.zeros((rows, 1), np.uint64)], axis=1)
     at, out, every = np.zeros(rows, dtype=np.int64), np.empty((rows, places), np.uint64), np.arange(rows)
     for j in range(places):
         w = out[:, j] = padded[every, at]
-        step = mix(w + np.uint64((seed * 1_000_003 + j * 7919) & 0xFFFFFFFF)) >> np.uint64(63)
-        at = np.minimum(at + step.astype(np.int64), n)
+        at = np.minimum(at + (((w ^ odd[j]) * odd[j]) >> np.uint64(63)).view(np.int64), n)
     return out
 
 
