@@ -22,6 +22,7 @@ import re
 import sys
 import types
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import text_batches
 
-CACHE_BYTES = 48 << 20  # of each cache, by the size of its strings
+CACHE_BYTES = 128 << 20  # of each of two caches, by the size of its strings
+RUN = 4096
 ENTRY_BYTES = 120  # what an entry takes beside them
 SPACE = "▁"
 CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -98,11 +100,10 @@ class PrefixTokens:
                 self.whole[token] = known
         return known
 
-    def steps(self, chunk: str) -> Iterator[int]:
-        """Tokens of every prefix of a chunk but the empty one; only the last prefixes are held."""
+    def _extend(self, chunk: str, count: list[int], last: list[str], base: int, stop: int) -> None:
+        """Appends the prefixes of up to ``stop`` characters to those from ``base`` on."""
         score, longest = self.score, self.longest
-        count, last, base = [0], [""], 0  # of the prefixes from base on
-        for i in range(1, len(chunk) + 1):
+        for i in range(base + len(count), stop + 1):
             for size in range(1, min(longest, i) + 1):
                 token = chunk[i - size : i]
                 if size > 1 and token not in score:
@@ -114,21 +115,35 @@ class PrefixTokens:
                     break
             else:
                 raise AssertionError(f"no stable last token in {chunk[:i]!r}")
-            if len(count) > 4096 + longest:
-                base += 4096
-                del count[:4096], last[:4096]
-            yield count[-1]
+
+    def runs(self, chunk: str) -> Iterator[list[int]]:
+        """Tokens of every prefix of a chunk but the empty one, RUN at a time; the last few are held."""
+        count, last, base = [0], [""], 0
+        for stop in range(min(RUN, len(chunk)), len(chunk) + RUN, RUN):
+            done = len(count)
+            self._extend(chunk, count, last, base, min(stop, len(chunk)))
+            yield count[done:]
+            past = max(0, len(count) - self.longest)
+            base += past
+            del count[:past], last[:past]
+            if base + len(count) > len(chunk):
+                return
 
     def table(self, chunk: str) -> list[int]:
         """Tokens of every prefix of a chunk, the empty one first."""
-        return [0, *self.steps(chunk)]
+        return [0, *chain.from_iterable(self.runs(chunk))]
 
     def total(self, chunk: str) -> int:
         known = self.totals.get(chunk)
         if known is None:
-            for known in self.steps(chunk):
-                pass
-            size = ENTRY_BYTES + sys.getsizeof(chunk)
+            if len(chunk) <= RUN:
+                count = [0]
+                self._extend(chunk, count, [""], 0, len(chunk))
+                known = count[-1]
+            else:
+                for run in self.runs(chunk):
+                    known = run[-1]
+            size = ENTRY_BYTES + 2 * len(chunk)
             if size < CACHE_BYTES >> 6:
                 self.totals_bytes += size
                 if self.totals_bytes > CACHE_BYTES:
@@ -148,7 +163,7 @@ class PrefixTokens:
         """Token counts of every prefix of the text, the empty one first."""
         tables, total = [np.zeros(1, np.int32)], 0
         for c in self.chunks(text or ""):
-            tables.append(np.fromiter(self.steps(c), np.int32, len(c)) + np.int32(total))
+            tables.append(np.fromiter(chain.from_iterable(self.runs(c)), np.int32, len(c)) + np.int32(total))
             total = int(tables[-1][-1])
         out = np.concatenate(tables)
         return np.concatenate([out[:1], out[2:]])  # the dummy space is before the text
