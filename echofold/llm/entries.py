@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import decontaminate, html_extract, mixing, ordinal_quality, toxicity
+from . import decontaminate, html_extract, mixing, ordinal_quality, source_audit, toxicity, winnowing
 from .kdtree_topk import top_k
 from .minhash_forest import near_duplicates
 from .mixing import MOST, UNIT
@@ -64,7 +64,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op2_topk": op2_topk, "op3_token_counts": op3_token_counts, "op4_quality": op4_quality, "op5_substring_dedup": op5_substring_dedup, "op6_html_extraction": op6_html_extraction, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_decontamination": op9_decontamination, "op10_toxicity": op10_toxicity}
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op2_topk": op2_topk, "op3_token_counts": op3_token_counts, "op4_quality": op4_quality, "op5_substring_dedup": op5_substring_dedup, "op6_html_extraction": op6_html_extraction, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_decontamination": op9_decontamination, "op10_toxicity": op10_toxicity, "op11_fingerprints": op11_fingerprints, "op12_source_audit": op12_source_audit}
 
 ORACLES = {
     "op2_topk": """
@@ -180,4 +188,39 @@ ORACLES = {
         )
         SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(g, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM w LEFT JOIN cut ON cut.doc_id = w.doc_id LEFT JOIN kept ON kept.doc_id = w.doc_id""",
+    "op12_source_audit": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ), occurrence AS (
+            SELECT r, lang, source, unnest(terms) AS term FROM d
+        ), kept AS (
+            SELECT lang, term, count(*) AS n_lang FROM occurrence GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+        ), grp AS (
+            SELECT DISTINCT lang, source FROM d
+        ), c AS (
+            SELECT lang, source, term, count(*) AS n FROM occurrence GROUP BY ALL
+        ), dense AS (
+            SELECT grp.lang, grp.source, kept.term, coalesce(n, 0) AS n, n_lang
+            FROM grp JOIN kept USING (lang) LEFT JOIN c ON c.lang = grp.lang AND c.source = grp.source AND c.term = kept.term
+        ), size_of AS (
+            SELECT lang, source, sum(n) AS total, count(*) AS v, sum(n_lang) AS total_lang FROM dense GROUP BY lang, source
+        ), p AS (
+            SELECT lang, source, term, n,
+                   CAST(1 + 1000000000::HUGEINT * (n + 2) // (total + 2 * v) AS BIGINT) AS p,
+                   CAST(1 + 1000000000::HUGEINT * (n_lang + 2) // (total_lang + 2 * v) AS BIGINT) AS q
+            FROM dense JOIN size_of USING (lang, source)
+        ), far AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), part AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+            FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q
+        )
+        SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM part)
+        WHERE part = 'pair' OR rank <= 10""",
 }
