@@ -10,7 +10,8 @@ Shards and blocks of queries meet in tasks of bounded size: a shard holds at mos
 vectors and ``SHARD_BYTES`` of them, a block about ``BLOCK_QUERIES`` queries and as many bytes, both dealt
 by a hash of the id.
 
-Components are floor(256 * x). Vectors that are null or hold null or non-finite components take no
+Components are floor(256 * x), whole numbers of any size. A score beyond 64 bits is given, and ranked, as the largest or
+smallest long. Vectors that are null or hold null or non-finite components take no
 part, nor do rows without vec_id; only vectors of equal length are scored with each other. Repeated
 rows of a candidate are rows of their own; a query given twice is answered once if it is the same
 vector, else for the vector that sorts first. An empty table gives no rows; extra columns are ignored.
@@ -31,6 +32,7 @@ from ..runtime import stored
 SHARD_ROWS, BLOCK_QUERIES, LEAF = 131_072, 65_536, 256
 SHARD_BYTES = 64 << 20
 EXACT = 1 << 53  # sums of products up to here are exact in float64
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 OUT = "query_id bigint, vec_id bigint, score bigint"
 
 
@@ -76,16 +78,18 @@ def search(tree: KDTree, ids: np.ndarray, queries: np.ndarray, own: np.ndarray,
         while heap:
             top, node = heapq.heappop(heap)
             least = max(floor, best[0][0]) if len(best) == k else floor
-            if -top < least:
+            if max(-top, LEAST) < least:
                 break
             kids = tree.kids[node]
             if kids[0] >= 0:
                 for bound, kid in zip(tree.bounds(above, below, kids), kids):
-                    if bound >= least:
+                    if max(bound, LEAST) >= least:
                         heapq.heappush(heap, (-bound, kid))
                 continue
             a, b = tree.span[node]
             scores = tree.rows[a:b] @ q
+            if scores.dtype == object:
+                scores = np.array([min(max(s, LEAST), MOST) for s in scores], dtype=object)
             for j in np.flatnonzero(scores >= least):
                 entry = (int(scores[j]), -int(ids[a + j]))
                 if -entry[1] == mine:
@@ -100,8 +104,12 @@ def search(tree: KDTree, ids: np.ndarray, queries: np.ndarray, own: np.ndarray,
 
 def matrix(values: pd.Series) -> np.ndarray:
     """Quantised vectors; float64 where products are exact, else Python integers."""
-    m = np.floor(np.stack(values.to_list()).astype(np.float64) * 256.0)
-    return m if not m.size or np.abs(m).max() ** 2 * m.shape[1] < EXACT else np.array([[int(x) for x in row] for row in m], dtype=object)
+    x = np.stack(values.to_list()).astype(np.float64)
+    most = np.abs(x).max() * 256.0 + 1 if x.size and np.abs(x).max() < EXACT else 0.0 if not x.size else math.inf
+    if most * most * x.shape[1] < EXACT:
+        return np.floor(x * 256.0)
+    # Doubles from 2**53 on are whole numbers; 256 times the largest ones is no double any more.
+    return np.array([[int(v) * 256 if abs(v) >= EXACT else math.floor(v * 256.0) for v in row] for row in x.tolist()], dtype=object)
 
 
 def _answer(k: int):
@@ -112,7 +120,7 @@ def _answer(k: int):
             if v.dtype != q.dtype or v.dtype != object and v.size and np.abs(v).max() * np.abs(q).max() * v.shape[1] >= EXACT:
                 v, q = (np.array([[int(x) for x in row] for row in m], dtype=object) for m in (v, q))
             own = queries["query_id"].to_numpy()
-            floor = queries["floor"].to_numpy(dtype=np.float64)
+            floor = queries["floor"].to_list()
             for i, best in search(KDTree(v), vectors["vec_id"].to_numpy(), q, own, floor, k):
                 rows += [(int(own[i]), -m, s) for s, m in best]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
@@ -138,10 +146,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
 
     names = {"d": "q_d", "shard": "q_shard", "embedding": "q_embedding", "block": "q_block"}  # apart from the vectors' own
     queries = queries.select(*[F.col(c).alias(names.get(c, c)) for c in queries.columns])
-    home = queries.withColumn("floor", F.lit(float("-inf"))).groupBy("q_d", "q_shard").cogroup(rows.groupBy("d", "shard")).applyInPandas(_answer(k), OUT)
+    home = queries.withColumn("floor", F.lit(LEAST).cast("bigint")).groupBy("q_d", "q_shard").cogroup(rows.groupBy("d", "shard")).applyInPandas(_answer(k), OUT)
     home = stored(home, "home")
     kth = home.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
-    bound = queries.join(kth.select("query_id", F.col("floor").cast("double").alias("floor")), "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    bound = queries.join(kth.select("query_id", "floor"), "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(LEAST).cast("bigint")))
     away = bound.withColumn("q_shard", F.explode(F.array_except(F.sequence(F.lit(0), F.lit(shards - 1)), F.array("q_shard"))))
     spread = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     far = away.groupBy("q_d", "q_shard", "q_block").cogroup(spread.groupBy("d", "shard", "block")).applyInPandas(_answer(k), OUT)
