@@ -6,8 +6,10 @@ nearest landmark) and its text (length, links, punctuation, place). Two labels,
 are decoded together by Viterbi with learned transitions. The field is trained by maximum likelihood
 on labelled pages: ``label_pages`` composes pages of many layouts and marks the blocks of the article.
 
-Reading is linear in the page. Scripts, styles, comments, templates and the head have no blocks; the head ends where the first text or
-element that cannot be in it begins, and a silent element that is never closed silences nothing. Character references are decoded, white
+Reading is linear in the page but for a logarithm. Scripts, styles, comments, templates and the head have no blocks; the head ends where
+the first text or element that cannot be in it begins, and a silent element that is never closed silences nothing. One that may hold its own
+kind ends with its own end tag, as far as there are enough of them. Silent elements and comments within a block
+leave it whole. Character references are decoded, white
 space in a block becomes one space (a line break element counts as white space), blocks are joined by a
 line feed. Inline elements do not part words.
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,6 +39,7 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
 MATH = frozenset("math mrow mi mo mn ms mtext mspace mfrac msqrt mroot msup msub msubsup munder mover munderover mmultiscripts mstyle mpadded mphantom menclose mtable mtr mtd semantics".split())
 SILENT = frozenset("script style template noscript title iframe object svg canvas audio video annotation annotation-xml".split())
+NESTING = frozenset("template object svg audio video".split())  # those of them that may hold their own kind
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table div section article body select".split())
@@ -171,13 +175,14 @@ def blocks(page: str) -> list[Block]:
     chains = [Chain()]
     opened: Counter[str] = Counter()
     parts: list[str] = []
-    linked, in_link, silent, at = 0, 0, "", 0
-    last_ends: dict[str, int] = {}
+    linked, in_link, silent, level, at = 0, 0, "", 0, 0
+    ends_of: dict[str, list[int]] = {}
 
-    def closed_later(tag: str) -> bool:
-        if tag not in last_ends:
-            last_ends[tag] = max((m.start() for m in re.finditer(rf"</{tag}[\s/>]", page, re.I)), default=-1)
-        return last_ends[tag] >= at
+    def ends_left(tag: str) -> int:
+        """How many end tags of an element are still to come."""
+        if tag not in ends_of:
+            ends_of[tag] = [m.start() for m in re.finditer(rf"</{tag}[\s/>]", page, re.I)]
+        return len(ends_of[tag]) - bisect_left(ends_of[tag], at)
 
     def text_of(raw: str) -> None:
         nonlocal linked
@@ -209,11 +214,16 @@ def blocks(page: str) -> list[Block]:
         if not tag:
             continue
         if tag in ("script", "style") and not closing:  # raw text: nothing in it is a tag
-            if not silent:
-                flush()
             read.at = at = raw_end(page, tag, at)
             continue
         if silent:
+            if tag == silent and tag in NESTING:
+                if closing:
+                    level -= 1
+                elif not attributes.endswith("/") and ends_left(tag) > level:
+                    level += 1
+                if level:
+                    continue
             if closing and tag in (silent, "head") or tag == "body":
                 if tag == silent or silent in IN_HEAD:
                     silent = ""
@@ -222,11 +232,9 @@ def blocks(page: str) -> list[Block]:
         if tag in SILENT:
             if closing:
                 continue
-            if not tag.startswith("annotation"):
-                flush()
             if not attributes.endswith("/"):
-                if closed_later(tag):
-                    silent = tag
+                if ends_left(tag):
+                    silent, level = tag, 1
                 elif tag == "title":  # never closed: its text ends with the next tag
                     following = page.find("<", at)
                     at = len(page) if following < 0 else following

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+from html.parser import HTMLParser
 
 import brute
 import pytest
@@ -51,6 +52,28 @@ def test_topk_equals_brute_force(spark, monkeypatch, shard):
     assert kdtree_topk.top_k(df.limit(0)).count() == 0
 
 
+def test_topk_of_components_of_any_size(spark):
+    big = [1.7e308, 1e12, -1.7e308, 3e15, 1.0]
+    r = random.Random(4)
+    rows = [(i, [r.choice([*big, 0.5, -2.0]) for _ in range(3)]) for i in range(1, 120)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    exact = lambda x: int(x) * 256 if abs(x) > 2**53 else math.floor(256 * x)
+    v, want = {i: [exact(x) for x in e] for i, e in rows}, []
+    for q in (50, 100):
+        clamped = {c: max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v[q], v[c])))) for c in v if c != q}
+        best = sorted((-s, c) for c, s in clamped.items())[:5]
+        want += [(q, n, c, -s) for n, (s, c) in enumerate(best, 1)]
+    assert sorted(map(tuple, kdtree_topk.top_k(df, 5, 50).collect())) == sorted(want)
+
+
+def test_topk_ties_far_beyond_exact_doubles(spark, monkeypatch):
+    monkeypatch.setattr(kdtree_topk, "SHARD_ROWS", 16)
+    base = float((1 << 23) + 1)  # scores near 2**62, far apart as doubles
+    rows = [(i, [base, float(i % 3)]) for i in range(1, 201)] + [(250, [-base, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert sorted(map(tuple, kdtree_topk.top_k(df, 5, 50).collect())) == plain_topk(rows, 5, 50)
+
+
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("a.example.com", "/en/7/x", "block"), ("org", "", "block"), ("www.x.org", "/p", "allow"), ("EN", "/", "block"), (None, "/", "block"), ("", "/", "block"), ("com", "/en/", "allow")]
 URLS = [None, "", "no scheme", "http://", "http://com/en/", "https://COM/en/x?y", "http://example.com/en/7", "http://b.example.com/en/70#z", "http://a.example.com/en/7/xy", "http://xexample.com/en/7", "http://org", "http://www.x.org/p/q", "http://www.x.org/q", "http://x.en/", "http://x.en", "ftp://u@example.com:80/en/7", "http://é.com/en/ü", "http://com.example/en/", "x://y://com/en/", "http://a.com//en/", "http://com/en\n/"]
 
@@ -271,6 +294,77 @@ def test_deep_pages_keep_their_text():
     assert [b.text for b in html_extract.blocks(page)] == ["One.", "Two."]
 
 
+@pytest.mark.parametrize("page,found", [
+    ("<p>A<script>1</script>B</p>", ["AB"]), ("<p>C<svg></svg>D</p>", ["CD"]), ("<p>x <noscript>..</noscript> y</p>", ["x y"]), ("<p>a<!-- c -->b<style>z</style>c", ["abc"]),
+    ("<svg><svg></svg><text>leak</text></svg>ok", ["ok"]), ("<template><template></template><p>leak</p></template>ok", ["ok"]), ("<object><object></object>leak</object>ok", ["ok"]),
+    ("<svg><svg></svg>rest", ["rest"]), ("<svg><svg/>leak</svg>ok", ["ok"]), ("<template>a<svg></template>ok</svg>", ["ok"]), ("<svg>" * 600 + "x" + "</svg>" * 600 + "ok", ["ok"]),
+])
+def test_silent_elements_nest_and_leave_blocks_whole(page, found):
+    assert [b.text for b in html_extract.blocks(page)] == found
+
+
+class PlainReader(HTMLParser):
+    """Blocks by the standard library's parser: text between block elements."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.parts, self.silent = [], [], []
+
+    def flush(self):
+        text = " ".join("".join(self.parts).split())
+        self.out += [text] if text else []
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_extract.SILENT:
+            self.silent.append(tag)
+        elif not self.silent and tag == "br":
+            self.parts.append(" ")
+        elif not self.silent and tag not in html_extract.INLINE:
+            self.flush()
+
+    def handle_endtag(self, tag):
+        if self.silent and tag == self.silent[-1]:
+            self.silent.pop()
+        elif not self.silent and tag not in html_extract.INLINE:
+            self.flush()
+
+    def handle_startendtag(self, tag, attrs):
+        if tag not in html_extract.SILENT:
+            self.handle_starttag(tag, attrs)
+
+    def handle_data(self, data):
+        if not self.silent:
+            self.parts.append(data)
+
+
+def plain_blocks(page):
+    reader = PlainReader()
+    reader.feed(page)
+    reader.close()
+    reader.flush()
+    return reader.out
+
+
+def test_blocks_equal_those_of_a_plain_reader(spark, sf):
+    pages = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    r = random.Random(9)
+    tags = ["p", "div", "li", "b", "em", "span", "a href='x'", "svg", "template", "h2", "td", "section"]
+
+    def tree(depth):
+        out = ""
+        for _ in range(r.randrange(1, 4)):
+            out += r.choice(["word ", "&amp;", "two words", " ", "<br>", "<!-- no -->", "<script>if (a < b) '<p>'</script>", "<style>p {}</style>", "&eacute;t&eacute;"])
+            if depth:
+                tag = r.choice(tags)
+                out += f"<{tag}>{tree(depth - 1)}</{tag.split()[0]}>"
+        return out
+
+    for page in pages + [tree(4) for _ in range(200)]:
+        assert [b.text for b in html_extract.blocks(page)] == plain_blocks(page)
+
+
+
 def test_page_texts_of_the_table(spark, sf):
     """Every block that the field keeps is in the page's own text, in order; menus and the like are not."""
     rows = entries.op6_html_extraction(spark, sf).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect()
