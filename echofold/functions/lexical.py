@@ -66,10 +66,10 @@ def renamed(stream: Column, most: int = 12) -> Column:
 
 
 def shingles(stream: Column, width: int = 4) -> Column:
-    """Distinct runs of ``width`` tokens; a shorter stream is one shingle, an empty one none."""
+    """Distinct runs of ``width`` tokens; a shorter stream is one shingle, an empty or null one none."""
     def of(s: Column) -> Column:
         runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(s) - width + 1, F.lit(1))), lambda i: F.array_join(F.slice(s, i, width), " "))
-        return F.when(F.size(s) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+        return F.when(F.coalesce(F.size(s), F.lit(0)) <= 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
 
     return let(stream, of)
 

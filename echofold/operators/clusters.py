@@ -22,9 +22,13 @@ def members(findings: DataFrame, units: DataFrame) -> DataFrame:
 
     units: id, path, start_line, end_line, name, ...
     """
-    labels = connected_components(findings, "l", "r")
+    return labelled(connected_components(findings, "l", "r").withColumnRenamed("node", "id"), units)
+
+
+def labelled(labels: DataFrame, units: DataFrame) -> DataFrame:
+    """Unit columns with the cluster that ``labels`` (id, component) give them."""
     first = units.select(F.col("id").alias("component"), F.concat_ws(":", "path", F.col("start_line").cast("string"), "name").alias("cluster_id"))
-    return units.join(labels.withColumnRenamed("node", "id"), "id").join(first, "component").drop("component")
+    return units.join(labels, "id").join(first, "component").drop("component")
 
 
 def sizes(of: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import clusters, graph
+from ..functions import lexical
+from ..operators import clones, clusters, graph
 from ..runtime import stored, table
 from ..sources import files as tree
 from ..sources import units as parsing
@@ -168,3 +169,10 @@ def miner_tree(spark, sf_dir):
     SELECT path, substr(string_split({UNIT_TEXT}, chr(10))[1], 1, 60) AS name, CAST(first_line AS INTEGER) AS start_line, CAST(until AS INTEGER) AS end_line FROM span WHERE root <> 'tests' AND until - first_line + 1 >= 5""")
 def heuristic_chunks(spark, sf_dir):
     return tree.chunks(tree.miner_files(files(spark, sf_dir))).select("path", "name", "start_line", "end_line")
+
+
+def mined_chunks(spark, sf_dir) -> DataFrame:
+    """id (path:line) and shingles of every chunk that the miner reads."""
+    rows = tree.chunks(tree.miner_files(files(spark, sf_dir)))
+    shingles = clones.shingle_hashes(lexical.normalized(lexical.tokens(F.col("text"))), 3)
+    return rows.select(F.concat_ws(":", "path", F.col("start_line").cast("string")).alias("id"), shingles.alias("items"))

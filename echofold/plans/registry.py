@@ -7,15 +7,17 @@ labelled by a rule, for a labelled corpus. ``code_tree`` has the operators that
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexical, scalars
-from ..operators import candidates, clusters, evaluate, graph, judge, sampling
-from ..operators.components import connected_components
+from ..operators import candidates, clones, clusters, evaluate, graph, judge, running, sampling, set_join
 from ..operators.fingerprint import coefficients, estimated_jaccard, md5_hashes, with_signature
-from ..runtime import stored, table
+from ..runtime import shared_dir, stored, table
 from ..sources import files as tree
+from ..streaming import keyed
 from . import code_tree  # noqa: F401 (adds its queries)
 from .catalog import ORACLES, QUERIES, query
 
@@ -211,6 +213,33 @@ def minhash_blake2b_signature(spark, sf_dir):
     return with_signature(docs(spark, sf_dir).select("doc_id", sh.alias("hashes")))
 
 
+@query(f"""WITH {SIGNATURE}, first_of AS (SELECT band, key, min(id) AS first FROM band GROUP BY 1, 2),
+    met AS (SELECT DISTINCT id, first FROM band JOIN first_of USING (band, key) WHERE first < id),
+    alike AS (SELECT id, first FROM met JOIN sig x ON x.doc_id = id JOIN sig y ON y.doc_id = first AND x.k = y.k GROUP BY 1, 2 HAVING count(*) FILTER (WHERE x.v = y.v) >= 0.8::DOUBLE * {K})
+    SELECT id AS doc_id, min(first) AS match FROM alike GROUP BY 1""")
+def incremental_matches(spark, sf_dir):
+    """Documents in four batches, in order of their ids, through the index that a stream keeps."""
+    return incremental(spark, docs(spark, sf_dir))
+
+
+def incremental(spark: SparkSession, of: DataFrame, batches: int = 4) -> DataFrame:
+    """doc_id, match: each document's first match in an index that has met the earlier batches only."""
+    folder = f"{shared_dir(spark)}/echofold/index-{uuid.uuid4().hex}"
+    bounds = of.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []  # a number a batch
+    number = F.lit(0)
+    for b in bounds:
+        number = number + (F.col("doc_id") > b).cast("int")
+    units = of.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text", number.alias("batch"))
+    for k in range(batches):
+        units.where(F.col("batch") == k).select("id", "text").write.mode("append").parquet(f"{folder}/units")
+        stream = spark.readStream.schema("id bigint, text string").parquet(f"{folder}/units")
+        hashes = md5_hashes(lexical.shingles(lexical.tokens(F.col("text")), 4))
+        signed = with_signature(stream.select("id", hashes.alias("hashes")), permutations=K)
+        keyed.start(keyed.matches(signed, K, K_BANDS), folder).awaitTermination()
+    found = spark.read.schema(keyed.MATCH).parquet(f"{folder}/matches")
+    return keyed.first_matches(found).select(F.col("id").alias("doc_id"), "match")
+
+
 # --- judging and clusters --------------------------------------------------------------------------------------
 
 
@@ -237,7 +266,9 @@ def duplicates(spark, sf_dir) -> DataFrame:
 
 
 def members(spark, sf_dir) -> DataFrame:
-    return clusters.members(duplicates(spark, sf_dir), units(spark, sf_dir).drop("text"))
+    """Units with their cluster; copies are folded, no pairs of them are formed."""
+    of = units(spark, sf_dir)
+    return clusters.labelled(clones.near_copies(of.select("id", "text"), PAIR_FLOOR), of.drop("text"))
 
 
 TEXTUAL = f"""tok AS (SELECT DISTINCT doc_id, unnest({TOKENS}) AS t FROM documents), tn AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1),
@@ -273,7 +304,7 @@ def similarity_band_histogram(spark, sf_dir):
 
 @query(CLUSTERS + " SELECT node AS doc_id, component FROM component")
 def duplicate_components(spark, sf_dir):
-    return connected_components(duplicates(spark, sf_dir), "l", "r").select(F.col("node").alias("doc_id"), "component")
+    return clones.near_copies(units(spark, sf_dir).select("id", "text"), PAIR_FLOOR).select(F.col("id").alias("doc_id"), "component")
 
 
 @query(CLUSTERS + " SELECT * FROM size_of")
@@ -388,6 +419,33 @@ def diverse_sample(spark, sf_dir):
     return sampling.diverse(rows.select(F.col("left.name").alias("l"), F.col("right.name").alias("r"), F.col("left.path").alias("l_path"), F.col("right.path").alias("r_path"), F.col("structural").alias("similarity")))
 
 
+MINED_SETS = """sets AS (SELECT doc_id, md5(string_agg(s, chr(1) ORDER BY s)) AS shape FROM sh GROUP BY 1),
+    rep AS (SELECT min(doc_id) AS doc_id, count(*) AS copies FROM sets GROUP BY shape)"""
+
+
+@query(f"""WITH {EXACT_PAIRS}, {MINED_SETS}
+    SELECT l, r, round(j, 6) AS similarity, a.copies AS l_copies, b.copies AS r_copies FROM exact JOIN rep a ON a.doc_id = l JOIN rep b ON b.doc_id = r WHERE j BETWEEN 0.55::DOUBLE AND 0.97::DOUBLE""")
+def mined_pairs(spark, sf_dir):
+    """What the miner proposes for labelling: all pairs in its range, exactly."""
+    sets = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), clones.shingle_hashes(lexical.tokens(F.col("text")), 4).alias("items"))
+    return set_join.similar_sets(sets, sampling.LOW, sampling.HIGH).withColumn("similarity", F.round("similarity", 6))
+
+
+CHUNK_PAIRS = f"""{code_tree.CODE}, span AS (SELECT *, coalesce(lead(first_line) OVER (PARTITION BY k ORDER BY o) - 1, first_line + n_lines - 1) AS until FROM ord),
+    chunk AS (SELECT path || ':' || first_line AS doc_id, {code_tree.UNIT_TEXT} AS text FROM span WHERE root <> 'tests' AND until - first_line + 1 >= 5),
+    sh AS ({shingle_rows(NORMAL, 3, "chunk")}), {MINED_SETS},
+    rsh AS (SELECT sh.* FROM sh JOIN rep USING (doc_id)), n AS (SELECT doc_id, count(*) AS n FROM rsh GROUP BY 1),
+    k AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) AS k FROM rsh a JOIN rsh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {CHUNK_PAIRS}
+    SELECT l, r, round(k / (x.n + y.n - k)::DOUBLE, 6) AS similarity, a.copies AS l_copies, b.copies AS r_copies FROM k JOIN n x ON x.doc_id = l JOIN n y ON y.doc_id = r
+    JOIN rep a ON a.doc_id = l JOIN rep b ON b.doc_id = r WHERE k / (x.n + y.n - k)::DOUBLE BETWEEN 0.55::DOUBLE AND 0.97::DOUBLE""")
+def mined_chunk_pairs(spark, sf_dir):
+    """The same over the chunks of the source tree, on normalised streams."""
+    return set_join.similar_sets(code_tree.mined_chunks(spark, sf_dir), sampling.LOW, sampling.HIGH).withColumn("similarity", F.round("similarity", 6))
+
+
 # --- pairs, labels and scalars -----------------------------------------------------------------------------------------
 
 # A labelled corpus: candidate pairs of documents, labelled by a rule on their ids (in SQL that both engines share).
@@ -615,3 +673,12 @@ def compact_numbers(spark, sf_dir):
 def adjudication_token_budget(spark, sf_dir):
     calls = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.floor(F.length("text") / 4).alias("tokens"))
     return judge.token_budget(calls, 200, order="turn", by="conv_id").select("conv_id", "turn", "spent", "allowed")
+
+
+#: One budget for the whole run: about half of all turns.
+@query("""WITH c AS (SELECT conv_id, turn, length(text) // 4 AS tokens, coalesce(sum(length(text) // 4) OVER (ORDER BY conv_id, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations),
+    done AS (SELECT coalesce(max(before + tokens), 0) AS total FROM c WHERE before < 40000)
+    SELECT conv_id, turn, CAST(CASE WHEN before < 40000 THEN before ELSE total END AS BIGINT) AS spent, before < 40000 AS allowed FROM c, done""")
+def adjudication_run_budget(spark, sf_dir):
+    calls = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.floor(F.length("text") / 4).alias("tokens"))
+    return running.run_budget(calls, 40_000, ["conv_id", "turn"]).select("conv_id", "turn", "spent", "allowed")
