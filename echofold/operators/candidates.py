@@ -82,3 +82,20 @@ def generate(signed: DataFrame, permutations: int = PERMUTATIONS, bands: int = B
 
 def possible_pairs(n):
     return n * (n - 1) / 2
+
+
+def most_similar(pairs: DataFrame, score: str, budget: int = BUDGET, bins: int = 1024) -> DataFrame:
+    """The ``budget`` pairs (l, r, score) of the highest score, ties by (l, r): no sort of all pairs.
+
+    Scores lie in [0, 1]. One pass counts them by bins, with map-side partials; a second keeps the bins above the one in
+    which the budget ends, and of that one the best by a top-k. Null scores come last.
+    """
+    binned = pairs.withColumn("_bin", F.coalesce(F.floor(F.col(score) * bins), F.lit(-1)).cast("int"))
+    counts = {r["_bin"]: r["n"] for r in binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a bin
+    room, edge = budget, -1
+    for edge in sorted(counts, reverse=True):
+        if counts[edge] >= room:
+            break
+        room -= counts[edge]
+    last = binned.where(F.col("_bin") == edge).orderBy(F.desc(score), "l", "r").limit(room)
+    return binned.where(F.col("_bin") > edge).unionByName(last).drop("_bin")

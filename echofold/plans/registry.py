@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexical, scalars
-from ..operators import candidates, clones, clusters, evaluate, graph, judge, running, sampling, set_join
+from ..operators import candidates, clones, clusters, divergence, evaluate, graph, intervals, judge, rerank, running, sampling, set_join
 from ..operators.fingerprint import coefficients, estimated_jaccard, md5_hashes, with_signature
 from ..runtime import shared_dir, stored, table
 from ..sources import files as tree
@@ -88,7 +88,8 @@ def tokenize_stats(spark, sf_dir):
 
 @query(f"SELECT token, count(*) AS n FROM (SELECT unnest({NORMAL}) AS token FROM documents) GROUP BY token")
 def normalized_token_freq(spark, sf_dir):
-    rows = docs(spark, sf_dir).select(F.explode(lexical.normalized(lexical.tokens(F.col("text")))).alias("token"))
+    # Outer: before an inner explode the optimizer puts a filter that makes all tokens once more.
+    rows = docs(spark, sf_dir).select(F.explode_outer(lexical.normalized(lexical.tokens(F.col("text")))).alias("token")).where("token is not null")
     return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -119,7 +120,7 @@ def structural_hash_groups(spark, sf_dir):
           WHEN k <= 12 THEN 'ID' || (k - 1) WHEN k IS NOT NULL THEN 'ID' ELSE tok END AS token FROM t LEFT JOIN numbered USING (doc_id, tok))
     SELECT token, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM r GROUP BY token""")
 def alpha_rename_tokens(spark, sf_dir):
-    rows = docs(spark, sf_dir).select("doc_id", F.explode(lexical.renamed(lexical.tokens(F.col("text")))).alias("token"))
+    rows = docs(spark, sf_dir).select("doc_id", F.explode_outer(lexical.renamed(lexical.tokens(F.col("text")))).alias("token")).where("token is not null")
     return rows.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("n_docs"))
 
 
@@ -191,6 +192,17 @@ def candidate_budget_cut(spark, sf_dir):
     return candidates.within_budget(candidates.collided_pairs(candidates.buckets(small_signatures(spark, sf_dir), K, K_BANDS)), 50)
 
 
+@query(f"""WITH {SIGNATURE}, est AS (SELECT l, r, CAST(count(*) FILTER (WHERE x.v = y.v) AS DOUBLE) / {K} AS estimated
+        FROM pair JOIN sig x ON x.doc_id = l JOIN sig y ON y.doc_id = r AND x.k = y.k GROUP BY 1, 2)
+    SELECT l, r, estimated FROM est ORDER BY estimated DESC, l, r LIMIT 50""")
+def candidate_budget_by_similarity(spark, sf_dir):
+    """The budget spent on the pairs that look most alike."""
+    signed = small_signatures(spark, sf_dir)
+    pairs = stored(candidates.collided_pairs(candidates.buckets(signed, K, K_BANDS)), "pairs")
+    both = judge.paired(pairs, signed).select("l", "r", estimated_jaccard(F.col("left.signature"), F.col("right.signature")).alias("estimated"))
+    return candidates.most_similar(stored(both, "estimated"), "estimated", 50)
+
+
 @query(f"""WITH {SIGNATURE}, est AS (SELECT l, r, CAST(count(*) FILTER (WHERE x.v = y.v) AS DOUBLE) / {K} AS estimated
         FROM pair JOIN sig x ON x.doc_id = l JOIN sig y ON y.doc_id = r AND x.k = y.k GROUP BY 1, 2),
     n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
@@ -675,6 +687,47 @@ def adjudication_token_budget(spark, sf_dir):
     return judge.token_budget(calls, 200, order="turn", by="conv_id").select("conv_id", "turn", "spent", "allowed")
 
 
+@query(f"""WITH {SIGNATURE}, touched AS (SELECT 'src' || (user_id % 25) AS path, event_id // 4 AS commit, max(ts) AS ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 90 DAY GROUP BY 1, 2),
+    asked AS (SELECT l, r, x.source AS l_path, y.source AS r_path FROM pair JOIN documents x ON x.doc_id = l JOIN documents y ON y.doc_id = r),
+    common AS (SELECT a.path AS l_path, b.path AS r_path, max(greatest(a.ts, b.ts)) AS last_common FROM touched a JOIN touched b ON a.commit = b.commit AND a.path <> b.path GROUP BY 1, 2),
+    last AS (SELECT path, max(ts) AS last FROM touched GROUP BY 1)
+    SELECT l, r, asked.l_path, asked.r_path, last_common, CASE WHEN asked.l_path <> asked.r_path AND x.last IS NOT NULL AND y.last IS NOT NULL AND (last_common IS NULL OR (x.last > last_common AND y.last > last_common)) THEN 'diverged_history' END AS exclusion
+    FROM asked LEFT JOIN common ON common.l_path = asked.l_path AND common.r_path = asked.r_path LEFT JOIN last x ON x.path = asked.l_path LEFT JOIN last y ON y.path = asked.r_path""")
+def diverged_pairs(spark, sf_dir):
+    """Candidate pairs whose sources are evolving apart; four events stand for a commit."""
+    source = docs(spark, sf_dir).select("doc_id", "source")
+    pairs = candidate_pairs(spark, sf_dir).join(source.select(F.col("doc_id").alias("l"), F.col("source").alias("l_path")), "l").join(source.select(F.col("doc_id").alias("r"), F.col("source").alias("r_path")), "r")
+    log = table(spark, sf_dir, "events").selectExpr("concat('src', user_id % 25) AS path", "ts", "event_id div 4 AS commit")
+    return divergence.diverged(pairs, log).select("l", "r", "l_path", "r_path", "last_common", "exclusion")
+
+
+@query(f"""WITH {SIGNATURE}, hashed AS (SELECT doc_id, 'sha256:' || sha256(text) AS h FROM documents), first_of AS (SELECT h, min(doc_id) AS vec_id FROM hashed GROUP BY 1),
+    unit AS (SELECT doc_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))) AS v FROM hashed JOIN first_of USING (h) JOIN embeddings USING (vec_id))
+    SELECT l, r, round(list_sum(list_transform(range(1, len(x.v) + 1), lambda i: x.v[i] * y.v[i])), 6) AS cosine FROM pair LEFT JOIN unit x ON x.doc_id = l LEFT JOIN unit y ON y.doc_id = r""")
+def reranked_candidates(spark, sf_dir):
+    """Candidates with the cosine of their vectors; a content has the vector with the id of its first document."""
+    cache = f"{shared_dir(spark)}/echofold/vectors-{uuid.uuid4().hex}"
+    hashes = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), lexical.content_hash(F.col("text")).alias("content_hash"))
+    firsts = hashes.groupBy("content_hash").agg(F.min("id").alias("vec_id"))
+    given = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    of = rerank.vectors(firsts, lambda unknown: unknown.join(given, "vec_id"), cache)
+    return rerank.reranked(candidate_pairs(spark, sf_dir), hashes, of).select("l", "r", F.round("cosine", 6).alias("cosine"))
+
+
+REPLICATES = 50
+
+
+@query(CLUSTERS + f""", sized AS (SELECT d.doc_id AS id, {LINES.replace("text", "d.text")} AS lines, row_number() OVER (PARTITION BY component ORDER BY {LINES.replace("text", "d.text")} DESC, d.doc_id) > 1 AND component IS NOT NULL AS goes
+        FROM documents d LEFT JOIN component ON node = d.doc_id),
+    drawn AS (SELECT b, lines, goes, len(list_filter({intervals.STEPS}::BIGINT[], lambda s: s <= CAST('0x' || substr(md5(b || ':' || id), 1, 8) AS BIGINT))) AS w FROM sized, (SELECT unnest(range(1, {REPLICATES} + 1)) AS b)),
+    share AS (SELECT b, 100.0::DOUBLE * coalesce(sum(w * lines) FILTER (WHERE goes), 0) / sum(w * lines) AS s FROM drawn GROUP BY b)
+    SELECT (SELECT round(100.0::DOUBLE * coalesce(sum(lines) FILTER (WHERE goes), 0) / sum(lines), 6) FROM sized) AS point, round(quantile_cont(s, 0.025), 6) AS low, round(quantile_cont(s, 0.975), 6) AS high FROM share""")
+def duplicated_percent_interval(spark, sf_dir):
+    """The duplicated percent of the report with its 95 % interval."""
+    rows = intervals.removable_units(members(spark, sf_dir), units(spark, sf_dir).drop("text"))
+    return intervals.share_interval(rows, "id", "removable", "lines", REPLICATES).select(*[F.round(c, 6).alias(c) for c in ("point", "low", "high")])
+
+
 #: One budget for the whole run: about half of all turns.
 @query("""WITH c AS (SELECT conv_id, turn, length(text) // 4 AS tokens, coalesce(sum(length(text) // 4) OVER (ORDER BY conv_id, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations),
     done AS (SELECT coalesce(max(before + tokens), 0) AS total FROM c WHERE before < 40000)

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import logging
 import re
-import subprocess
 import tomllib
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import language_of_path
+from ..functions.scalars import LANGUAGE_OF, language_of_path
+from ..runtime import stored
+from .trees import GitLog, SourceTree, git
+
+log = logging.getLogger(__name__)
 
 # Folders that a scan, and the candidate miner, leave out; marks of test paths.
 SKIPPED = """
@@ -35,23 +40,29 @@ def path_order(path: Column) -> Column:
     return F.split(path, "/")
 
 
+def listed(spark: SparkSession, root: str, skipped: list[str] = SKIPPED) -> DataFrame:
+    """path, source, language, problem of every supported file below a folder that all executors see."""
+    spark.dataSource.register(SourceTree)
+    where = spark.read.format("source_tree").option("root", str(Path(root).resolve())).option("skipped", json.dumps(list(skipped)))
+    return where.option("partitions", 4 * spark.sparkContext.defaultParallelism).load()
+
+
 def files(spark: SparkSession, root: str, skipped: list[str] = SKIPPED) -> DataFrame:
-    """path (relative), source, language of every supported file below ``root``.
+    """path (relative), source, language of every supported file below ``root``; what cannot be read is left out."""
+    if "://" in root:
+        return stored_files(spark, root, skipped)
+    return listed(spark, root, skipped).where("problem is null").select("path", "source", "language")
 
-    Names are filtered before contents are read: a listing of names first, then only the files kept.
-    """
-    base = (root if "://" in root else Path(root).resolve().as_uri()).rstrip("/")
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).select("path")
-    single = re.sub("^([a-z0-9]+):/+", r"\1:/", base)  # file:/x and file:///x are one place
+
+def stored_files(spark: SparkSession, root: str, skipped: list[str] = SKIPPED) -> DataFrame:
+    """The same of a store that only Spark reads. Spark lists it whole and leaves empty files out; names are filtered before contents are read."""
+    base = re.sub("^([a-z0-9]+):/+", r"\1:/", root.rstrip("/"))  # file:/x and file:///x are one place
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" for c in x) for x in sorted(LANGUAGE_OF)) + "}").load(root)
     location = F.regexp_replace(F.col("path"), "^([a-z0-9]+):/+", "$1:/")
-    relative = F.substring(location, len(single) + 2, 1 << 20)
-    language = language_of_path(relative)
+    relative = F.substring(location, len(base) + 2, 1 << 20)
     folders = F.slice(F.split(relative, "/"), 1, F.greatest(F.size(F.split(relative, "/")) - 1, F.lit(0)))
-    kept = [r[0] for r in listed.where(language.isNotNull() & ~F.arrays_overlap(folders, F.array(*map(F.lit, skipped)))).toLocalIterator()]
-    if not kept:
-        return spark.createDataFrame([], "path string, source string, language string")
-    found = spark.read.format("binaryFile").load([re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in kept])
-    return found.select(relative.alias("path"), lenient_utf8("content").alias("source"), language.alias("language"))
+    kept = found.where(language_of_path(relative).isNotNull() & ~F.arrays_overlap(folders, F.array(*map(F.lit, skipped))))
+    return kept.select(relative.alias("path"), lenient_utf8("content").alias("source"), language_of_path(relative).alias("language"))
 
 
 def is_test_path(path: Column) -> Column:
@@ -79,8 +90,6 @@ def chunks(tree: DataFrame, min_lines: int = 5) -> DataFrame:
     arrow = line.contains("=>") & (line.startswith("const ") | line.startswith("export const "))
     lines = tree.select("path", "language", F.split(F.regexp_replace("source", "\n$", ""), "\n").alias("lines"))
     heads = lines.select("path", "language", F.posexplode("lines").alias("at", "line")).where(starts | arrow)
-    from pyspark.sql import Window
-
     n = lines.select("path", F.size("lines").alias("n_lines"))
     after = F.lead("at").over(Window.partitionBy("path").orderBy("at"))
     spans = heads.withColumn("next", after).join(n, "path")
@@ -89,32 +98,28 @@ def chunks(tree: DataFrame, min_lines: int = 5) -> DataFrame:
     return spans.join(lines.select("path", "lines"), "path").withColumn("text", F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")).drop("lines")
 
 
-def git_log(spark: SparkSession, root: str, days: int | None = 90, timeout: int = 30) -> DataFrame:
+def git_log(spark: SparkSession, root: str, days: int | None = 90) -> DataFrame:
     """path, ts: one row for each file of each commit of the last ``days`` (None: of all, as ``last_touched``
-    needs them); empty where git fails."""
-    since = [] if days is None else [f"--since={days}.days.ago"]
-    command = ["git", "-C", root, "log", *since, "--name-only", "--no-renames", "--pretty=format:\x01%cI"]
+    needs them), read by ranges of commits. A folder without history has none, and the log says why."""
     try:
-        out = subprocess.run(command, capture_output=True, text=True, timeout=timeout, check=True).stdout
-    except (OSError, subprocess.SubprocessError):
-        out = ""
-    rows, when = [], None
-    for line in out.splitlines():
-        if line.startswith("\x01"):
-            when = line[1:]
-        elif line:
-            rows.append((line, when))
-    return spark.createDataFrame(rows, "path string, committed string").select("path", F.to_timestamp("committed").alias("ts"))
-
-
-def churn(log: DataFrame, since: Column | None = None) -> DataFrame:
+        head = git(root, "rev-parse", "HEAD").strip()
+    except RuntimeError as e:
+        log.warning("no history of %s: %s", root, e)
+        return spark.createDataFrame([], "path string, ts timestamp")
+    spark.dataSource.register(GitLog)
+    rows = spark.read.format("git_log").option("root", root).option("head", head)
+    rows = rows if days is None else rows.option("since", f"{days}.days.ago")
+    return rows.load().select("path", F.to_timestamp("committed").alias("ts"))
+
+
+def churn(commits: DataFrame, since: Column | None = None) -> DataFrame:
     """path, commits."""
-    rows = log if since is None else log.where(F.col("ts") >= since)
+    rows = commits if since is None else commits.where(F.col("ts") >= since)
     return rows.groupBy("path").agg(F.count(F.lit(1)).alias("commits"))
 
 
-def last_touched(log: DataFrame) -> DataFrame:
-    return log.groupBy("path").agg(F.max("ts").alias("ts"))
+def last_touched(commits: DataFrame) -> DataFrame:
+    return commits.groupBy("path").agg(F.max("ts").alias("ts"))
 
 
 # The fields of a labelled pair.
@@ -122,12 +127,30 @@ SIDE = "struct<kind: string, name: string, text: string, repo: string, commit: s
 PAIR = f"pair_id string, split string, language string, label string, should_consolidate string, exclusion string, left {SIDE}, right {SIDE}, notes string, candidate_similarity double"
 
 
+def lines(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """file, line (from 1), value of all lines of the files below ``root`` that fit the pattern.
+
+    Files are read in splits. Rows of a split are numbered as they come, the lines of the splits before are added: one
+    number a split, not a file in one task.
+    """
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    rows = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    rows = stored(rows.withColumn("at", F.monotonically_increasing_id()), "lines")
+    splits = rows.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(splits.withColumn("before", before), ["file", "start"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
+
+
 def corpus(spark: SparkSession, root: str, split: str | None = None) -> DataFrame:
-    """Labelled pairs of all .jsonl files below root; blank and ``//`` lines are skipped, a bad line fails."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root)
-    # The condition is inside as well: a later filter on a field may be evaluated before the one here.
-    kept = "trim(value) <> '' and not startswith(ltrim(value), '//')"
-    rows = lines.where(kept).select(F.from_json(F.expr(f"case when {kept} then value end"), PAIR, {"mode": "FAILFAST"}).alias("p")).select("p.*").withColumn("should_consolidate", F.coalesce("should_consolidate", F.lit("not_applicable")))
+    """Labelled pairs of all .jsonl files below root; blank and ``//`` lines are skipped, a bad line fails with its place."""
+    rows = lines(spark, root, "*.jsonl").where("trim(value) <> '' and not startswith(ltrim(value), '//')")
+    parsed = F.from_json("value", f"{PAIR}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = rows.withColumn("p", parsed)
+    bad = F.col("p").isNull() | F.col("p._bad").isNotNull() | F.col("p.pair_id").isNull()
+    place = F.concat("file", F.lit(":"), F.col("line").cast("string"), F.lit(": not a labelled pair"))
+    # The check is part of the column that is read on, so no plan leaves it out.
+    rows = rows.select(F.when(bad, F.raise_error(place).cast("struct<" + PAIR + ", _bad: string>")).otherwise(F.col("p")).alias("p")).select("p.*").drop("_bad")
+    rows = rows.withColumn("should_consolidate", F.coalesce("should_consolidate", F.lit("not_applicable")))
     return rows if split is None else rows.where(F.col("split") == split)
 
 
@@ -162,9 +185,8 @@ def gates(path: str) -> dict[str, float]:
 
 def repo_findings(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(findings, kloc) of folders that hold findings.jsonl and manifest.json: repo, seq (file order), label."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "findings.jsonl").option("wholetext", True).text(root)
-    repo = F.element_at(F.split(F.input_file_name(), "/"), -2)
-    rows = lines.select(repo.alias("repo"), F.posexplode(F.split("value", "\n")).alias("seq", "line")).where("trim(line) <> ''")
-    rows = rows.select("repo", "seq", F.from_json("line", "label boolean").alias("j")).select("repo", "seq", "j.label")
+    repo = F.element_at(F.split("file", "/"), -2)
+    rows = lines(spark, root, "findings.jsonl").where("trim(value) <> ''")
+    rows = rows.select(repo.alias("repo"), F.col("line").alias("seq"), F.from_json("value", "label boolean").alias("j")).select("repo", "seq", "j.label")
     manifest = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "manifest.json").option("multiLine", True).schema("repo string, kloc double").json(root)
     return rows, manifest.select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("repo"), "kloc")
