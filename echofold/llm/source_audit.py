@@ -44,9 +44,10 @@ def _lower(text: Column) -> Column:
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), n_docs (rows that have it)."""
     rows = docs.select(_plain("lang"), _plain("source"), F.sort_array(F.split(_lower(_plain("text")), APART, -1)).alias("terms"))
-    first = "transform(terms, (t, i) -> struct(t AS term, CAST(i = 0 OR t <> terms[i - 1] AS INT) AS first))"
-    rows = rows.select("lang", "source", F.inline(F.expr(first))).where("term <> ''")  # before the first and behind the last term
-    return rows.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("n_docs"))
+    # An outer explode, as an inner one makes the optimizer extract and sort all terms once more, to see whether there are any.
+    rows = rows.select("lang", "source", "terms", F.posexplode_outer("terms").alias("at", "term")).where("term <> ''")  # before the first and behind the last term
+    first = F.when(F.col("at") == 0, 1).when(F.col("term") != F.expr("terms[at - 1]"), 1).otherwise(0)
+    return rows.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.sum(first).alias("n_docs"))
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
