@@ -3,7 +3,8 @@
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014). Every step is a grouped
 minimum and a join on the same key. The minima are written first, so that the join reads two plain
 exchanges and adaptive execution may split the partition of a hub node. Edges never reach the driver;
-only their count and a checksum do, to see whether a round changed anything.
+only their count and a checksum do, to see whether a round changed anything. The count also says how many files a
+round's tables need: few edges are not written as many tiny files, round after round.
 """
 
 from __future__ import annotations
@@ -11,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import release, stored
+from ..runtime import release, stored, width
 
-MAX_ROUNDS = 60
+MAX_ROUNDS, FILE_ROWS = 60, 50_000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -35,12 +36,14 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     for _ in range(MAX_ROUNDS):
         if before[0] == 0:
             break
+        files = -(-before[0] // FILE_ROWS)
+        few = lambda df: df.coalesce(files) if files < width(df.sparkSession) else df
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = stored(both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least2 = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = stored(few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))), "least")
+        large = stored(few(both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()), "large")
+        least2 = stored(few(large.groupBy("u").agg(F.min("v").alias("m"))), "least")
         small = large.join(least2.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = stored(small.unionByName(least2.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        after = stored(few(small.unionByName(least2.select("u", F.col("m").alias("v"))).distinct()), "edges")
         state = _state(after)
         release(current, least, large, least2)
         current = after
