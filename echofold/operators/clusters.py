@@ -73,10 +73,10 @@ def ranked(radius: DataFrame, top: int | None = None) -> DataFrame:
 
 def totals(radius: DataFrame, covered: DataFrame) -> DataFrame:
     """One row of what a report sums up, from blast_radius and coverage."""
-    sums = radius.agg(F.count(F.lit(1)).alias("clusters"), F.coalesce(F.sum("removable_lines"), F.lit(0)).alias("removable_lines"), F.count_if(F.col("unresolved_paths") == 0).alias("safely_remediable"))
+    sums = radius.agg(F.count(F.lit(1)).alias("clusters"), F.coalesce(F.sum("removable_lines"), F.lit(0)).alias("removable_lines"), F.count_if(F.col("unresolved_paths") == 0).alias("safely_remediable"), F.coalesce(F.max("units"), F.lit(0)).alias("max_copies"))
     both = sums.crossJoin(covered)  # one row each
     return both.select(
-        "clusters", "removable_lines", "safely_remediable", share(F.col("removable_lines"), F.col("lines_in_units")).alias("duplicated_percent"),
+        "clusters", "removable_lines", "safely_remediable", "max_copies", share(F.col("removable_lines"), F.col("lines_in_units")).alias("duplicated_percent"),
         share_percent(F.col("files_fully_resolved"), F.col("files_scanned")).alias("resolution_percent"),
     )
 

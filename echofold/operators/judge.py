@@ -64,15 +64,25 @@ class Detector:
         return out.withColumns({"advice": advice(F.col("verdict")), "rationale": rationale(F.col("structural"), F.col("textual"))})
 
 
+#: ``renamed`` and ``flat`` read lexical tokens, so their scores are not those of a syntax tree.
+_DETECTORS = {
+    "baseline": Detector("token-overlap", 0.80, 0.10, 3, lexical.normalized),
+    "renamed": Detector("lexical-renamed", 0.70, 0.10, 4, lexical.renamed),
+    "flat": Detector("lexical-flat", 0.70, 0.10, 4, lexical.normalized),
+    "raw": Detector("raw-shingles", 0.80, 0.10, 4, lambda t: t),
+}
+
+
 def detectors() -> dict[str, Detector]:
-    """Registry by name. ``renamed`` and ``flat`` read lexical tokens, so their scores are not those of a
-    syntax tree."""
-    return {
-        "baseline": Detector("token-overlap", 0.80, 0.10, 3, lexical.normalized),
-        "renamed": Detector("lexical-renamed", 0.70, 0.10, 4, lexical.renamed),
-        "flat": Detector("lexical-flat", 0.70, 0.10, 4, lexical.normalized),
-        "raw": Detector("raw-shingles", 0.80, 0.10, 4, lambda t: t),
-    }
+    """All detectors by the name that the command line and ``scan`` know them by."""
+    return dict(_DETECTORS)
+
+
+def register(key: str, detector: Detector) -> None:
+    """Add a detector, or anything with its name, ``prepare`` and ``judge``. A key that is taken stays as it is: ValueError."""
+    if key in _DETECTORS:
+        raise ValueError(f"there is a detector {key} already")
+    _DETECTORS[key] = detector
 
 
 def involved(pairs: DataFrame, units: DataFrame, key: str = "id") -> DataFrame:

@@ -403,7 +403,7 @@ def coverage_summary(spark, sf_dir):
 
 @query(RADIUS + f""", lines AS (SELECT sum({LINES}) AS n FROM documents),
     files AS (SELECT count(DISTINCT source) AS n, count(DISTINCT source) FILTER (WHERE source NOT IN (SELECT path FROM unres WHERE reason <> 'external_package')) AS ok FROM documents),
-    sums AS (SELECT count(*) AS clusters, CAST(coalesce(sum(removable_lines), 0) AS BIGINT) AS removable_lines, count(*) FILTER (WHERE unresolved_paths = 0) AS safely_remediable FROM scored)
+    sums AS (SELECT count(*) AS clusters, CAST(coalesce(sum(removable_lines), 0) AS BIGINT) AS removable_lines, count(*) FILTER (WHERE unresolved_paths = 0) AS safely_remediable, coalesce(max(units), 0) AS max_copies FROM scored)
     SELECT sums.*, round(CASE WHEN lines.n = 0 THEN 0 ELSE 100.0::DOUBLE * removable_lines / lines.n END, 6) AS duplicated_percent,
     CAST(CASE WHEN files.n = 0 THEN 0 ELSE round_even(100.0::DOUBLE * files.ok / files.n, 0) END AS INTEGER) AS resolution_percent FROM sums, lines, files""")
 def report_totals(spark, sf_dir):
@@ -443,8 +443,8 @@ def mined_pairs(spark, sf_dir):
     return set_join.similar_sets(sets, sampling.LOW, sampling.HIGH).withColumn("similarity", F.round("similarity", 6))
 
 
-CHUNK_PAIRS = f"""{code_tree.CODE}, span AS (SELECT *, coalesce(lead(first_line) OVER (PARTITION BY k ORDER BY o) - 1, first_line + n_lines - 1) AS until FROM ord),
-    chunk AS (SELECT path || ':' || first_line AS doc_id, {code_tree.UNIT_TEXT} AS text FROM span WHERE root <> 'tests' AND until - first_line + 1 >= 5),
+CHUNK_PAIRS = f"""{code_tree.CODE}, {code_tree.SPAN},
+    chunk AS (SELECT path || ':' || first_line AS doc_id, {code_tree.CHUNK_TEXT} AS text FROM span WHERE root <> 'tests' AND until - first_line + 1 >= 5),
     sh AS ({shingle_rows(NORMAL, 3, "chunk")}), {MINED_SETS},
     rsh AS (SELECT sh.* FROM sh JOIN rep USING (doc_id)), n AS (SELECT doc_id, count(*) AS n FROM rsh GROUP BY 1),
     k AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) AS k FROM rsh a JOIN rsh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2)"""

@@ -163,3 +163,19 @@ def test_large_groups_of_copies_are_whole(spark, tmp_path):
     df, cur = registry.QUERIES["structural_overlap_pairs"](spark, str(tmp_path)), duck(str(tmp_path)).execute(registry.ORACLES["structural_overlap_pairs"])
     assert rows_of(df.columns, df.collect()) == rows_of([c[0] for c in cur.description], cur.fetchall())
     assert {tuple(r) for r in registry.QUERIES["duplicate_components"](spark, str(tmp_path)).collect()} == {(i, 0) for i in range(235)}
+
+
+def test_detectors_can_be_added(spark):
+    from echofold.functions import lexical
+    from echofold.operators import judge
+
+    mine = judge.Detector("two-token-runs", 0.5, 0.1, 2, lexical.normalized)
+    judge.register("mine", mine)
+    try:
+        with pytest.raises(ValueError):
+            judge.register("baseline", mine)
+        units = judge.detectors()["mine"].prepare(spark.createDataFrame([(1, "if a b c"), (2, "if a b d")], "id int, text string"))
+        pairs = spark.createDataFrame([(1, 2)], "l int, r int")
+        assert judge.detectors()["mine"].judge(judge.paired(pairs, units)).first()["verdict"] == judge.DUPLICATE
+    finally:
+        judge._DETECTORS.pop("mine")
