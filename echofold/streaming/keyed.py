@@ -22,6 +22,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.fingerprint import band_keys
 
 MATCH = "id bigint, match bigint, estimated double"
+COPIES = -1  # stands for the band of units that follow a copy
 
 
 def folded(signed: DataFrame) -> DataFrame:
@@ -40,14 +41,21 @@ def folded(signed: DataFrame) -> DataFrame:
 
 def _meet(floor: float):
     def meet(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(chunks))
-        ids, signatures = rows["id"].to_numpy(), np.stack(rows["signature"].to_list())
+        if key[0] == COPIES:
+            for rows in chunks:
+                yield pd.DataFrame({"id": rows["id"], "match": rows["follows"].astype("int64"), "estimated": 1.0})
+            return
+        chunks = list(chunks)
+        rows = chunks[0] if len(chunks) == 1 else pd.concat(chunks)
+        ids, signatures = rows["id"].to_numpy(), np.stack(rows["signature"].to_numpy())
         if state.exists:
             first, signature = state.get
         else:
             at = int(ids.argmin())
             first, signature = int(ids[at]), signatures[at].tolist()
             state.update((first, signature))
+            if len(ids) == 1:
+                return
         alike = (signatures == np.asarray(signature)).mean(axis=1)
         hit = (alike >= floor) & (ids != first)
         yield pd.DataFrame({"id": ids[hit], "match": first, "estimated": alike[hit]})
@@ -59,11 +67,11 @@ def matches(signed: DataFrame, permutations: int, bands: int, floor: float = 0.8
     """id, match, estimated for a stream of units (id, signature): every unit with the representatives of its buckets that
     are alike enough, and copies with the unit that they follow (estimated 1). Units without id are left out."""
     rows = folded(signed.where("id is not null"))
-    bands_of = F.explode(band_keys(F.col("signature"), permutations, bands)).alias("b")
-    keyed = rows.where("follows is null").select("id", "signature", bands_of).select("id", "signature", "b.band", "b.key")
-    met = keyed.groupBy("band", "key").applyInPandasWithState(_meet(floor), MATCH, "first bigint, signature array<bigint>", "append", GroupStateTimeout.NoTimeout)
-    copies = rows.where("follows is not null").select("id", F.col("follows").alias("match"), F.lit(1.0).alias("estimated"))
-    return met.unionByName(copies)
+    # Copies pass by the buckets, through groups of no state: a second branch of the plan would sign all units again.
+    aside = F.array(F.struct(F.lit(COPIES).alias("band"), F.pmod(F.xxhash64("id"), F.lit(1 << 16)).cast("string").alias("key")))
+    of = F.when(F.col("follows").isNull(), band_keys(F.col("signature"), permutations, bands)).otherwise(aside)
+    keyed = rows.select("id", "signature", "follows", F.explode_outer(of).alias("b")).select("id", "signature", "follows", "b.band", "b.key")
+    return keyed.groupBy("band", "key").applyInPandasWithState(_meet(floor), MATCH, "first bigint, signature array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
 def start(found: DataFrame, folder: str) -> StreamingQuery:
