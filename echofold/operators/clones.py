@@ -40,8 +40,9 @@ def representatives(units: DataFrame, width: int = 4) -> tuple[DataFrame, DataFr
     """(members id, rep of all units with tokens; signed id, signature of the representatives), both stored."""
     stream = lexical.tokens(F.col("text"))
     shape = lambda t: F.unhex(F.sha2(F.array_join(t, "\n"), 256))
-    prepared = units.select("id", stream.alias("t")).where(F.size("t") > 0).select("id", shape(F.col("t")).alias("shape"), shingle_hashes(F.col("t"), width).alias("hashes"))
-    signed = stored(with_signature(prepared), "signed")
+    prepared = units.select("id", stream.alias("t")).select("id", F.size("t").alias("n"), shape(F.col("t")).alias("shape"), shingle_hashes(F.col("t"), width).alias("hashes"))
+    # Behind the Arrow stage, as a filter before it would make all tokens once more.
+    signed = stored(with_signature(prepared).where("n > 0").select("id", "shape", "signature"), "signed")
     groups = stored(signed.groupBy("shape").agg(F.min("id").alias("rep")), "groups")
     members = stored(signed.select("id", "shape").join(groups.hint("merge"), "shape").select("id", "rep"), "members")
     firsts = stored(signed.select("id", "signature").join(groups.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi"), "firsts")

@@ -261,7 +261,9 @@ def raw_candidates(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     No bucket is skipped: what reads them returns final pairs and clusters, as its SQL does."""
     of = units(spark, sf_dir)
     sh = lexical.shingles(lexical.tokens(F.col("text")), 4)
-    signed = stored(with_signature(of.select("id", md5_hashes(sh).alias("hashes")).where(F.size("hashes") > 0)), "signed")
+    # The filter stands behind the Arrow stage: before it, it would make and hash all shingles once more.
+    hashed = of.select("id", md5_hashes(sh).alias("hashes")).select("id", F.size("hashes").alias("n"), "hashes")
+    signed = stored(with_signature(hashed).where("n > 0").select("id", "signature"), "signed")
     return stored(candidates.all_collided_pairs(signed), "pairs"), of
 
 
