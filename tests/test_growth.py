@@ -1,8 +1,15 @@
 """What has to grow no faster than the input."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from echofold.functions import scalars
+from echofold.plans import code_tree
+from echofold.sources import units
+
+DATA = "/root/testdata/sf0.001"
+
 
 def test_large_numbers_are_shortened_as_c_prints_them(spark):
     # 1002.05 lies under its double, 1000.25 is one: below 1024 a double has 43 binary places.
@@ -15,3 +22,32 @@ def test_large_numbers_are_shortened_as_c_prints_them(spark):
         return f"{v / by:.1f}".removesuffix(".0") + unit
 
     assert {v: got[v] for v in values if got[v] != plain(v)} == {}
+
+
+def test_a_python_file_is_read_in_time_linear_in_its_length():
+    def seconds(n):
+        text = "\n\n".join(f"def f{i}(a):\n    b = g{i}(a)\n    c = 'é'\n    return b + c" for i in range(n))
+        start = time.perf_counter()
+        rows = units.rows_of("a.py", "python", text)
+        took = time.perf_counter() - start
+        assert [r["text"].splitlines()[0] for r in rows if r["kind"] == "unit"] == [f"def f{i}(a):" for i in range(n)]
+        return took
+
+    seconds(100)
+    assert seconds(4000) < 30 * seconds(500)  # eight times the text; cutting units out line by line took 60 times as long
+
+
+def test_rows_of_many_files_share_batches(spark):
+    files = spark.createDataFrame([(f"f{i}.py", f"import m{i}\n", "python") for i in range(500)], "path string, source string, language string").coalesce(1)
+    sizes = []
+    parsed = units.extracted(files).mapInArrow(lambda batches: (b.from_arrays([b.column("path").slice(0, 1)], names=["path"]) for b in batches), "path string")
+    sizes.append(parsed.count())
+    assert sizes[0] <= 5 and units.extracted(files).count() == 500
+    assert units.extracted(spark.createDataFrame([("a.py", "def f():\n  a\n  b\n", "python")], files.schema), texts=False).select("kind", "text").collect()[0][:] == ("unit", None)
+
+
+def test_names_of_files_are_known_without_their_text(spark):
+    named, whole = code_tree.paths(spark, DATA), code_tree.files(spark, DATA).select("path", "language")
+    assert named.exceptAll(whole).count() == whole.exceptAll(named).count() == 0
+    of, g = code_tree.symbol_graph(spark, DATA)
+    assert "orders" not in " ".join(g.fully_resolved(of).inputFiles())
