@@ -3,10 +3,11 @@
 import random
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from echofold.functions import scalars
-from echofold.operators import clones, sampling
+from echofold.operators import clones, fingerprint, sampling
 from echofold.plans import code_tree, registry
 from echofold.sources import units
 from test_operators import walk
@@ -97,3 +98,13 @@ def test_the_walk_is_handed_what_it_can_choose_and_no_more(spark):
     assert [tuple(x)[:5] for x in got] == walk(rows, 60)
     handed = sampling.reachable(sampling.banded(sampling.in_range(scored))).groupBy("band", F.least("l_path", "r_path"), F.greatest("l_path", "r_path")).count()
     assert handed.agg(F.max("count")).first()[0] <= 99
+
+
+def test_strings_are_hashed_a_slice_at_a_time(spark, monkeypatch):
+    strings = [f"a b c {i % 70_000}" for i in range(150_000)]
+    want, sizes, one = fingerprint.blake2b(strings), [], fingerprint.blake2b
+    monkeypatch.setattr(fingerprint, "blake2b", lambda s: (sizes.append(len(s)), one(s))[1])
+    assert (fingerprint.hashed(pa.array(strings)) == want).all() and max(sizes) <= fingerprint.AT_ONCE and sum(sizes) == len(strings)
+    monkeypatch.undo()
+    fingerprint.with_signature(spark.createDataFrame([(1, ["x"])], "id bigint, hashes array<string>"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
