@@ -108,3 +108,9 @@ def test_strings_are_hashed_a_slice_at_a_time(spark, monkeypatch):
     monkeypatch.undo()
     fingerprint.with_signature(spark.createDataFrame([(1, ["x"])], "id bigint, hashes array<string>"))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_detectors_share_their_candidates(spark, monkeypatch):
+    calls, one = [], registry.small_signatures
+    monkeypatch.setattr(registry, "small_signatures", lambda *a: (calls.append(a), one(*a))[1])
+    assert registry.detector_scores(spark, DATA).columns == ["l", "r", "baseline", "renamed", "flat"] and len(calls) == 1
