@@ -10,7 +10,9 @@ region by itself, deep where many documents share a prefix, START where few do.
 Round one takes the nearest neighbour in the first FIRST_TREES orders, checks it on the full shingle sets
 and joins the links into components. Round two takes, in every order, up to REACH neighbours on either
 side that are still in another component, checks them and joins again: a crowd of near copies, one
-component by then, adds no pairs. It also names the regions (documents with one first key) that have more
+component by then, adds no pairs. From the place in a region on that a window does not reach from its start, only the
+NEAREST neighbours are taken, as round three has all pairs of such a region: a crowd that is alike but not linked
+adds NEAREST pairs a document and order. Round two also names the regions (documents with one first key) that have more
 documents than a window reaches or that lie across the border of two tasks. Round three is for those of
 them that still hold several components: their documents, but for the pairs within the largest component,
 are dealt into cells of two blocks of about BLOCK documents, and each cell finds all links between its
@@ -41,7 +43,7 @@ from ..operators.components import connected_components
 from ..runtime import release, stored, text_batches, width
 from .words import WordHasher, chunks, mix, trimmed, utf8
 
-TREES, START, HASHES, REACH = 24, 4, 96, 16
+TREES, START, HASHES, REACH, NEAREST = 24, 4, 96, 16, 3
 DEEPER, FIRST_TREES, BLOCK = 16, 8, 256
 LEAST_SKETCH = 57  # of 96; at a similarity of 0.8, 78 agree on average
 SKETCH = [f"s{i}" for i in range(HASHES // 16)]
@@ -226,7 +228,8 @@ class _Regions:
 
 def _neighbours(reach: int, regions: bool):
     """Pairs of ids within ``reach`` places in a tree's order that share its first key and are alike, and
-    the pieces of regions that a window does not cover."""
+    the pieces of regions that a window does not cover. Behind the first ``reach`` + 1 rows of a piece, which is one
+    of those then, pairs are within NEAREST places."""
     names = ["k0", "id", "part", *SKETCH]
 
     def rows(found: list, pieces: list[np.ndarray]) -> pa.RecordBatch:
@@ -236,24 +239,29 @@ def _neighbours(reach: int, regions: bool):
         return pa.RecordBatch.from_arrays([*pairs, *(pa.concat_arrays([none[1], pa.array(x, pa.int64())]) for x in pieces)], names=["a", "b", "k0", "n", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, pieces = None, _Regions(reach)
+        kept, pieces, start = None, _Regions(reach), 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             new = [batch.column(c).to_numpy() for c in names]
             fresh = 0 if kept is None else len(kept[0])
             k0, ids, parts, *sketch = new if kept is None else [np.concatenate(x) for x in zip(kept, new)]
+            row = np.arange(len(k0))
+            new_run = np.concatenate([[False], k0[1:] != k0[:-1]])
+            place = row - np.maximum.accumulate(np.where(new_run, row, -start))  # in its run; start: that of the first row
             found = []
             for d in range(1, reach + 1):
                 if len(k0) <= d:
                     break
                 hit = (k0[d:] == k0[:-d]) & (ids[d:] != ids[:-d]) & (parts[d:] != parts[:-d])
+                if d > NEAREST:
+                    hit &= place[d:] <= reach
                 hit[: max(0, fresh - d)] = False
                 at = np.flatnonzero(hit)
                 agree = sum(_agreement((x[at] ^ x[at + d]).view(np.uint64)) for x in sketch)
                 at = at[agree >= LEAST_SKETCH]
                 found.append((np.minimum(ids[at], ids[at + d]), np.maximum(ids[at], ids[at + d])))
-            kept = [x[-reach:] for x in (k0, ids, parts, *sketch)]
+            kept, start = [x[-reach:] for x in (k0, ids, parts, *sketch)], int(place[-reach:][0])
             yield rows(found, pieces.add(*new[:3:2]) if regions else [np.zeros(0, np.int64)] * 4)
         if regions:
             yield rows([], pieces.end())

@@ -515,3 +515,30 @@ def test_items_at_the_largest_distance(n):
     replaced = lambda w, at: [f"x{j}" if j in at else v for j, v in enumerate(w)]
     assert planted(n, 1000, 3, lambda r, w: replaced(w, set(r.sample(range(n), n // 5)))) >= 997
     assert planted(n, 1000, 4, lambda r, w: replaced(w, set(range(0, n, 5)))) >= 997
+
+
+def neighbours(runs, cut):
+    """Pairs and pieces of regions that a window gives for runs of one first key, in batches of ``cut`` rows."""
+    import numpy as np
+
+    k0 = np.repeat(np.arange(len(runs)), runs).astype(np.int64)
+    ids = np.arange(len(k0), dtype=np.int64)
+    arrays = [pa.array(x) for x in (k0, ids, ids, *[np.zeros(len(k0), np.int64)] * len(minhash_forest.SKETCH))]
+    rows = pa.RecordBatch.from_arrays(arrays, names=["k0", "id", "part", *minhash_forest.SKETCH])
+    found = pa.Table.from_batches(minhash_forest._neighbours(minhash_forest.REACH, True)(iter([rows.slice(i, cut) for i in range(0, len(k0), cut)]))).to_pylist()
+    return sorted((x["a"], x["b"]) for x in found if x["a"] is not None), {x["k0"]: x["n"] for x in found if x["k0"] is not None}
+
+
+def test_a_crowd_that_is_not_linked_adds_few_pairs():
+    """Where all pairs of a region are taken later on, the window names its nearest neighbours; smaller regions have all pairs."""
+    reach, near = minhash_forest.REACH, minhash_forest.NEAREST
+    runs = [1, 5, reach + 1, reach + 2, 400, 3]
+    pairs, pieces = neighbours(runs, 10_000)
+    assert all(neighbours(runs, cut) == (pairs, pieces) for cut in (1, 7, 60))
+    assert len(pairs) == len(set(pairs))
+    at = 0
+    for k, n in enumerate(runs):
+        of = {(a, b) for a, b in pairs if at <= a < at + n}
+        whole = {(a, b) for a in range(at, at + n) for b in range(a + 1, at + n)}
+        assert of == whole if n <= reach + 1 else pieces[k] == n and len(of) <= reach * (reach + 1) // 2 + near * (n - reach - 1)
+        at += n
